@@ -37,7 +37,8 @@ with docs as (
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
     coalesce(p.n_lines - p.n_once, 0) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words, coalesce(p.n_lines, 0) as n_lines,
     len(list_filter(w, lambda x: length(regexp_replace(x, '[^A-Z]', '', 'g')) >= 2 and not regexp_matches(x, '[a-z]'))) as n_caps,
-    len(list_filter(w, lambda x: suffix(x, '!'))) as n_bang
+    len(list_filter(w, lambda x: suffix(x, '!'))) as n_bang,
+    len(list_filter(generate_series(2, len(w)), lambda i: w[i] = w[i - 1])) as n_stutters
   from docs d left join per_line p using (doc_id) left join covered c using (doc_id)
 ), judged as (
   select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from ledger
@@ -45,7 +46,8 @@ with docs as (
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
   cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
   not (base_failed or 100 * n_symbols > 10 * n_words or (n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines)
-    or (n_words >= 10 and 100 * n_caps > 25 * n_words) or 100 * n_bang > 10 * n_words or word_chars > 25 * n_words) as kept
+    or (n_words >= 10 and 100 * n_caps > 25 * n_words) or 100 * n_bang > 10 * n_words or word_chars > 25 * n_words
+    or 100 * n_stutters > 25 * n_words) as kept
 from judged
 """
 

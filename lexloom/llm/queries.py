@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import line_dedup, lz_fingerprint, mixing, packing, rules, simhash, substrings, tokens, util
+from lexloom.llm import line_dedup, lm, lz_fingerprint, mil, mixing, packing, rules, simhash, substrings, tokens, util
 
 
 def tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -37,6 +37,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = mil.fit(docs, util.table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    out = mil.scored(docs, model)
+    return out.select("doc_id", mil.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.planned(documents(spark, sf_dir), weights=(5, 2, 1), max_epochs=3)
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -50,6 +57,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(documents(spark, sf_dir))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(documents(spark, sf_dir), tokenizer())
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(documents(spark, sf_dir), width=20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -62,9 +73,11 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_mix_sources": op5_mix_sources,
     "op6_token_counts": op6_token_counts,
     "op7_simhash": op7_simhash,
+    "op8_lm_scores": op8_lm_scores,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_lz_fingerprints": op10_lz_fingerprints,
 }

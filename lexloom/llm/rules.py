@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import textscan as ts
 from lexloom.llm import util
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps_words", "n_bang_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_caps_words", "n_bang_words", "n_stutters")
 #: Bit k of the ledger is rule k. Conditions are over the measures; all integer arithmetic.
 RULES = (
     ("too_few_words", "n_words < 10"),
@@ -29,6 +29,7 @@ RULES = (
     ("shouting", "n_words >= 10 and 100 * n_caps_words > 25 * n_words"),
     ("exclamations", "100 * n_bang_words > 10 * n_words"),
     ("long_words", "word_chars > 25 * n_words"),
+    ("stutter", "100 * n_stutters > 25 * n_words"),
 )
 #: Versioned policies: the rules that each lets decide.
 POLICIES = {
@@ -57,7 +58,9 @@ def _measures(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     caps = (upper[ends] - upper[starts] >= 2) & (lower[ends] == lower[starts])
     out["n_caps_words"] = count(rows[caps])
     out["n_bang_words"] = count(rows[data[ends - 1] == 33]) if len(ends) else count(rows)
-    first, h = ts.windows(ts.hashes(data, starts, ends), rows, 5)
+    of_word = ts.hashes(data, starts, ends)
+    out["n_stutters"] = count(rows[1:][(of_word[1:] == of_word[:-1]) & (rows[1:] == rows[:-1])])
+    first, h = ts.windows(of_word, rows, 5)
     again = first[ts.repeated(ts.mix(h ^ (rows[first].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))]
     edge = np.zeros(len(starts) + 1, np.int64)
     np.add.at(edge, again, 1)

@@ -263,3 +263,96 @@ def test_empty_tables(spark):
     none = data.frame(spark, [])
     for df in (line_dedup.digests(none), line_dedup.keep_lines(none), rules.measure(none), packing.packed(none, TOKENIZER), mixing.mixed(none), mixing.repeated(none), tokens.count_tokens(none, TOKENIZER), simhash.components(none), substrings.repeats(none), lz_fingerprint.fingerprints(none)):
         assert df.count() == 0
+
+
+def test_classifier(spark):
+    import random
+
+    from lexloom.llm import mil
+
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    rows, labels = [], []
+    for d in range(900):
+        w = [rng.choice(vocab) for _ in range(rng.randint(20, 400))]
+        good = rng.random() < 0.7
+        if not good:  # junk in one part of the text only
+            at = rng.randint(0, len(w) - 15)
+            w[at : at + 40] = [x.upper() + "!!" for x in w[at : at + 40]] if d % 2 else [w[at]] * len(w[at : at + 40])
+        rows.append((d, " ".join(w), None, None, None, 0, 0, 0, ""))
+        labels.append((d, int(good)))
+    rows += [(1000, None, None, None, None, 0, 0, 0, ""), (None, "x y", None, None, None, 0, 0, 0, "")]
+    docs, known = data.frame(spark, rows), spark.createDataFrame(labels + [(5, None)], "doc_id long, quality int")
+    model = mil.fit(docs, known)
+    out = {r.doc_id: r.score for r in mil.scored(docs, model).collect()}
+    assert len(out) == len(rows) and all(0 <= s <= 1 for s in out.values())
+    held = [(out[d], q) for d, q in labels if zlib.crc32(str(d).encode()) % 3 == 1]
+    assert np.mean([(s >= 0.5) == q for s, q in held]) > 0.95
+    assert mil.scored(docs, mil.fit(docs, known.limit(0))).select("score").distinct().collect()[0].score == 0.5
+    # numeric gradients
+    x, bag, y = np.random.default_rng(0).normal(size=(9, len(mil.PASSAGE_FEATURES))), np.array([0, 0, 1, 2, 2, 2, 3, 3, 3]), np.array([1.0, 0, 1, 0])
+    m = mil.train(x, bag, y, steps=3)
+    loss = lambda: -np.mean(y * np.log(m.forward(x, bag)["y"]) + (1 - y) * np.log(1 - m.forward(x, bag)["y"]))
+    for k, g in m.gradients(x, bag, y).items():
+        p = m.parts[k].reshape(-1)
+        for i in (0, len(p) - 1):
+            old = p[i]
+            p[i] = old + 1e-5
+            up = loss()
+            p[i] = old - 1e-5
+            assert abs((up - loss()) / 2e-5 - g.reshape(-1)[i]) < 1e-6
+            p[i] = old
+
+
+def test_lm_base_and_coverage(spark):
+    from lexloom.llm import lm
+
+    rows = data.rows()
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
+    say = lambda t: WORD.findall((t or "").translate(LOW)) + [None]
+    c = Counter(w for r in rows if not held(r[0]) for w in say(r[1]))
+    n, v = sum(c.values()), len(c)
+    want = Counter()
+    for r in rows:
+        w = say(r[1])
+        want[(r[0], held(r[0]), len(w), sum(c[x] > 0 for x in w), n, round(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w), 6))] += 1
+    for table in (lm.TABLE, 100, 0):
+        out = lm.scores(data.frame(spark), TOKENIZER, table=table).collect()
+        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in out) == want
+        assert all(np.isfinite(r.score) and r.score < 0 for r in out)
+    assert sum(r.score for r in out if r.held_out and r.n_tokens > 20) / sum(r.n_tokens for r in out if r.held_out and r.n_tokens > 20) > -7
+    assert lm.scores(data.frame(spark, []), TOKENIZER).count() == 0
+
+
+def test_attention_probabilities_and_gradients():
+    from lexloom.llm import attention as at
+
+    rng = np.random.default_rng(2)
+    pairs = rng.poisson(0.05, (at.SYMBOLS, at.SYMBOLS))
+    m = at.Attention(pairs)
+    for k, _ in m.LEARNED:
+        m.w[k] += rng.normal(0, 0.3, m.w[k].shape).astype(np.float32)
+    end = m.end
+    for size in (1, 15, 16, 17, 40):
+        text = rng.integers(0, at.SYMBOLS, size)
+        many = np.concatenate([np.concatenate([[end], text[:-1], [x]]) for x in range(at.SYMBOLS)])
+        begins = np.arange(at.SYMBOLS) * (size + 1)
+        lp = m.log_probabilities(many, begins)
+        assert abs(np.exp(lp[begins + size]).sum() - 1) < 1e-3  # the last symbol's probabilities, over all symbols
+        whole = m.log_probabilities(many[: size + 1], np.array([0]))
+        assert np.allclose(whole, lp[: size + 1], atol=1e-4)
+    x, valid = rng.integers(0, at.SYMBOLS, (3, at.WINDOW)), np.ones((3, at.WINDOW), bool)
+    valid[0, :18] = False
+    valid[0, 16:] = True
+    y, scored = rng.integers(0, at.SYMBOLS, (3, at.STEP)), rng.random((3, at.STEP)) < 0.8
+    for k in m.w:
+        m.w[k] = m.w[k].astype(np.float64)
+    loss, g = m.gradients(x, valid, y, scored)
+    for k, spot in (("Q", (x[1, 20], 3)), ("K", (x[1, 5], 2)), ("V", (x[2, 9], 1)), ("R", (x[0, 25], 4)), ("P", (x[1, 22], 6)), ("C", (2, 5)), ("M", (int(y[1, 0]) // at.MEMBERS, 3, 7)), ("far", (4,))):
+        old = m.w[k][spot]
+        m.w[k][spot] = old + 1e-3
+        up = m.gradients(x, valid, y, scored)[0]
+        m.w[k][spot] = old - 1e-3
+        down = m.gradients(x, valid, y, scored)[0]
+        m.w[k][spot] = old
+        assert abs((up - down) / 2e-3 - g[k][spot]) < 2e-3 + 0.02 * abs(g[k][spot]), k
