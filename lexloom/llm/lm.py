@@ -52,9 +52,8 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def subwords(part: pa.RecordBatch, tokenizer: str) -> list[np.ndarray]:
-    texts = [split(t) for t in part.column("text").cast(pa.binary()).to_pylist()]
-    ids = encoder(tokenizer).learn(texts)
-    return [np.frombuffer(b"".join(map(ids.__getitem__, t)), "<u4") for t in texts]
+    ids = encoder(tokenizer).__getitem__
+    return [np.frombuffer(b"".join(map(ids, split(t))), "<u4") for t in part.column("text").cast(pa.binary()).to_pylist()]
 
 
 def _count(tokenizer: str):
@@ -163,7 +162,7 @@ def train(docs: DataFrame, tokenizer: str, table: int = TABLE) -> tuple[Trained,
     """The model and the (kind, key, n) table of training counts. docs: training rows (text)."""
     spark = docs.sparkSession
     util.prepare(spark)
-    n_ids = max(encoder(tokenizer).library.get_vocab(with_added_tokens=True).values()) + 1
+    n_ids = encoder(tokenizer).n_ids
     counted = docs.select("text").mapInArrow(_count(tokenizer), "kind int, key long, n long")
     counts = util.cut(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     totals = {r.kind: (r.n, r.distinct) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}

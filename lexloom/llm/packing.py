@@ -36,13 +36,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     fields = [("doc_id", pa.int64()), ("row", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = encoder(tokenizer)
+        ids = encoder(tokenizer).__getitem__
         for rows in batches:
             texts = [split(t) for t in rows.column("text").cast(pa.binary()).to_pylist()]
-            ids = cache.learn(texts)
             out: list[list] = [[] for _ in fields]
             for doc_id, row, text in zip(rows.column("doc_id").to_pylist(), rows.column("row").to_pylist(), texts):
-                raw = b"".join(map(ids.__getitem__, text)) + end
+                raw = b"".join(map(ids, text)) + end
                 for k, at in enumerate(range(0, len(raw), step)):
                     part = raw[at : at + step]
                     values = [doc_id, row, k, at // 4, len(part) // 4, zlib.crc32(part)] + [np.frombuffer(part, "<i4")] * keep_ids

@@ -356,3 +356,16 @@ def test_attention_probabilities_and_gradients():
         down = m.gradients(x, valid, y, scored)[0]
         m.w[k][spot] = old
         assert abs((up - down) / 2e-3 - g[k][spot]) < 2e-3 + 0.02 * abs(g[k][spot]), k
+
+
+def test_encoder_gives_the_library_ids():
+    import random
+
+    rng = random.Random(9)
+    enc, lib = tokens.Encoder(TOKENIZER, size=50), library()
+    letters = "abcXYZéÈßöÿÀ×÷µªº²'.,!#<|>09_-́ 日İſﬁ가가«¿ñ"
+    texts = ["don't I'LL we've 'S x's ''s", "<|startoftext|> a<|endoftext|>b <|ENDOFTEXT|> <|", "Ünïcödé naïve 3.14€ 1,000"]
+    texts += [" ".join("".join(rng.choice(letters) for _ in range(rng.randint(1, 8))) for _ in range(40)) for _ in range(300)]
+    for text in texts:
+        got = np.frombuffer(b"".join(map(enc.__getitem__, tokens.split(text.encode()))), "<u4").tolist()
+        assert got == lib.encode(text, add_special_tokens=False).ids, text
