@@ -105,13 +105,17 @@ def windows(h: np.ndarray, rows: np.ndarray, width: int, seed: int = 0) -> tuple
     """First word and hash of each window of `width` words inside one row."""
     if len(h) < width:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    n = len(h) - width + 1
-    first = np.flatnonzero(rows[:n] == rows[width - 1 :])
-    base = np.uint64((0x2545F4914F6CDD1D * (2 * seed + 1)) % 2**64 | 1)
-    out = np.zeros(len(first), np.uint64)
-    for k in range(width):
-        out = out * base + h[first + k]
-    return first, mix(out)
+    first = np.flatnonzero(rows[: len(h) - width + 1] == rows[width - 1 :])
+    return first, window_hashes(h, first, width, seed)
+
+
+def window_hashes(h: np.ndarray, first: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hash of the `width` words from each of `first`; a seed gives an independent one."""
+    if seed:
+        h = mix(h ^ np.uint64(0xA0761D6478BD642F * (2 * seed + 1) % 2**64))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _power(len(h), _BASE), out=total[1:])
+    return mix((total[first + width] - total[first]) * _power(len(h) + 1, _INVERSE)[first])
 
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -123,7 +127,7 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def repeated(keys: np.ndarray) -> np.ndarray:
     """True where a key occurs more than once."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     same = keys[order[1:]] == keys[order[:-1]] if len(keys) else np.zeros(0, bool)
     flag = np.zeros(len(keys), bool)
     flag[order[1:]] |= same
