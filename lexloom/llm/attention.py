@@ -15,7 +15,7 @@ import numpy as np
 CLUSTERS, MEMBERS, WIDTH = 32, 32, 16
 SYMBOLS = CLUSTERS * MEMBERS
 STEP, WINDOW = 16, 32
-_BLOCKS = 1024
+_BLOCKS = 256  # windows at a time: their arrays stay in a core's cache
 
 
 def cluster(pairs: np.ndarray) -> np.ndarray:

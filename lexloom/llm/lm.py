@@ -51,9 +51,32 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return known, np.bincount(where, n, len(known)).astype(np.int64)
 
 
+def _prepare(tokenizer: str):
+    """Each row's text and subword ids, compressed: read and tokenized once, used by every later pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = encoder(tokenizer).__getitem__
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            tokens = [np.frombuffer(b"".join(map(ids, split(t))), "<u4").astype(_width(tokenizer)).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held", "row")), util.squeeze(texts), util.squeeze(tokens)], names=["doc_id", "held", "row", "packed", "ids"])
+
+    return run
+
+
+def _width(tokenizer: str) -> str:
+    return "<u2" if encoder(tokenizer).n_ids <= 2**16 else "<u4"
+
+
 def subwords(part: pa.RecordBatch, tokenizer: str) -> list[np.ndarray]:
-    ids = encoder(tokenizer).__getitem__
-    return [np.frombuffer(b"".join(map(ids, split(t))), "<u4") for t in part.column("text").cast(pa.binary()).to_pylist()]
+    width = _width(tokenizer)
+    return [np.frombuffer(x, width) for x in util.unsqueeze(part.column("ids"))]
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch with their texts, some at a time."""
+    texts = pa.array([t.decode() for t in util.unsqueeze(batch.column("packed"))], pa.string())
+    return ts.chunks(batch.append_column("text", texts))
 
 
 def _count(tokenizer: str):
@@ -65,7 +88,7 @@ def _count(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, texts, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
         for batch in batches:
-            for part in ts.chunks(batch):
+            for part in _parts(batch):
                 h, _ = words_of(part)
                 own, count = np.unique(h, return_counts=True)
                 keys, n = _summed(np.concatenate([keys, own]), np.concatenate([n, count]))
@@ -118,7 +141,8 @@ def _gather(tokenizer: str, symbols, rate: float):
         pairs, sym, lane = np.zeros(at.SYMBOLS**2, np.int64), symbols.value, TaskContext.get().partitionId() % 64
         back = at.WINDOW - at.STEP
         for batch in batches:
-            for part in ts.chunks(batch):
+            for at_row in range(0, batch.num_rows, 1024):
+                part = batch.slice(at_row, 1024)
                 seq, begins = sym.texts(subwords(part, tokenizer))
                 ends = np.append(begins[1:], len(seq))
                 flat = seq[:-1] * at.SYMBOLS + seq[1:]
@@ -159,11 +183,10 @@ class Trained:
 
 
 def train(docs: DataFrame, tokenizer: str, table: int = TABLE) -> tuple[Trained, DataFrame]:
-    """The model and the (kind, key, n) table of training counts. docs: training rows (text)."""
+    """The model and the (kind, key, n) table of training counts. docs: prepared training rows."""
     spark = docs.sparkSession
-    util.prepare(spark)
     n_ids = encoder(tokenizer).n_ids
-    counted = docs.select("text").mapInArrow(_count(tokenizer), "kind int, key long, n long")
+    counted = docs.select("packed", "ids").mapInArrow(_count(tokenizer), "kind int, key long, n long")
     counts = util.cut(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     totals = {r.kind: (r.n, r.distinct) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
     ids = counts.filter("kind = 1").select("key", "n").toArrow()  # at most the tokenizer's ids
@@ -173,8 +196,7 @@ def train(docs: DataFrame, tokenizer: str, table: int = TABLE) -> tuple[Trained,
     windows = (int(of_id.sum()) + totals.get(2, (0, 0))[0]) / at.STEP
     rate = min(1.0, min(LIMITS[1], max(LIMITS[0], windows / SAMPLE_RATE)) / max(1.0, windows))
     shared = spark.sparkContext.broadcast(symbols)
-    rows = docs.select("text", util.row_key(F.col("text")).alias("row"))
-    gathered = util.cut(rows.mapInArrow(_gather(tokenizer, shared, rate), "kind int, slice int, lane int, data binary"))
+    gathered = util.cut(docs.select("row", "ids").mapInArrow(_gather(tokenizer, shared, rate), "kind int, slice int, lane int, data binary"))
     n = util.partitions(spark)
     sums = gathered.filter("kind = 0").select("slice", "lane", "data").repartition(n, "slice", "lane").mapInArrow(_add, "slice int, data binary")
     sums = sums.repartition(n, "slice").mapInArrow(_add, "slice int, data binary").toArrow().to_pylist()  # one a slice
@@ -208,7 +230,7 @@ def _score(tokenizer: str, trained):
         t: Trained = trained.value
         model, sym, scale = t.model, t.symbols, t.tokens + t.distinct + 1
         for batch in batches:
-            for part in ts.chunks(batch):
+            for part in _parts(batch):
                 n = part.num_rows
                 h, of = words_of(part)
                 distinct, where = np.unique(h, return_inverse=True)
@@ -236,12 +258,13 @@ def scores(docs: DataFrame, tokenizer: str, parts: int = 7, part: int = 2, table
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; rows with crc32(doc_id) mod parts = part are held out."""
     spark = docs.sparkSession
     util.prepare(spark)
-    docs = docs.select("doc_id", "text")
     held = held_out(F.col("doc_id"), parts, part)
-    trained, counts = train(docs.filter(~held), tokenizer, table)
+    docs = docs.select("doc_id", held.alias("held"), util.row_key(F.col("text")).alias("row"), "text")
+    docs = util.cut(docs.mapInArrow(_prepare(tokenizer), "doc_id long, held boolean, row long, packed binary, ids binary"))
+    trained, counts = train(docs.filter("not held"), tokenizer, table)
     shared = spark.sparkContext.broadcast(trained)
     schema = "doc_id long, n_tokens long, n_known long, base_score double, score double, rare array<long>"
-    out = docs.mapInArrow(_score(tokenizer, shared), schema)
+    out = docs.select("doc_id", "packed", "ids").mapInArrow(_score(tokenizer, shared), schema)
     if not trained.whole:
         out = util.cut(out.withColumn("id", F.monotonically_increasing_id()))
         rare = out.select("id", F.explode("rare").alias("key")).groupBy("id", "key").agg(F.count("*").alias("times"))

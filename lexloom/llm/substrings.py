@@ -294,18 +294,13 @@ def _table(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts compressed, for the shuffles and the checkpoint that carry them."""
-    codec = pa.Codec("zstd", compression_level=3)
     for rows in batches:
-        raw = [t.encode() for t in rows.column("text").to_pylist()]
-        out = [len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in raw]
-        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "doc", "row")), pa.array(out, pa.binary())], names=["doc_id", "doc", "row", "packed"])
+        packed = util.squeeze([t.encode() for t in rows.column("text").to_pylist()])
+        yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "doc", "row")), packed], names=["doc_id", "doc", "row", "packed"])
 
 
 def _opened(rows: pa.RecordBatch) -> pa.RecordBatch:
-    codec = pa.Codec("zstd")
-    texts = [codec.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True).decode() for b in rows.column("packed").to_pylist()]
-    return rows.append_column("text", pa.array(texts, pa.string()))
+    return rows.append_column("text", pa.array([t.decode() for t in util.unsqueeze(rows.column("packed"))], pa.string()))
 
 
 def _extend(width: int, n_buckets: int):

@@ -62,5 +62,12 @@ def row_key(text) -> "F.Column":
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for f, x in ((f, columns[f.name]) for f in schema)], schema=schema)
+def squeeze(texts: list[bytes]) -> pa.Array:
+    """Texts compressed one by one, for shuffles and checkpoints that carry them."""
+    codec = pa.Codec("zstd", compression_level=3)
+    return pa.array([len(t).to_bytes(8, "little") + codec.compress(t, asbytes=True) for t in texts], pa.binary())
+
+
+def unsqueeze(column: pa.Array) -> list[bytes]:
+    codec = pa.Codec("zstd")
+    return [codec.decompress(b[8:], int.from_bytes(b[:8], "little"), asbytes=True) for b in column.to_pylist()]
