@@ -101,7 +101,7 @@ def java_pattern(pattern: str) -> str:
         pattern = pattern.replace(old, new)
     if re.search(r"\[:\w+:\]|\[\.|\[=", pattern):
         raise ValueError(f"unsupported bracket expression: {pattern}")
-    return "(?iu)" + re.sub(r"(?<!\\)\\([yYmM])", lambda m: {"y": r"\b", "Y": r"\B", "m": r"\b(?=\w)", "M": r"\b(?<=\w)"}[m[1]].replace("\\", "\\"), pattern)
+    return "(?iU)" + re.sub(r"(?<!\\)\\([yYmM])", lambda m: {"y": r"\b", "Y": r"\B", "m": r"\b(?=\w)", "M": r"\b(?<=\w)"}[m[1]], pattern)
 
 
 def matches(content: Column, pattern: str, is_regex: bool) -> Column:
