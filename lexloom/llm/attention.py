@@ -15,6 +15,8 @@ import numpy as np
 CLUSTERS, MEMBERS, WIDTH = 32, 32, 16
 SYMBOLS = CLUSTERS * MEMBERS
 STEP, WINDOW = 16, 32
+#: Row sums of narrow arrays are matrix products: several times as fast as a reduction along the last axis.
+_ONES_W, _ONES_C, _ONES_M = (np.ones(n, np.float32) for n in (WINDOW, CLUSTERS, MEMBERS))
 _BLOCKS = 256  # windows at a time: their arrays stay in a core's cache
 
 
@@ -125,40 +127,41 @@ class Attention:
         start = begins[text] + (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STEP
         w, bias = self.w, self._bias()
         members = np.ascontiguousarray(w["M"])
+        quarter, flat = w["Q"] * np.float32(0.25), self.to_member.reshape(-1, MEMBERS)  # take() gathers rows faster than indexing
         for at in range(0, len(start), _BLOCKS):
             s, t = start[at : at + _BLOCKS], text[at : at + _BLOCKS]
             keys = s[:, None] + np.arange(STEP - WINDOW, STEP)
             old, new = keys < begins[t][:, None], keys >= (ends[t] - 1)[:, None]
-            x = places[np.clip(keys, 0, n - 1)]
+            x = places.take(keys, mode="clip")
             q_at = x[:, WINDOW - STEP :]
-            score = (w["Q"][q_at] * np.float32(0.25)) @ w["K"][x].transpose(0, 2, 1)
+            score = quarter.take(q_at, 0) @ w["K"].take(x, 0).transpose(0, 2, 1)
             score += bias
             first = np.flatnonzero(old[:, WINDOW - STEP - 1])
             score[first] += np.where(old[first], np.float32(-1e9), np.float32(0))[:, None, :]
             np.exp(np.minimum(score, 60, out=score), out=score)
-            h = score @ w["V"][x]
-            h /= score.sum(-1)[..., None]
-            h += w["R"][q_at]
-            h += w["P"][x[:, WINDOW - STEP - 1 : -1]] * ~old[:, WINDOW - STEP - 1 : -1, None]
+            h = score @ w["V"].take(x, 0)
+            h /= (score.reshape(-1, WINDOW) @ _ONES_W).reshape(len(s), STEP, 1)
+            h += w["R"].take(q_at, 0)
+            h += w["P"].take(x[:, WINDOW - STEP - 1 : -1], 0) * ~old[:, WINDOW - STEP - 1 : -1, None]
             live = ~new[:, WINDOW - STEP :].ravel()
             here = keys[:, WINDOW - STEP :].ravel()[live]
             h, now = h.reshape(-1, WIDTH)[live], q_at.ravel()[live]
             following = places[here + 1]
             c, m = following // MEMBERS, following % MEMBERS
             logit = h @ w["C"]
-            logit += self.to_cluster[now]
+            logit += self.to_cluster.take(now, 0)
             row = np.arange(len(c))
             total = logit[row, c].astype(np.float64)
-            total -= np.log(np.exp(logit, out=logit).sum(1))
+            total -= np.log(np.exp(logit, out=logit) @ _ONES_C)
             by = np.argsort(c.astype(np.uint8), kind="stable")
             edges = np.searchsorted(c[by], np.arange(CLUSTERS + 1))
             inner = np.empty((len(c), MEMBERS), np.float32)
-            h = h[by]
+            h = h.take(by, 0)
             for g in range(CLUSTERS):
                 np.matmul(h[edges[g] : edges[g + 1]], members[g], out=inner[edges[g] : edges[g + 1]])
-            inner += self.to_member[now[by], c[by]]
+            inner += flat.take(now[by] * CLUSTERS + c[by], 0)
             part = inner[row, m[by]].astype(np.float64)
-            part -= np.log(np.exp(inner, out=inner).sum(1))
+            part -= np.log(np.exp(inner, out=inner) @ _ONES_M)
             total[by] += part
             out[here + 1] = total
         return out

@@ -30,7 +30,7 @@ from lexloom.llm.mil import held_out
 from lexloom.llm.tokens import encoder, split
 
 TABLE = 1 << 20
-SAMPLE_RATE, LIMITS = 400, (8_000, 60_000)
+SAMPLE_RATE, LIMITS = 400, (40_000, 60_000)
 BANDS = 16
 _HELD = 1 << 20
 _SLICE = 32  # symbols a slice of the pair counts
