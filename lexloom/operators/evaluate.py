@@ -52,3 +52,42 @@ def numbers_in(text: Column) -> Column:
 def mcnemar(both: DataFrame) -> DataFrame:
     """both: a, b (booleans of two systems on the same cases) -> gains, losses."""
     return both.agg(F.sum((F.col("b") & ~F.col("a")).cast("long")).alias("gains"), F.sum((F.col("a") & ~F.col("b")).cast("long")).alias("losses"))
+
+
+def amounts_in(text: Column) -> Column:
+    """Amounts of money as sorted whole numbers: '4.000.000 đồng', '800 nghìn', '1,2 triệu', '4-6 triệu' (both ends), bare numbers from 1000.
+
+    Null gives an empty array.
+    """
+    text = F.lower(F.coalesce(text, F.lit("")))
+    pick = lambda pattern, k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    number = lambda x: F.try_to_number(F.replace(x, F.lit(","), F.lit(".")), F.lit("999999999.999999"))
+    money = []
+    for word, unit in (("triệu", 1_000_000), ("(?:nghìn|ngàn)", 1_000)):
+        for pattern in (rf"(\d+(?:,\d+)?)\s*{word}", rf"(\d+(?:,\d+)?)\s*[-–]\s*\d+(?:,\d+)?\s*{word}"):
+            money.append(F.transform(pick(pattern, 1), lambda x, unit=unit: F.round(number(x) * unit).cast("long")))
+    whole = F.transform(pick(r"(?<![\d.,])(\d{1,3}(?:\.\d{3})+|\d{4,})(?![\d.,]*\d)", 1), lambda x: T.digits(x).cast("long"))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(*money, F.filter(whole, lambda x: x >= 1000)), lambda x: x.isNotNull())))
+
+
+def plain(text: Column) -> Column:
+    """Folded lower case, no leading zeros, units joined to their numbers."""
+    text = F.regexp_replace(F.lower(T.fold(F.coalesce(text, F.lit("")))), r"\b0+(\d)", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(\d)\s+(km|m|kg|cm|%)(?!\w)", "$1$2"), r"\s+", " "))
+
+
+def facts_missing(answer: Column, facts: Column) -> Column:
+    """Facts that the answer does not state; 'a|b' is met by either."""
+    said = plain(answer)
+    return F.filter(facts, lambda f: ~F.exists(F.split(f, r"\|"), lambda one: F.contains(said, plain(one))))
+
+
+def grade(answers: DataFrame, refused: Column) -> DataFrame:
+    """answers: in_scope, answer, cited, expected (paths), amounts, facts, sources (text) -> with `missing_amounts`, `missing_facts`, `correct`.
+
+    In scope: something expected is cited, nothing is missing and every claim has a source. Out of scope: nothing cited, or refused.
+    """
+    cited = F.exists("cited", lambda c: F.exists("expected", lambda e: (c == e) | F.startswith(c, F.concat(e, F.lit(".")))))
+    with_gaps = answers.withColumns({"missing_amounts": F.array_except("amounts", amounts_in(F.col("answer"))), "missing_facts": facts_missing(F.col("answer"), F.col("facts"))})
+    whole = cited & (F.size("missing_amounts") == 0) & (F.size("missing_facts") == 0) & (F.size(ungrounded(F.col("answer"), F.col("sources"))) == 0)
+    return with_gaps.withColumn("correct", F.when(F.col("in_scope"), whole).otherwise((F.size("cited") == 0) | refused))

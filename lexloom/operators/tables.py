@@ -50,3 +50,17 @@ def document_violations(docs: DataFrame) -> DataFrame:
     """Rows that break the table's rules."""
     rule = F.when(F.col("doc_code").isNull(), "doc_code is null").when(F.col("effective").isNull(), "effective is null").when(F.col("expiration") < F.col("effective"), "expires before it takes effect")
     return docs.withColumn("violation", rule).filter("violation is not null")
+
+
+def upsert_documents(old: DataFrame, new: DataFrame, key: str = "doc_code", kept: tuple[str, ...] = ("id", "created_at")) -> DataFrame:
+    """New rows replace old ones by key, all columns but `kept`, which stay as they were. `new` holds a key once."""
+    o, n = old.alias("o"), new.alias("n")
+    joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
+    is_new, is_old = F.col(f"n.{key}").isNotNull(), F.col(f"o.{key}").isNotNull()
+    return joined.select(*[F.when((is_old if c in kept else ~is_new), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}")).alias(c) for c in old.columns])
+
+
+def fill_embeddings(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Null embeddings filled by text; vectors(text, embedding) holds a text once. Others stay."""
+    filled = vectors.select("text", F.col("embedding").alias("_new"))
+    return chunks.join(filled, "text", "left").withColumn("embedding", F.coalesce("embedding", "_new")).select(chunks.columns)

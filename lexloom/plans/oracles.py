@@ -150,4 +150,14 @@ ORACLES = {
     "mcnemar": "select cast(sum((toxic = 0 and quality <> 1)::int) as bigint) as gains, cast(sum((quality = 1 and toxic <> 0)::int) as bigint) as losses from labels",
     "fill_ratio": """with l as (select doc_id, string_split(line, '|') as c from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where contains(line, '|'))
       select doc_id, count(*) as n, round(sum(len(list_filter(c, lambda x: trim(x) <> '')) / len(c)), 6) as filled from l group by doc_id""",
+    "money_amounts": """select o_orderkey, case o_orderkey % 3 when 0 then cast((o_custkey + 1) * 1000 as varchar) when 1 then array_to_string(list_sort(list_distinct([(o_orderkey % 7 + 1) * 1000000, 9000000])), ',')
+      else array_to_string(list_sort([800000, o_orderkey % 9 * 1000000 + 500000]), ',') end as amounts from orders""",
+    "address_format": "select c_custkey, 'Điều ' || c_custkey || case when c_nationkey % 2 = 0 then ', Khoản ' || c_nationkey || ', Điểm đ' else '' end as address from customer",
+    "upsert_documents": """with o as (select s_suppkey, s_name, round(s_acctbal, 2) as s_acctbal from supplier), n as (select s_suppkey * 2 as s_suppkey, s_name || '!' as s_name, s_acctbal * 0 as s_acctbal from o where s_suppkey % 3 = 0)
+      select coalesce(n.s_suppkey, o.s_suppkey) as s_suppkey, coalesce(n.s_name, o.s_name) as s_name, coalesce(o.s_acctbal, n.s_acctbal) as s_acctbal from o full join n on o.s_suppkey = n.s_suppkey""",
+    "fill_embeddings": f"""with {CHUNKS}, v as (select text from chunks where embedding is null group by text having min(id) % 2 = 0)
+      select id, round(coalesce(cast(embedding[1] as double), case when text in (from v) then 1.0 end), 6) as embedding from chunks""",
+    "citation_hints": """with o as (select 'o' || o_orderkey as doc_code, o_orderkey % 4 as k from orders)
+      select doc_code, doc_code || '.a_1.c_1' as source, doc_code || '.a_1.c_2' as target from o
+      union all select doc_code, doc_code || '.a_1.c_2', case when k in (1, 2) then doc_code || '.a_2.c_' || k || '.p_a' end from o""",
 }

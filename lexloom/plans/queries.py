@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import evaluate, graph, retrieve, tables, tree
+from lexloom.operators import citations, evaluate, graph, retrieve, tables, tree
 from lexloom.plans import views as v
 from lexloom.plans.oracles import ORACLES  # noqa: F401
+from lexloom.sources import structure
 
 ON = "2021-03-01"
 
@@ -254,6 +255,46 @@ def fill_ratio(s, d) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum(T.fill_ratio(F.split("line", r"\|"))), 6).alias("filled"))
 
 
+def money_amounts(s, d) -> DataFrame:
+    o = v.table(s, d, "orders")
+    key = F.col("o_orderkey")
+    text = F.when(key % 3 == 0, F.concat(F.lit("phạt "), F.replace(F.format_number((F.col("o_custkey") + 1) * 1000, 0), F.lit(","), F.lit(".")), F.lit(" đồng"))).when(key % 3 == 1, F.concat(F.lit("từ "), (key % 7 + 1).cast("string"), F.lit("–9 triệu"))).otherwise(F.concat((key % 9).cast("string"), F.lit(",5 triệu và 800 nghìn")))
+    return o.select("o_orderkey", F.array_join(evaluate.amounts_in(text).cast("array<string>"), ",").alias("amounts"))
+
+
+def address_format(s, d) -> DataFrame:
+    c = v.table(s, d, "customer")
+    path = F.concat(F.lit("d.c_ii.a_"), F.col("c_custkey").cast("string"), F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit(".c_"), F.col("c_nationkey").cast("string"), F.lit(".p_dd"))).otherwise(""))
+    return c.select("c_custkey", citations.format_address(path).alias("address"))
+
+
+def upsert_documents(s, d) -> DataFrame:
+    o = v.table(s, d, "supplier").select("s_suppkey", "s_name", _r("s_acctbal", 2))
+    new = o.filter("s_suppkey % 3 = 0").select((F.col("s_suppkey") * 2).alias("s_suppkey"), F.concat("s_name", F.lit("!")).alias("s_name"), (F.col("s_acctbal") * 0).alias("s_acctbal"))
+    return tables.upsert_documents(o, new, "s_suppkey", ("s_acctbal",))
+
+
+def fill_embeddings(s, d) -> DataFrame:
+    c = v.chunks(s, d).select("id", "text", F.col("embedding")[0].cast("double").alias("embedding"))
+    vectors = c.filter("embedding is null").groupBy("text").agg(F.lit(1.0).alias("embedding"), F.min("id").alias("at")).filter("at % 2 = 0").drop("at")
+    return tables.fill_embeddings(c, vectors).select("id", _r("embedding"))
+
+
+def _source_text(s, d) -> DataFrame:
+    """Each document's lines under one article, so that the parser has a structure to read."""
+    return v.table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_code"), "lang", F.concat(F.lit("Điều 1. Text\n1. "), "text").alias("raw_text")).select("doc_code", F.col("lang").alias("title"), "raw_text")
+
+
+def chunk_documents(s, d) -> DataFrame:
+    return structure.chunk_documents(_source_text(s, d)).select("doc_code", "path", "start_line", "end_line", F.length("verbatim_text").cast("long").alias("n_chars"))
+
+
+def citation_hints(s, d) -> DataFrame:
+    text = F.concat_ws("\n", F.lit("Điều 1. A"), F.lit("1. Theo khoản 2 Điều này."), F.concat(F.lit("2. Theo điểm a khoản "), (F.col("o_orderkey") % 4).cast("string"), F.lit(" Điều 2 Thông tư này.")), F.lit("Điều 2. B"), F.lit("1. C:"), F.lit("a) D;"), F.lit("2. E:"), F.lit("a) F."))
+    docs = v.table(s, d, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("doc_code"), text.alias("raw_text"))
+    return citations.hints(docs).select("doc_code", "source", "target")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -261,5 +302,6 @@ QUERIES = {
         grep_substring, grep_regex, search_tagged, confidence, group_ranked, reading_order_islands, subtree, parent_context, expand_to_leaves, sibling_windows, raw_slice, line_coverage,
         graph_traverse_out, graph_traverse_in, graph_traverse_both, graph_links, edge_insert_absent, edge_invalidated, edge_violations, upsert_keep_embedding, purge_stale, embedding_cache,
         missing_embeddings, missing_texts, json_field, slug_label, flexible_dates, eval_summary, hit_rates, grounding, mcnemar, fill_ratio,
+        money_amounts, address_format, upsert_documents, fill_embeddings, chunk_documents, citation_hints,
     )
 }

@@ -108,3 +108,15 @@ def test_registry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_amounts_and_grades(spark):
+    t = F.col("t")
+    for text, want in (("4–6 triệu", [4000000, 6000000]), ("1,2 triệu", [1200000]), ("800 nghìn", [800000]), ("phạt 4.000.000 đồng", [4000000]), ("năm 12", []), ("1500", [1500]), (None, [])):
+        assert one(spark, evaluate.amounts_in(t.cast("string")), t=text) == want, text
+    assert one(spark, evaluate.plain(t), t="Đường 090 km") == "duong 90km"
+    assert one(spark, evaluate.facts_missing(t, F.array(F.lit("mũ|nón"), F.lit("xe"))), t="đội nón") == ["xe"]
+    schema = "in_scope boolean, answer string, cited array<string>, expected array<string>, amounts array<long>, facts array<string>, sources string"
+    rows = [(True, "Điều 5: 2 triệu", ["d.a_5.c_1"], ["d.a_5"], [2000000], [], "Điều 5"), (True, "Điều 5", ["d.a_55"], ["d.a_5"], [], [], "Điều 5"), (False, "không rõ", [], [], [], [], ""), (False, "có", ["d.a_1"], [], [], [], "")]
+    got = evaluate.grade(spark.createDataFrame(rows, schema), F.contains("answer", F.lit("không rõ"))).select("correct").collect()
+    assert [r.correct for r in got] == [True, False, True, False]
