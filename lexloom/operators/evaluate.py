@@ -61,11 +61,12 @@ def amounts_in(text: Column) -> Column:
     """
     text = F.lower(F.coalesce(text, F.lit("")))
     pick = lambda pattern, k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
-    number = lambda x: F.try_to_number(F.replace(x, F.lit(","), F.lit(".")), F.lit("999999999.999999"))
+    number = lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double")
+    scaled = lambda unit: lambda x: F.round(number(x) * unit).cast("long")
     money = []
     for word, unit in (("triệu", 1_000_000), ("(?:nghìn|ngàn)", 1_000)):
         for pattern in (rf"(\d+(?:,\d+)?)\s*{word}", rf"(\d+(?:,\d+)?)\s*[-–]\s*\d+(?:,\d+)?\s*{word}"):
-            money.append(F.transform(pick(pattern, 1), lambda x, unit=unit: F.round(number(x) * unit).cast("long")))
+            money.append(F.transform(pick(pattern, 1), scaled(unit)))
     whole = F.transform(pick(r"(?<![\d.,])(\d{1,3}(?:\.\d{3})+|\d{4,})(?![\d.,]*\d)", 1), lambda x: T.digits(x).cast("long"))
     return F.array_sort(F.array_distinct(F.filter(F.concat(*money, F.filter(whole, lambda x: x >= 1000)), lambda x: x.isNotNull())))
 
