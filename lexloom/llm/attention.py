@@ -42,6 +42,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
+def _scattered(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sum of the rows at each symbol."""
+    by = np.argsort(at.ravel().astype(np.uint16), kind="stable")
+    found, first = np.unique(at.ravel()[by], return_index=True)
+    out = np.zeros((SYMBOLS, WIDTH), np.float32)
+    out[found] = np.add.reduceat(rows.reshape(-1, WIDTH).take(by, 0), first, axis=0)
+    return out
+
+
 class Attention:
     LEARNED = (("Q", (SYMBOLS, WIDTH)), ("K", (SYMBOLS, WIDTH)), ("V", (SYMBOLS, WIDTH)), ("R", (SYMBOLS, WIDTH)), ("P", (SYMBOLS, WIDTH)), ("C", (WIDTH, CLUSTERS)), ("M", (CLUSTERS, WIDTH, MEMBERS)), ("far", (WINDOW,)))
 
@@ -64,21 +73,28 @@ class Attention:
     def end(self) -> int:
         return int(self.place[SYMBOLS - 1])
 
-    def _bias(self) -> np.ndarray:
-        """STEP x WINDOW: distance terms, minus infinity after the query."""
+    def _bias(self) -> tuple[np.ndarray, np.ndarray]:
+        """STEP x WINDOW: distance terms, and 1 for the keys at or before the query, 0 after it."""
         gap = (np.arange(STEP)[:, None] + WINDOW - STEP) - np.arange(WINDOW)[None, :]
-        return np.where(gap >= 0, self.w["far"][np.clip(gap, 0, WINDOW - 1)], np.float32(-1e9)).astype(np.float32)
+        return self.w["far"][np.clip(gap, 0, WINDOW - 1)], (gap >= 0).astype(np.float32)
 
     def gradients(self, x: np.ndarray, valid: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """x: B x WINDOW places, valid: which belong to the text, y: B x STEP next places, scored: which of them count."""
         w = self.w
         q_at, before = x[:, WINDOW - STEP :], x[:, WINDOW - STEP - 1 : -1]
         q, k, v = w["Q"][q_at], w["K"][x], w["V"][x]
-        a = _softmax(q @ k.transpose(0, 2, 1) / 4 + self._bias() + np.where(valid, 0, -1e9).astype(np.float32)[:, None, :])
+        bias, seen = self._bias()
+        a = _softmax(np.where(seen * valid[:, None, :] > 0, q @ k.transpose(0, 2, 1) / 4 + bias, np.float32(-1e9)))
         h = (a @ v + w["R"][q_at] + w["P"][before] * valid[:, WINDOW - STEP - 1 : -1, None]).astype(np.float32)
         c, m = y // MEMBERS, y % MEMBERS
         pc = _softmax(self.to_cluster[q_at] + h @ w["C"])
-        pm = _softmax(self.to_member[q_at, c] + np.einsum("bsd,bsdm->bsm", h, w["M"][c]))
+        by = np.argsort(c, axis=None, kind="stable")
+        edges = np.searchsorted(c.ravel()[by], np.arange(CLUSTERS + 1))
+        groups = [(g, by[edges[g] : edges[g + 1]]) for g in np.flatnonzero(np.diff(edges))]  # places of each cluster's members
+        flat_h, inner = h.reshape(-1, WIDTH), np.empty((c.size, MEMBERS), np.float32)
+        for g, i in groups:
+            inner[i] = flat_h[i] @ w["M"][g]
+        pm = _softmax(self.to_member[q_at, c] + inner.reshape(*c.shape, MEMBERS))
         n = max(1, scored.sum())
         at = np.ix_(np.arange(len(x)), np.arange(STEP))
         loss = -(np.log(pc[at[0], at[1], c] + 1e-12) + np.log(pm[at[0], at[1], m] + 1e-12))[scored].sum() / n
@@ -88,16 +104,20 @@ class Attention:
         dm[at[0], at[1], m] -= 1
         dc, dm = dc * weight, dm * weight
         g = {k: np.zeros(s, np.float32) for k, s in self.LEARNED}
-        g["C"] = np.einsum("bsd,bsc->dc", h, dc)
-        np.add.at(g["M"], c.ravel(), (h[..., :, None] * dm[..., None, :]).reshape(-1, WIDTH, MEMBERS))
-        dh = dc @ w["C"].T + np.einsum("bsdm,bsm->bsd", w["M"][c], dm)
-        np.add.at(g["R"], q_at, dh)
-        np.add.at(g["P"], before, dh * valid[:, WINDOW - STEP - 1 : -1, None])
+        g["C"] = flat_h.T @ dc.reshape(-1, CLUSTERS)
+        dh, flat_dm = (dc @ w["C"].T).reshape(-1, WIDTH), dm.reshape(-1, MEMBERS)
+        for k_, i in groups:
+            part = flat_dm[i]
+            g["M"][k_] = flat_h[i].T @ part
+            dh[i] += part @ w["M"][k_].T
+        dh = dh.reshape(h.shape)
+        g["R"] = _scattered(q_at, dh)
+        g["P"] = _scattered(before, dh * valid[:, WINDOW - STEP - 1 : -1, None])
         da = dh @ v.transpose(0, 2, 1)
-        np.add.at(g["V"], x, a.transpose(0, 2, 1) @ dh)
+        g["V"] = _scattered(x, a.transpose(0, 2, 1) @ dh)
         ds = a * (da - (a * da).sum(-1, keepdims=True))
-        np.add.at(g["Q"], q_at, ds @ k / 4)
-        np.add.at(g["K"], x, ds.transpose(0, 2, 1) @ q / 4)
+        g["Q"] = _scattered(q_at, ds @ k / 4)
+        g["K"] = _scattered(x, ds.transpose(0, 2, 1) @ q / 4)
         gap = (np.arange(STEP)[:, None] + WINDOW - STEP) - np.arange(WINDOW)[None, :]
         np.add.at(g["far"], np.clip(gap, 0, WINDOW - 1), ds.sum(0))
         return float(loss), g
@@ -125,7 +145,8 @@ class Attention:
         blocks = np.maximum(0, -(-(ends - begins - 1) // STEP))
         text = np.repeat(np.arange(len(begins)), blocks)
         start = begins[text] + (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STEP
-        w, bias = self.w, self._bias()
+        w, bias, seen = self.w, *self._bias()
+        padded = np.append(w["P"], np.zeros((1, WIDTH), np.float32), 0)  # its last row: no symbol before
         members = np.ascontiguousarray(w["M"])
         quarter, flat = w["Q"] * np.float32(0.25), self.to_member.reshape(-1, MEMBERS)  # take() gathers rows faster than indexing
         for at in range(0, len(start), _BLOCKS):
@@ -137,15 +158,18 @@ class Attention:
             score = quarter.take(q_at, 0) @ w["K"].take(x, 0).transpose(0, 2, 1)
             score += bias
             first = np.flatnonzero(old[:, WINDOW - STEP - 1])
-            score[first] += np.where(old[first], np.float32(-1e9), np.float32(0))[:, None, :]
-            np.exp(np.minimum(score, 60, out=score), out=score)
+            np.exp(np.clip(score, -60, 60, out=score), out=score)
+            score *= seen
+            score[first] *= ~old[first][:, None, :]
             h = score @ w["V"].take(x, 0)
             h /= (score.reshape(-1, WINDOW) @ _ONES_W).reshape(len(s), STEP, 1)
             h += w["R"].take(q_at, 0)
-            h += w["P"].take(x[:, WINDOW - STEP - 1 : -1], 0) * ~old[:, WINDOW - STEP - 1 : -1, None]
-            live = ~new[:, WINDOW - STEP :].ravel()
-            here = keys[:, WINDOW - STEP :].ravel()[live]
-            h, now = h.reshape(-1, WIDTH)[live], q_at.ravel()[live]
+            before = x[:, WINDOW - STEP - 1 : -1].copy()
+            before[first, 0] = SYMBOLS
+            h += padded.take(before, 0)
+            live = np.flatnonzero(~new[:, WINDOW - STEP :])
+            here = keys[:, WINDOW - STEP :].ravel().take(live)
+            h, now = h.reshape(-1, WIDTH).take(live, 0), q_at.ravel().take(live)
             following = places[here + 1]
             c, m = following // MEMBERS, following % MEMBERS
             logit = h @ w["C"]
