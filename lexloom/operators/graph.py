@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexloom.operators import tree
+
 #: Relations that hold in both directions.
 SYMMETRIC = ("CONFLICTS_WITH", "SEE_ALSO")
 KEY = ["source", "target", "relation"]
@@ -60,26 +63,58 @@ def invalidated(edges: DataFrame, chunks: DataFrame) -> DataFrame:
     return joined.select("edge_id", *KEY, reason.alias("reason")).filter("reason is not null")
 
 
+def _leaves(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted(target) -> target, leaf: a target that names a container stands for all chunks under it."""
+    asked = wanted.select(F.col("target").alias("query_path"))
+    return tree.expand_to_leaves(chunks, asked).select(F.col("query_path").alias("target"), F.col("path").alias("leaf"))
+
+
 def violations(chunks: DataFrame, proposed: DataFrame) -> DataFrame:
-    """What forbids a proposal; any row refuses the whole change."""
-    own, other = chunks.select(F.col("path").alias("source"), "text"), chunks.select(F.col("path").alias("target"), F.lit(True).alias("there"))
-    joined = proposed.join(own, "source", "left").join(other, "target", "left")
+    """What forbids a proposal; any row refuses the whole change. A target may be a chunk or a container of chunks."""
+    own = chunks.select(F.col("path").alias("source"), "text")
+    leaves = _leaves(chunks, proposed).groupBy("target").agg(F.count("*").alias("_leaves"), F.max("leaf").alias("_leaf"))
+    joined = proposed.join(own, "source", "left").join(leaves, "target", "left")
     plain = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
     code = (
-        F.when(F.col("source") == F.col("target"), "SELF_REFERENCING_EDGE").when(F.col("text").isNull(), "SOURCE_NOT_FOUND").when(F.col("there").isNull(), "TARGET_NOT_FOUND")
-        .when(~F.contains(plain("text"), plain("citation")), "UNGROUNDED_CITATION_TEXT")
+        F.when(F.col("text").isNull(), "SOURCE_NOT_FOUND").when(F.col("_leaves").isNull(), "TARGET_NOT_FOUND")
+        .when(~F.contains(plain("text"), plain("citation")), "UNGROUNDED_CITATION_TEXT").when((F.col("_leaves") == 1) & (F.col("_leaf") == F.col("source")), "SELF_REFERENCING_EDGE")
     )
     return joined.select(*KEY, "citation", code.alias("code")).filter("code is not null")
 
 
-def curate(edges: DataFrame, chunks: DataFrame, added: DataFrame, removed: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
-    """The new edge table and its log rows; raises, with nothing changed, if one proposal is bad. removed: source, target, relation."""
+class Curated(NamedTuple):
+    edges: DataFrame
+    log: DataFrame  # action, source, target, relation, citation, actor, reason
+    outcome: DataFrame  # outcome (added, existing, removed, not_found), source, target, relation
+
+
+def plan_curation(edges: DataFrame, chunks: DataFrame, added: DataFrame, removed: DataFrame, reason: str) -> Curated:
+    """The new edge table, its log and what became of each request, for proposals without violations.
+
+    Removals come first. A container as target stands for the chunks under it, on both sides; a request to remove that finds no edge
+    at all is reported as asked. Of proposals for one edge the least citation counts.
+    """
+    asked = removed.select(*KEY).distinct()
+    there = asked.join(_leaves(chunks, asked), "target", "left").select(*KEY, F.coalesce("leaf", "target").alias("leaf"))
+    met = there.join(edges.select("source", F.col("target").alias("leaf"), "relation", "edge_id", "citation"), ["source", "leaf", "relation"])
+    gone = met.select("edge_id", "source", F.col("leaf").alias("target"), "relation", "citation").dropDuplicates(["edge_id"])
+    missed = asked.join(met.select(*KEY).distinct(), KEY, "left_anti")
+    left = edges.join(gone.select("edge_id"), "edge_id", "left_anti").select("edge_id", *KEY, "citation")
+
+    wanted = added.select(*KEY, "citation").join(_leaves(chunks, added), "target").filter("leaf <> source")
+    wanted = wanted.groupBy("source", F.col("leaf").alias("target"), "relation").agg(F.min("citation").alias("citation"))
+    new = insert_absent(left, wanted.withColumn("edge_id", F.concat_ws(":", *KEY))).select("edge_id", *KEY, "citation")
+    old = wanted.join(left.select(*KEY), KEY, "left_semi")
+
+    log = [df.select(F.lit(action).alias("action"), *KEY, "citation", F.lit("AGENT").alias("actor"), F.lit(reason.strip()).alias("reason")) for action, df in (("REMOVED", gone), ("ADDED", new))]
+    outcome = [df.select(F.lit(name).alias("outcome"), *KEY) for name, df in (("removed", gone), ("not_found", missed), ("added", new), ("existing", old))]
+    return Curated(left.unionByName(new), reduce(DataFrame.unionByName, log), reduce(DataFrame.unionByName, outcome))
+
+
+def curate(edges: DataFrame, chunks: DataFrame, added: DataFrame, removed: DataFrame, reason: str) -> Curated:
+    """As `plan_curation`; raises, with nothing changed, if one proposal is bad. removed: source, target, relation."""
     if not reason.strip():
         raise ValueError("a reason is needed")
     if bad := violations(chunks, added).limit(20).collect():
         raise ValueError("; ".join(f"{r.code}: {r.source} -> {r.target}" for r in bad))
-    left = edges.join(removed.select(*KEY), KEY, "left_anti")
-    new = insert_absent(left, added)
-    gone = edges.join(removed.select(*KEY), KEY, "left_semi")
-    log = new.select(F.lit("ADDED").alias("action"), *KEY, "citation").unionByName(gone.select(F.lit("REMOVED").alias("action"), *KEY, "citation"))
-    return left.select("edge_id", *KEY, "citation").unionByName(new.select("edge_id", *KEY, "citation")), log.withColumn("actor", F.lit("AGENT")).withColumn("reason", F.lit(reason))
+    return plan_curation(edges, chunks, added, removed, reason)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexloom.functions.text import FOLD_FROM, FOLD_TO
+from lexloom.operators.perturb import CHAT
 
 ON = "date '2021-03-01'"
 
@@ -61,6 +62,16 @@ _CITED = """edges as (
       select 'p' || (l_partkey % 40), 's' || ((l_suppkey + l_partkey) % 97), (['REFERENCES', 'AMENDS', 'SEE_ALSO'])[l_linenumber % 3 + 1] from lineitem where l_orderkey % 50 = 0)))"""
 
 
+def _seed(x: str) -> str:
+    return f"cast('0x' || substr(sha256({x}), 1, 8) as bigint)"
+
+
+def _chat(x: str) -> str:
+    for full, short in CHAT:
+        x = f"regexp_replace({x}, '{full}', '{short}', 'gi')"
+    return x
+
+
 def _walk(direction: str) -> str:
     out = "true" if direction != "INCOMING" else "relation = 'SEE_ALSO'"
     back = "true" if direction != "OUTGOING" else "relation = 'SEE_ALSO'"
@@ -123,7 +134,7 @@ ORACLES = {
       select edge_id, case when s.path is null or t.path is null then 'ORPHANED' else 'UNGROUNDED' end as reason
       from edges left join nodes s on source = s.path left join nodes t on target = t.path where s.path is null or t.path is null or not contains(s.text, citation)""",
     "edge_violations": f"""with {_CITED}, nodes as (select distinct source as path from edges where source not like '%3'), p as (select source, case when target = 'p5' then source else target end as target, relation, citation from edges),
-      c as (select p.*, case when source = target then 'SELF_REFERENCING_EDGE' when s.path is null then 'SOURCE_NOT_FOUND' when t.path is null then 'TARGET_NOT_FOUND' when not contains('p1 s2 p7 s9', citation) then 'UNGROUNDED_CITATION_TEXT' end as code
+      c as (select p.*, case when s.path is null then 'SOURCE_NOT_FOUND' when t.path is null then 'TARGET_NOT_FOUND' when not contains('p1 s2 p7 s9', citation) then 'UNGROUNDED_CITATION_TEXT' when source = target then 'SELF_REFERENCING_EDGE' end as code
         from p left join nodes s on source = s.path left join nodes t on target = t.path) select source, target, relation, code from c where code is not null""",
     "upsert_keep_embedding": f"""with {CHUNKS}, c as (select id, path, text, cast(embedding[1] as double) as embedding from chunks), o as (from c where id % 5 <> 0), n as (
         select path, case when id % 4 = 0 then text else text || '!' end as text, case when id % 3 = 0 then 9.0::double end as embedding from c where id % 2 = 0
@@ -160,4 +171,26 @@ ORACLES = {
     "citation_hints": """with o as (select 'o' || o_orderkey as doc_code, o_orderkey % 4 as k from orders)
       select doc_code, doc_code || '.a_1.c_1' as source, doc_code || '.a_1.c_2' as target from o
       union all select doc_code, doc_code || '.a_1.c_2', case when k in (1, 2) then doc_code || '.a_2.c_' || k || '.p_a' end from o""",
+    "curate_edges": f"""with {_CITED}, e as (select 'g' || length(source) || '.' || source as source, 'g' || length(target) || '.' || target as target, relation from edges),
+      nodes as (select source as path from e union select target from e),
+      gone as (from e where source like 'g2.%' and target like 'g3.%' and relation = 'REFERENCES'), remain as (from e except from gone),
+      missed as (select path as source, 'g3' as target, 'REFERENCES' as relation from nodes where path like 'g2.%' and path not in (select source from gone) union all select 'g2.s1', 'zz', 'AMENDS'),
+      wanted as (select a.path as source, t.path as target, 'SEE_ALSO' as relation from nodes a join nodes t on a.path <> t.path where a.path like 'g2.s%' and t.path like 'g2.%')
+      select 'removed' as outcome, * from gone union all select 'not_found', * from missed union all select 'added', * from (from wanted except from remain) union all select 'existing', * from (from wanted intersect from remain)""",
+    "expand_windows": """with w as (select conv_id, count(*) as n, string_agg(turn || ' ' || text, chr(10) order by turn) as body from conversations group by conv_id)
+      select 'c' || conv_id || '.w_1' as path, sha256('head' || chr(10) || body) as sha256 from w join conversations using (conv_id) where turn = 1""",
+    "query_perturbations": f"""with q as (
+        select item_id as ordinal, ['formal', 'no_diacritics', 'very_short', 'teencode', 'number_format'][item_id % 5 + 1] as base, 'cho hỏi ' || array_to_string(string_split(text, ' ')[1:6], ' ') || ' 05 người được 2.000.000 hay 1,5 thì bị phạt bao nhiêu?' as query from benchmark),
+      w as (select *, {_seed("query")} as seed, string_split_regex(query, '\\s+') as w from q), c as (select *, list_filter(range(len(w)), lambda i: regexp_full_match(w[i + 1], '\\p{{L}}{{5,}}')) as spots from w),
+      t as (select *, spots[seed % len(spots) + 1] + 1 as k, w[spots[seed % len(spots) + 1] + 1] as word from c), u as (select *, 1 + {_seed("word")} % (length(word) - 2) as cut from t),
+      made as (select ordinal, query, seed, list_filter([
+          {{'style': 'p_no_diacritics', 'variant': translate(query, '{FOLD_FROM}', '{FOLD_TO}')}}, {{'style': 'p_chat_abbrev', 'variant': {_chat("query")}}},
+          {{'style': 'p_truncate', 'variant': trim(regexp_replace(regexp_replace(query, '^cho hỏi ', ''), ' thì bị phạt bao nhiêu\\?$', ''), ' ?.,')}},
+          {{'style': 'p_number_reformat', 'variant': regexp_replace(regexp_replace(regexp_replace(query, '2\\.000\\.000', '2 triệu'), '\\b0(\\d)\\b', '\\1', 'g'), '\\b(\\d+),(\\d+)\\b', '\\1.\\2', 'g')}},
+          {{'style': 'p_typo', 'variant': array_to_string(list_transform(w, lambda x, i: case when i = k then x[1:cut] || x[cut + 2] || x[cut + 1] || x[cut + 3:] else x end), ' ')}},
+          {{'style': 'p_noise', 'variant': ['cho hỏi ', 'mọi người ơi ', 'anh chị cho em hỏi '][seed % 3 + 1] || rtrim(query, '?. ') || ' ???'}}],
+          lambda x: not coalesce(list_contains(case base when 'no_diacritics' then ['p_no_diacritics', 'p_typo'] when 'very_short' then ['p_truncate'] when 'teencode' then ['p_chat_abbrev', 'p_no_diacritics'] when 'number_format' then ['p_number_reformat'] end, x.style), false)) as usable from u),
+      picked as (select ordinal, query, nth, usable[(seed + nth) % len(usable) + 1] as x from made, range(2) r(nth)),
+      firsts as (select ordinal, x.style as style, x.variant as query, row_number() over (partition by lower(x.variant) order by ordinal, nth) as n from picked where x.variant <> query)
+      select ordinal, style, query from firsts where n = 1""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import citations, evaluate, graph, retrieve, tables, tree
+from lexloom.operators import citations, evaluate, graph, perturb, retrieve, tables, tree, windows
 from lexloom.plans import views as v
 from lexloom.plans.oracles import ORACLES  # noqa: F401
 from lexloom.sources import structure
@@ -295,6 +295,29 @@ def citation_hints(s, d) -> DataFrame:
     return citations.hints(docs).select("doc_code", "source", "target")
 
 
+def curate_edges(s, d) -> DataFrame:
+    placed = lambda c: F.concat(F.lit("g"), F.length(c).cast("string"), F.lit("."), c)
+    e = v.citations(s, d).select("edge_id", placed("source").alias("source"), placed("target").alias("target"), "relation", "citation")
+    nodes = e.select(F.col("source").alias("path")).union(e.select("target")).distinct().withColumn("text", F.lit("see  x"))
+    added = nodes.filter("path like 'g2.s%'").select(F.col("path").alias("source"), F.lit("g2").alias("target"), F.lit("SEE_ALSO").alias("relation"), F.lit("see x").alias("citation"))
+    removed = nodes.filter("path like 'g2.%'").select(F.col("path").alias("source"), F.lit("g3").alias("target"), F.lit("REFERENCES").alias("relation"))
+    removed = removed.unionByName(s.createDataFrame([("g2.s1", "zz", "AMENDS")], "source string, target string, relation string"))
+    return graph.plan_curation(e, nodes, added, removed, "checked").outcome
+
+
+def expand_windows(s, d) -> DataFrame:
+    turns = v.table(s, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".w_"), F.col("turn").cast("string")).alias("path"), F.concat(F.lit("head\n"), F.col("turn").cast("string"), F.lit(" "), "text").alias("text"), "turn")
+    hits = turns.filter("turn = 1").select("path", "text")
+    return windows.expand_windows(turns.select("path", "text"), hits, 1_000_000).select("path", T.sha256(F.col("text")).alias("sha256"))
+
+
+def query_perturbations(s, d) -> DataFrame:
+    b = v.table(s, d, "benchmark")
+    style = F.get(F.array(*map(F.lit, ("formal", "no_diacritics", "very_short", "teencode", "number_format"))), (F.col("item_id") % 5).cast("int"))
+    text = F.concat(F.lit("cho hỏi "), F.array_join(F.slice(F.split("text", " "), 1, 6), " "), F.lit(" 05 người được 2.000.000 hay 1,5 thì bị phạt bao nhiêu?"))
+    return perturb.perturbed(b.select(F.col("item_id").alias("ordinal"), text.alias("query"), style.alias("base_style"))).select("ordinal", "style", "query")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -302,6 +325,6 @@ QUERIES = {
         grep_substring, grep_regex, search_tagged, confidence, group_ranked, reading_order_islands, subtree, parent_context, expand_to_leaves, sibling_windows, raw_slice, line_coverage,
         graph_traverse_out, graph_traverse_in, graph_traverse_both, graph_links, edge_insert_absent, edge_invalidated, edge_violations, upsert_keep_embedding, purge_stale, embedding_cache,
         missing_embeddings, missing_texts, json_field, slug_label, flexible_dates, eval_summary, hit_rates, grounding, mcnemar, fill_ratio,
-        money_amounts, address_format, upsert_documents, fill_embeddings, chunk_documents, citation_hints,
+        money_amounts, address_format, upsert_documents, fill_embeddings, chunk_documents, citation_hints, curate_edges, expand_windows, query_perturbations,
     )
 }

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import evaluate, graph, retrieve, tables, tree
+from lexloom.operators import evaluate, graph, perturb, retrieve, tables, tree, windows
 
 
 def one(spark, column, **values):
@@ -83,7 +83,7 @@ def test_graph(spark):
     nodes = spark.createDataFrame([(x, f"see {x} and B") for x in "ABC"], "path string, text string")
     ok = spark.createDataFrame([("9", "C", "B", "REFERENCES", "B")], "edge_id string, source string, target string, relation string, citation string")
     none = e.select("source", "target", "relation").limit(0)
-    table, log = graph.curate(e, nodes, ok, none, "checked")
+    table, log, _ = graph.curate(e, nodes, ok, none, "checked")
     assert table.count() == 6 and [r.action for r in log.collect()] == ["ADDED"]
     bad = ok.unionByName(ok.withColumn("citation", F.lit("nowhere")).withColumn("target", F.lit("A")))
     with pytest.raises(ValueError, match="UNGROUNDED"):
@@ -120,3 +120,56 @@ def test_amounts_and_grades(spark):
     rows = [(True, "Điều 5: 2 triệu", ["d.a_5.c_1"], ["d.a_5"], [2000000], [], "Điều 5"), (True, "Điều 5", ["d.a_55"], ["d.a_5"], [], [], "Điều 5"), (False, "không rõ", [], [], [], [], ""), (False, "có", ["d.a_1"], [], [], [], "")]
     got = evaluate.grade(spark.createDataFrame(rows, schema), F.contains("answer", F.lit("không rõ"))).select("correct").collect()
     assert [r.correct for r in got] == [True, False, True, False]
+
+
+def test_curation(spark):
+    text = "path string, text string"
+    nodes = spark.createDataFrame([("d.a_1", "see  a_2 here"), ("d.a_2.c_1", "x"), ("d.a_2.c_2", "x"), ("d.a_3", "x")], text)
+    key = "source string, target string, relation string"
+    e = spark.createDataFrame([("1", "d.a_1", "d.a_2.c_1", "REFERENCES", "old"), ("2", "d.a_1", "d.a_3", "REFERENCES", "old"), ("3", "d.a_3", "d.a_2.c_2", "SEE_ALSO", "old")], f"edge_id string, {key}, citation string")
+    added = spark.createDataFrame([("d.a_1", "d.a_2", "REFERENCES", "see a_2"), ("d.a_1", "d", "SEE_ALSO", "see")], f"{key}, citation string")
+    removed = spark.createDataFrame([("d.a_3", "d.a_2", "SEE_ALSO"), ("d.a_3", "gone", "SEE_ALSO"), ("d.a_3", "d.a_2", "SEE_ALSO")], key)
+    got = graph.curate(e, nodes, added, removed, " checked ")
+    assert sorted(tuple(r) for r in got.outcome.collect()) == [
+        ("added", "d.a_1", "d.a_2.c_1", "SEE_ALSO"), ("added", "d.a_1", "d.a_2.c_2", "REFERENCES"), ("added", "d.a_1", "d.a_2.c_2", "SEE_ALSO"), ("added", "d.a_1", "d.a_3", "SEE_ALSO"),
+        ("existing", "d.a_1", "d.a_2.c_1", "REFERENCES"), ("not_found", "d.a_3", "gone", "SEE_ALSO"), ("removed", "d.a_3", "d.a_2.c_2", "SEE_ALSO"),
+    ]
+    assert got.edges.count() == 6 and {(r.action, r.reason) for r in got.log.collect()} == {("ADDED", "checked"), ("REMOVED", "checked")}
+    bad = spark.createDataFrame([("no", "d", "R", "x"), ("d.a_1", "no", "R", "see"), ("d.a_1", "d", "R", "not there"), ("d.a_3", "d.a_3", "R", "x")], f"{key}, citation string")
+    assert sorted(r.code for r in graph.violations(nodes, bad).collect()) == ["SELF_REFERENCING_EDGE", "SOURCE_NOT_FOUND", "TARGET_NOT_FOUND", "UNGROUNDED_CITATION_TEXT"]
+
+
+def test_merged_windows():
+    gap, parts = windows.ELISION, [f"cap\n{c * 40}" for c in "abcde"]
+    assert windows.merged(parts, 5000) == "\n".join(["cap"] + [c * 40 for c in "abcde"])
+    assert windows.merged(["x", " ", ""], 5) == "x" and windows.merged([" "], 5) == ""
+    room = 4 + 3 * 41 + len(gap) + 2
+    assert windows.merged(parts, room, 2).split("\n") == ["cap", gap, "b" * 40, "c" * 40, "d" * 40, gap]
+    assert windows.merged(parts, room, 4).split("\n") == ["cap", gap, "c" * 40, "d" * 40, "e" * 40]
+    assert windows.merged(parts, 1, 9).split("\n") == ["cap", gap, "e" * 40]
+
+
+def test_expand_windows(spark):
+    chunks = spark.createDataFrame([("d.a.w_10", "h\nten"), ("d.a.w_2", "h\ntwo"), ("d.a.w_1", None), ("d.b.w_1", "only"), ("d.c", "plain")], "path string, text string")
+    hits = chunks.withColumn("rank", F.length("path"))
+    got = {r.path: r.text for r in windows.expand_windows(chunks, hits).collect()}
+    assert got == {"d.a.w_10": "h\ntwo\nten", "d.a.w_2": "h\ntwo\nten", "d.a.w_1": "h\ntwo\nten", "d.b.w_1": "only", "d.c": "plain"}
+    assert windows.expand_windows(chunks, hits.limit(0)).columns == ["path", "text", "rank"]
+
+
+def test_perturbations(spark):
+    t = F.col("t")
+    assert one(spark, perturb.no_diacritics(t), t="Vượt đèn Đỏ") == "Vuot den Do"
+    assert one(spark, perturb.chat_abbrev(t), t="Không được vậy bao nhiêu") == "ko dc v bn"
+    assert one(spark, perturb.truncate(t), t="Cho hỏi, xe máy vượt đèn đỏ thì bị phạt bao nhiêu tiền?") == "xe máy vượt đèn đỏ"
+    assert one(spark, perturb.truncate(t), t="đèn đỏ phạt") == "đèn đỏ phạt"
+    assert one(spark, perturb.number_reformat(t), t="từ 4.000.000 hoặc 050.000.000 ngày 05 mức 1,2") == "từ 4 triệu hoặc 50 triệu ngày 5 mức 1.2"
+    typed = one(spark, perturb.typo(t), t="xe nghiêng đi")
+    assert typed != "xe nghiêng đi" and sorted(typed) == sorted("xe nghiêng đi") and typed.split()[0] == "xe"
+    assert one(spark, perturb.typo(t), t="a b") == "a b" and one(spark, perturb.typo(t), t="") == ""
+    assert one(spark, perturb.noise(t), t="mức phạt?. ").endswith("mức phạt ???")
+    rows = spark.createDataFrame([(1, "vượt đèn đỏ nhanh", "formal"), (2, "VƯỢT đèn đỏ nhanh", None), (3, " ", "formal"), (4, "abc def", "teencode")], "ordinal long, query string, base_style string")
+    got = perturb.perturbed(rows, 6).collect()
+    assert len({r.query.lower() for r in got}) == len(got) and all(r.query != r.base_query for r in got)
+    assert {r.style for r in got if r.ordinal == 4} <= {"p_truncate", "p_number_reformat", "p_typo", "p_noise"} and not [r for r in got if r.ordinal == 3]
+    assert all(n <= 2 for n in __import__("collections").Counter(r.ordinal for r in perturb.perturbed(rows).collect()).values())
