@@ -174,20 +174,3 @@ def components(docs: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE)
     of_fp = util.cut(rooted.join(ids, "root").select("fp", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return marked.join(of_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, blocks: int = BLOCKS, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (null last), then of the least text hash."""
-    names = docs.columns
-    text_row = util.row_key(F.col("text")).alias("row")
-    marked = util.cut(fingerprints(docs, text_row))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row")
-    distinct = util.cut(marked.groupBy("fp").agg(F.min(order).alias("least")))
-    star = stars(links(distinct.select("fp"), blocks, distance))
-    best = distinct.join(star, distinct.fp == star.a, "left").groupBy(F.coalesce("b", "fp").alias("root")).agg(F.min("least").alias("x"))
-    best = util.cut(best.select(F.col("x.no_id").alias("_no_id"), F.col("x.id").alias("_id"), F.col("x.row").alias("_text")))
-    boxed = docs.select(F.struct(*names).alias("_row"), F.col("doc_id").isNull().alias("_no_id"), F.coalesce("doc_id", F.lit(0)).alias("_id"), text_row.alias("_text"))
-    kept = boxed.join(best, ["_no_id", "_id", "_text"], "left_semi")
-    if not marked.groupBy("doc_id", "row").count().filter("count > 1").isEmpty():  # rows repeated whole: one of them
-        kept = kept.dropDuplicates(["_no_id", "_id", "_text"])
-    return kept.select("_row.*")
