@@ -18,7 +18,9 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-    return util.cut(out.filter("a <> b").distinct())
+    out = util.cut(out.filter("a <> b").distinct())
+    util.drop(least)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,7 +32,10 @@ def stars(edges: DataFrame) -> DataFrame:
     edges = util.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = _state(edges)
     while state[0]:
-        edges = _step(_step(edges, True), False)
+        large = _step(edges, True)
+        util.drop(edges)
+        edges = _step(large, False)
+        util.drop(large)
         if (new := _state(edges)) == state:
             break
         state = new

@@ -31,13 +31,25 @@ def prepare(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` once in the cluster's shared checkpoint folder; a folder of our own only where none is named."""
+    """Materialise `df` once in the cluster's shared checkpoint folder; a folder of our own only on a local master."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexloom-checkpoint"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lexloom-checkpoint"))
     return df.checkpoint(eager=True)
 
 
+def drop(*frames: DataFrame) -> None:
+    """Delete what `cut` wrote for frames that no later job reads."""
+    for df in frames:
+        at = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if at.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of frames that nothing refers to any more, before the next large shuffle."""
     gc.collect()
