@@ -5,11 +5,15 @@ Sources in code-point order (null last) carry the cycled `weights`. Their target
 sources sorted by cap / weight, the level is (total - caps before) / (weights from here on) at the first source that it doesn't fill.
 
 A document is taken floor(target / size) times whole. The rest of its source's target is filled by one more repetition of documents
-in the order of a seeded digest; the document at the border gives the part that is missing, so a source takes its rounded target.
-The order is searched by digest prefixes (256 sums a source and level), so no source's rows meet in one task.
+in the order of a seeded digest of id and text; the document at the border gives the part that is missing, so a source takes its
+rounded target exactly. The order is searched by digest prefixes (256 sums a source and level), so no source's rows meet in one task.
+Rows equal in id and text share a digest. Where the border falls on them they are numbered by the partition they lie in and their
+place there: the first ones are taken whole, one in part, and none after it; which of equal rows is which does not show.
+
+One row a source is sorted in one task (tens of millions of sources are that task's limit); nothing else is.
 
 Null text: size 0. Null source: a source of its own. Null doc_id: hashed as an empty string. Repeated rows each count. Sources of
-size 0 have target 0. Empty table: no rows. Other columns pass through `mixed` untouched.
+size 0 have target 0. Very long texts: like any other. Empty table: no rows. Other columns pass through `mixed` untouched.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import util
 
-WORD = r"[^\x20\x09-\x0D]+"
+WORD, BLANK = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
@@ -31,7 +35,7 @@ OUTPUTS = ("size", "source_size", "target", "repetitions", "partial", "taken")
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """source, size, digest and, in a struct `_row`, the columns of docs but the names that mixing computes and, for narrow tables, the text."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
+    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).cast("binary"))
     return docs.select(F.struct(*docs.columns).alias("_row"), "source", size.alias("size"), digest.alias("digest"))
 
 
@@ -94,19 +98,35 @@ def _planned(table: DataFrame, weights: tuple[int, ...], max_epochs: int) -> Dat
     edge = last.filter((F.col("through") >= F.col("need")) & (F.col("through") - F.col("size") < F.col("need"))).select(F.col("source").alias("s"), F.col("digest").alias("border"), (F.col("need") - F.col("through") + F.col("size")).alias("part"))
     edge = util.cut(edge)
     plan = sources.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("s"), "source_size", "target", "whole", "border", "part")
-    out = table.join(util.small(util.cut(plan)), F.col("source").eqNullSafe(F.col("s")))
-    partial = F.when(F.col("digest") < F.col("border"), F.col("size")).when(F.col("digest") == F.col("border"), F.least("part", "size")).otherwise(0)
-    partial = F.when(F.col("border").isNull(), F.lit(0)).otherwise(partial).cast("long")
-    out = out.withColumn("repetitions", F.col("whole") + F.when((partial == F.col("size")) & (F.col("size") > 0), 1).otherwise(0))
-    out = out.withColumn("partial", F.when(partial == F.col("size"), F.lit(0)).otherwise(partial).cast("long"))
+    plan = util.cut(plan)
+    out = table.join(util.small(plan), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    at_border = F.coalesce(F.col("digest") == F.col("border"), F.lit(False))
+    whole_rest = out.filter(~at_border).withColumn("partial", F.when(F.col("digest") < F.col("border"), F.col("size")).otherwise(0).cast("long"))
+    out = whole_rest.unionByName(_shared(out.filter(at_border)))
+    out = out.withColumn("repetitions", F.col("whole") + F.when((F.col("partial") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0))
+    out = out.withColumn("partial", F.when(F.col("partial") == F.col("size"), F.lit(0)).otherwise(F.col("partial")).cast("long"))
     return out.withColumn("taken", F.col("repetitions") * F.col("size") + F.col("partial"))
 
 
+def _shared(border: DataFrame) -> DataFrame:
+    """Rows at their source's border, equal but for their columns beside id and text: `part` words go to them in turn, as `partial`."""
+    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    border = util.cut(border.withColumns({"_s": named, "_at": F.spark_partition_id(), "_n": F.monotonically_increasing_id()}))
+    before = Window.partitionBy("_s").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    counts = border.groupBy("_s", "_at").agg(F.count(F.lit(1)).alias("rows")).withColumn("first", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("_s", "_at").orderBy("_n")) - 1
+    numbered = border.withColumn("nth", own).join(util.small(counts.drop("rows")), ["_s", "_at"])
+    left = F.col("part") - (F.col("nth") + F.col("first")) * F.col("size")
+    return numbered.withColumn("partial", F.greatest(F.lit(0), F.least("size", left)).cast("long")).select(*[c for c in border.columns if c not in ("_s", "_at", "_n")], "partial")
+
+
 def repeated(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus itself, in the columns of docs: each document as often as it is taken, a partial one cut after its words."""
+    """The mixed corpus itself, in the columns of docs: each document as often as it is taken, a partial one cut after its last word taken."""
     x = _planned(sized(docs, options.get("seed", SEED)), options.get("weights", WEIGHTS), options.get("max_epochs", MAX_EPOCHS))
-    words = F.filter(F.split("_row.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    lead = F.regexp_extract("_row.text", rf"^{BLANK}*", 0)
+    words = F.split(F.substr("_row.text", F.length(lead) + 1), rf"(?<={BLANK})(?!{BLANK})")  # each word with the white space after it
     copies = F.concat(F.array_repeat(F.lit(False), F.col("repetitions").cast("int")), F.array_repeat(F.lit(True), F.when(F.col("partial") > 0, 1).otherwise(0)))
     x = x.select("_row", "partial", F.explode(copies).alias("_cut"))
-    text = F.when(F.col("_cut"), F.array_join(F.slice(words, 1, F.col("partial").cast("int")), " ")).otherwise(F.col("_row.text"))
+    head = F.concat(lead, F.regexp_replace(F.array_join(F.slice(words, 1, F.col("partial").cast("int")), ""), rf"{BLANK}+$", ""))
+    text = F.when(F.col("_cut"), head).otherwise(F.col("_row.text"))
     return x.select(*[text.alias(c) if c == "text" else f"_row.{c}" for c in docs.columns])

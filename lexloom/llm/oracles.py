@@ -54,7 +54,7 @@ from judged
 OP5 = rf"""
 with sized as (
   select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{_SOLID}')) as bigint) as size,
-    md5('mix-1:' || coalesce(cast(doc_id as varchar), '')) as digest from documents
+    md5('mix-1:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as digest from documents
 ), sources as (
   select source, cast(sum(size) as bigint) as source_size from sized group by source
 ), weighed as (
@@ -74,8 +74,28 @@ with sized as (
     cast(sum(d.size) over (partition by d.source order by digest) as bigint) - d.size as before
   from digests d join plan p on d.source is not distinct from p.source
 )
-select s.doc_id, s.size, r.source_size, r.target, r.whole * s.size + cast(greatest(0, least(s.size, r.need - r.before)) as bigint) as taken
+select s.doc_id, s.size, r.source_size, r.target,
+  r.whole * s.size + cast(greatest(0, least(s.size, r.need - r.before - (row_number() over (partition by s.source, s.digest) - 1) * s.size)) as bigint) as taken
 from sized s join run r on s.source is not distinct from r.source and s.digest = r.digest
 """
 
-ORACLES = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op5_mix_sources": OP5}
+OP9 = rf"""
+with docs as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '{_SOLID}') as w from documents
+), windows as (
+  select doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) as h from (select doc_id, w, unnest(generate_series(1, len(w) - 19)) as i from docs)
+), later as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by h order by doc_id, i) as nth from windows) where nth > 1
+), covered as (
+  select distinct doc_id, i + k as pos from later, (select unnest(generate_series(0, 19)) as k)
+), words as (
+  select doc_id, unnest(w) as word, unnest(generate_series(1, len(w))) as pos from docs
+), kept as (
+  select doc_id, count(*) filter (c.pos is not null) as n_removed, string_agg(word, ' ' order by words.pos) filter (c.pos is null) as left_over
+  from words left join covered c using (doc_id, pos) group by doc_id
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(left_over, '')) as kept_sha256
+from docs left join kept using (doc_id)
+"""
+
+ORACLES = {"op1_line_dedup": OP1, "op2_quality_rules": OP2, "op5_mix_sources": OP5, "op9_substring_dedup": OP9}
