@@ -7,7 +7,8 @@ The range partitioning is over (hash, document, position), so the rows of one ve
 as they need. A key that crosses a partition's edge is settled from at most `min_docs` witnesses per edge.
 
 Null text: one empty line. Null doc_id: one document before all others. Rows that share a doc_id count as one document, each
-keeps its own row. Empty table: no rows. Keys are compared by 128-bit XXH3. Other columns pass through `keep_lines` untouched.
+keeps its own row. Very long texts: their lines are keyed like any other, their bitmap is compressed. Empty table: no rows. Keys are
+compared by 128-bit XXH3. Other columns, of any name, pass through `keep_lines` untouched.
 """
 
 from __future__ import annotations
@@ -59,60 +60,93 @@ def _occurrences(min_chars: int):
     return run
 
 
+def _spans(hi: np.ndarray, lo: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each run of one key."""
+    edges = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))
+    return list(zip(edges.tolist(), [*edges[1:].tolist(), len(hi)]))
+
+
+class _Run:
+    """One key's rows as they come, largest document first.
+
+    Until `min_docs` documents are seen the rows are held, as the arrays they came in; from then on all but those of the first document
+    are known to go and leave at once. `headless`: the key may have begun in the partition before, so nothing is sure here.
+    """
+
+    def __init__(self, key: tuple, min_docs: int, headless: bool):
+        self.key, self.min_docs, self.headless = key, min_docs, headless
+        self.docs: list[int] = []
+        self.witnesses: list[list] = []
+        self.held: list[list[np.ndarray]] = []
+
+    def add(self, rows: list[np.ndarray]) -> Iterator[tuple[int, list[np.ndarray]]]:
+        doc = rows[2]
+        if len(self.docs) < self.min_docs:
+            fresh = np.flatnonzero(np.append(not self.docs or doc[0] != self.docs[-1], doc[1:] != doc[:-1]))[: self.min_docs - len(self.docs)]
+            self.docs += doc[fresh].tolist()
+            if len(fresh):
+                self.witnesses.append([x[fresh] for x in rows])
+        if self.headless:
+            yield 1, rows
+        else:
+            self.held.append(rows)
+            if len(self.docs) >= self.min_docs:
+                yield from self._sure()
+
+    def _sure(self) -> Iterator[tuple[int, list[np.ndarray]]]:
+        for rows in self.held:
+            gone = rows[2] != self.docs[0]
+            if gone.any():
+                yield 0, [x[gone] for x in rows]
+        self.held.clear()
+
+    def close(self, at_edge: bool) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """At a partition's edge the undecided rows and the witnesses leave, as others may settle them."""
+        if at_edge:
+            for rows in self.held:
+                yield 1, rows
+            for rows in self.witnesses:
+                yield 2, rows
+        self.held.clear()
+
+
 def _stream(min_docs: int):
     """Over rows sorted by (hash, doc descending, row, pos): kind 0 is dropped for certain, kind 1 lies in a run at the partition's
-    edge, kind 2 is a witness of such a run (its `min_docs` largest documents)."""
+    edge, kind 2 is a witness of such a run (its `min_docs` largest documents). Runs inside one batch are settled together."""
 
-    def settle(run: list[np.ndarray], open_edge: bool) -> dict[str, np.ndarray] | None:
-        hi, lo, doc, row, pos = run
+    def inner(now: list[np.ndarray]) -> tuple[int, list[np.ndarray]] | None:
+        hi, lo, doc = now[:3]
         fresh = np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))
-        key = np.cumsum(fresh) - 1
+        starts, key = np.flatnonzero(fresh), np.cumsum(fresh) - 1
         new_doc = fresh | np.append(True, doc[1:] != doc[:-1])
-        starts = np.flatnonzero(fresh)
-        docs_so_far = np.cumsum(new_doc) - (np.cumsum(new_doc)[starts] - 1)[key]
-        n_docs = np.add.reduceat(new_doc.astype(np.int64), starts)[key]
-        if open_edge:
-            kind = np.ones(len(hi), np.int32)
-            seen = np.flatnonzero(new_doc & (docs_so_far <= min_docs))
-            at = np.concatenate([np.arange(len(hi)), seen])
-            kind = np.concatenate([kind, np.full(len(seen), 2, np.int32)])
-        else:
-            at = np.flatnonzero((n_docs >= min_docs) & (docs_so_far > 1))
-            kind = np.zeros(len(at), np.int32)
-        return {"kind": kind, "hi": hi[at], "lo": lo[at], "doc": doc[at], "row": row[at], "pos": pos[at]} if len(at) else None
+        gone = (np.add.reduceat(new_doc.astype(np.int64), starts)[key] >= min_docs) & (doc != doc[starts][key])
+        return (0, [x[gone] for x in now]) if gone.any() else None
 
-    def emit(found: dict[str, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-        if found is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in found.values()], names=list(found))
+    def batch(kind: int, rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows[0]), kind, np.int32)), *map(pa.array, rows)], names=["kind", "hi", "lo", "doc", "row", "pos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # A run that is still open holds only what later rows need: rows past its first `min_docs` documents are emitted as they come.
-        first_key, held, held_docs, sure = None, None, 0, False
+        open_: _Run | None = None
         for rows in batches:
             if not rows.num_rows:
                 continue
             now = [rows.column(c).to_numpy() for c in ("hi", "lo", "doc", "row", "pos")]
-            if held is not None:
-                now = [np.concatenate(x) for x in zip(held, now)]
-            if first_key is None:
-                first_key = (now[0][0], now[1][0])
-            same_last = (now[0] == now[0][-1]) & (now[1] == now[1][-1])
-            tail = len(same_last) - int(np.argmin(same_last[::-1])) if not same_last.all() else 0
-            head = 0
-            if (now[0][0], now[1][0]) == first_key:
-                other = (now[0] != first_key[0]) | (now[1] != first_key[1])
-                head = int(np.argmax(other)) if other.any() else len(other)
-            if head == len(now[0]):  # all of it is the first key: its rows can leave at once
-                yield from emit(settle(now, True))
-                held = None
-                continue
-            if head:
-                yield from emit(settle([x[:head] for x in now], True))
-            if tail > head:
-                yield from emit(settle([x[head:tail] for x in now], False))
-            held = [x[tail:] for x in now]
-        if held is not None:
-            yield from emit(settle(held, True))
+            spans = _spans(now[0], now[1])
+            key = lambda at: (int(now[0][at]), int(now[1][at]))
+            first, last = spans[0], spans[-1]
+            if open_ is None or open_.key != key(0):
+                if open_ is not None:
+                    yield from (batch(*x) for x in open_.close(open_.headless))
+                open_ = _Run(key(0), min_docs, headless=open_ is None)
+            yield from (batch(*x) for x in open_.add([x[first[0] : first[1]] for x in now]))
+            if first != last:
+                yield from (batch(*x) for x in open_.close(open_.headless))
+                if first[1] < last[0] and (found := inner([x[first[1] : last[0]] for x in now])):
+                    yield batch(*found)
+                open_ = _Run(key(last[0]), min_docs, headless=False)
+                yield from (batch(*x) for x in open_.add([x[last[0] : last[1]] for x in now]))
+        if open_ is not None:
+            yield from (batch(*x) for x in open_.close(True))
 
     return run
 
@@ -149,31 +183,29 @@ def positions(bitmap: bytes | None) -> set[int]:
 
 
 def with_bitmaps(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
-    """docs and a nullable column `_bitmap`; one shuffle of the texts, none where AQE finds the bitmaps small."""
+    """doc_id, text, box (the other columns as a struct) and bitmap (nullable) of each row; one shuffle of the texts, none where AQE
+    finds the bitmaps small."""
     maps = dropped_lines(docs, min_chars, min_docs)
-    left = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(_NULL_DOC))).withColumn("_row", util.row_key(F.col("text")))
-    maps = maps.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"), F.col("bitmap").alias("_bitmap"))
-    return left.join(maps, ["_doc", "_row"], "left").drop("_doc", "_row")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    left = docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("box"), F.coalesce("doc_id", F.lit(_NULL_DOC)).alias("doc"), util.row_key(F.col("text")).alias("row"))
+    return left.join(maps, ["doc", "row"], "left").drop("doc", "row")
 
 
 def keep_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with the duplicate lines gone from `text` (a null text without drops stays null); columns and their order as given."""
-    fields = docs.schema
-    joined = with_bitmaps(docs, min_chars, min_docs).select(*fields.names, "_bitmap")
-    at = fields.names.index("text")
+    joined = with_bitmaps(docs, min_chars, min_docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             texts = rows.column("text").to_pylist()
-            for k, bitmap in enumerate(rows.column("_bitmap").to_pylist()):
+            for k, bitmap in enumerate(rows.column("bitmap").to_pylist()):
                 if bitmap:
                     gone = positions(bitmap)
                     texts[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in gone)
-            columns = [rows.column(n) for n in fields.names]
-            columns[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=fields.names)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(texts, pa.string()), rows.column("box")], names=["doc_id", "text", "box"])
 
-    return joined.mapInArrow(run, fields)
+    kept = joined.mapInArrow(run, joined.drop("bitmap").schema)
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"box.`{c}`") for c in docs.columns])
 
 
 def digests(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -182,7 +214,7 @@ def digests(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             n, dropped, sha = [], [], []
-            for text, bitmap in zip(rows.column("text").cast(pa.binary()).to_pylist(), rows.column("_bitmap").to_pylist()):
+            for text, bitmap in zip(rows.column("text").cast(pa.binary()).to_pylist(), rows.column("bitmap").to_pylist()):
                 text = text or b""
                 gone = positions(bitmap)
                 n.append(text.count(b"\n") + 1)
