@@ -14,7 +14,10 @@ A document sends equal blocks or windows once, whatever their number in it, so a
 any hash: a passage that a third of the documents share adds one entry each, never pairs. Repeats inside a document are settled
 where it is read.
 
-Null or empty text: no words. Null doc_id: before all others. Rows that share doc_id and text are one document and get the same
+Probes carry 32 bits of a hash beside its bucket; a false hit costs work in step 2, which compares windows by 64 bits, never a result.
+A bucket is held by one task: the number of buckets is `spark.sql.shuffle.partitions`, to be set in proportion to the input.
+
+Null or empty text: no words. Very long texts: scanned whole, alone in their chunk. Null doc_id: before all others. Rows that share doc_id and text are one document and get the same
 result; rows that share only doc_id are ordered by a hash of the text. Empty table: no rows. Other columns are ignored.
 """
 
@@ -33,6 +36,7 @@ from lexloom.llm import textscan as ts
 from lexloom.llm import util
 
 _NULL_DOC = -(2**63)
+LANES = 4  # a shuffle partition's answers go in so many parts, by a hash of document and text
 _BLOB = "bucket int, docs binary, rows binary, counts binary, hashes binary, flags binary"
 _BLOB_NAMES = ["bucket", "docs", "rows", "counts", "hashes", "flags"]
 
@@ -91,7 +95,7 @@ class _Bucket:
         """One blob a lane of documents: doc, row, and how many ranks each; the ranks."""
         at = np.flatnonzero(chosen)
         owner = self.owner[at]
-        lane = (self.row[owner].astype(np.int64) & 0x7FFFFFFF) % lanes
+        lane = (ts.mix(self.doc[owner].view(np.uint64) ^ (self.row[owner].astype(np.uint64) << np.uint64(32))) % np.uint64(lanes)).astype(np.int64)
         order = np.argsort(lane, kind="stable")
         at, owner, lane = at[order], owner[order], lane[order]
         edges = np.flatnonzero(np.append(True, lane[1:] != lane[:-1])) if len(at) else []
@@ -215,6 +219,8 @@ def _probes(half: int, n_buckets: int):
 
 
 _BLOB_SCHEMA = pa.schema([("bucket", pa.int32())] + [(n, pa.binary()) for n in _BLOB_NAMES[1:]])
+
+
 def _chosen(lists: list, bucket: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
     """Entries (given by bucket and row, in sending order) that the buckets' answers name."""
     out = np.zeros(len(bucket), bool)
@@ -347,13 +353,14 @@ def repeats(docs: DataFrame, width: int = 20) -> DataFrame:
 
     def asked(blobs: DataFrame, rule, bytes_each: int) -> DataFrame:
         dealt = blobs.repartition(n, "bucket").sortWithinPartitions("bucket")
-        answers = dealt.mapInArrow(_resolve(rule, bytes_each, n), "lane int, bucket int, docs binary, rows binary, counts binary, ranks binary")
+        answers = dealt.mapInArrow(_resolve(rule, bytes_each, LANES * n), "lane int, bucket int, docs binary, rows binary, counts binary, ranks binary")
         return answers.repartition(n, "lane").sortWithinPartitions("lane").mapInArrow(_regroup, "doc long, row int, answers binary")
 
     packed = base.mapInArrow(_squeezed, "doc_id long, doc long, row int, packed binary")
     hits = util.cut(asked(base.select("doc", "row", "text").mapInArrow(_probes(width // 2, n), _BLOB), _hit, 4))
     util.release(spark)
     extended = util.cut(packed.join(hits, ["doc", "row"], "left").mapInArrow(_extend(width, n), _EXTENDED))
+    util.drop(hits)
     util.release(spark)
     later = asked(extended.filter("kind = 2").select(*_BLOB_NAMES), _later, 8).withColumnRenamed("answers", "later")
     names = [k for k, _ in _RESULT_FIELDS]
