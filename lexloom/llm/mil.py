@@ -4,10 +4,11 @@ A document is a bag of passages of PASSAGE words. A passage is described by PASS
 gated attention weighs the encodings and a logistic unit scores their weighted mean. All weights are learned together from document
 labels. No label, language, source or id is an input.
 
-Fitting takes at most SAMPLE labelled rows (the least by a hash of the id, so the same at every run); everything is scored.
+Fitting takes at most SAMPLE labelled rows (the least by a hash of the id, so the same at every run), which bounds what the driver
+holds by SAMPLE texts' features; everything is scored.
 
 Null or empty text: one empty passage. Null doc_id: not held out, never a training row. A doc_id with several labels takes the
-smallest; rows that repeat a labelled id all train. Without labelled rows every score is 0.5. Empty table: no rows. Other columns
+smallest; rows that repeat a labelled id train too, within SAMPLE. Very long texts: all their passages. Equal texts: equal scores. Without labelled rows every score is 0.5. Empty table: no rows. Other columns
 pass through `scored` untouched.
 """
 
@@ -147,7 +148,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
                 blobs = [x[a:b].astype("<f4").tobytes() for a, b in zip(edges, edges[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality").cast(pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "quality", "features"])
 
-    found = rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, features binary").orderBy("doc_id", "features").toArrow()
+    found = rows.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, features binary")
+    # Rows that repeat a labelled id count too: the bound holds for rows, in the order of the ids' hash.
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).orderBy("doc_id", "features").toArrow()
     if not found.num_rows:
         return None
     each = [np.frombuffer(b, "<f4").reshape(-1, len(PASSAGE_FEATURES)) for b in found.column("features").to_pylist()]
