@@ -37,18 +37,37 @@ def cluster(pairs: np.ndarray) -> np.ndarray:
     return order
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(-1, keepdims=True))
-    return x / x.sum(-1, keepdims=True)
+class _Scatter:
+    """Sums rows at their symbols; the order is found once for all that share it."""
+
+    def __init__(self, at: np.ndarray):
+        flat = at.ravel()
+        self.by = np.argsort(flat.astype(np.uint16), kind="stable")
+        ordered = flat.take(self.by)
+        self.first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
+        self.found = ordered[self.first]
+
+    def __call__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((SYMBOLS, WIDTH), np.float32)
+        out[self.found] = np.add.reduceat(rows.reshape(-1, WIDTH).take(self.by, 0), self.first, axis=0)
+        return out
+
+
+class Adam:
+    """The optimizer's state beside a model's weights."""
 
+    def __init__(self, weights: dict[str, np.ndarray]):
+        self.w, self.step = weights, 0
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
 
-def _scattered(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sum of the rows at each symbol."""
-    by = np.argsort(at.ravel().astype(np.uint16), kind="stable")
-    found, first = np.unique(at.ravel()[by], return_index=True)
-    out = np.zeros((SYMBOLS, WIDTH), np.float32)
-    out[found] = np.add.reduceat(rows.reshape(-1, WIDTH).take(by, 0), first, axis=0)
-    return out
+    def update(self, gradients: dict[str, np.ndarray], rate: float) -> None:
+        self.step += 1
+        up, down = rate / (1 - 0.9**self.step), 1 / np.sqrt(1 - 0.99**self.step)
+        for k, g in gradients.items():
+            m, v = self.m[k], self.v[k]
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            self.w[k] -= (up * m / (np.sqrt(v) * down + 1e-7)).astype(self.w[k].dtype)
 
 
 class Attention:
@@ -69,6 +88,19 @@ class Attention:
         rng = np.random.default_rng(seed)
         self.w = {k: (rng.normal(0, 0.05 if k in "CM" else 0.3, s) if k != "far" else np.zeros(s)).astype(np.float32) for k, s in self.LEARNED}
 
+    def flat(self) -> np.ndarray:
+        """All learned weights in one vector."""
+        return np.concatenate([self.w[k].ravel() for k, _ in self.LEARNED])
+
+    def copy(self, flat: np.ndarray | None = None) -> "Attention":
+        """The same model with weights of its own, or with those of a flat vector."""
+        new = Attention.__new__(Attention)
+        new.__dict__ |= self.__dict__
+        flat = self.flat() if flat is None else flat
+        ends = np.cumsum([int(np.prod(s)) for _, s in self.LEARNED])
+        new.w = {k: part.reshape(s).astype(np.float32) for (k, s), part in zip(self.LEARNED, np.split(flat, ends[:-1]))}
+        return new
+
     @property
     def end(self) -> int:
         return int(self.place[SYMBOLS - 1])
@@ -79,64 +111,69 @@ class Attention:
         return self.w["far"][np.clip(gap, 0, WINDOW - 1)], (gap >= 0).astype(np.float32)
 
     def gradients(self, x: np.ndarray, valid: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """x: B x WINDOW places, valid: which belong to the text, y: B x STEP next places, scored: which of them count."""
-        w = self.w
-        q_at, before = x[:, WINDOW - STEP :], x[:, WINDOW - STEP - 1 : -1]
-        q, k, v = w["Q"][q_at], w["K"][x], w["V"][x]
+        """x: B x WINDOW places, valid: which belong to the text, y: B x STEP next places, scored: which of them count.
+
+        The mean loss of the scored places, and its gradient in each learned array.
+        """
+        w, back = self.w, WINDOW - STEP
+        q_at, before = x[:, back:], x[:, back - 1 : -1]
+        q, k, v = w["Q"].take(q_at, 0) * np.float32(0.25), w["K"].take(x, 0), w["V"].take(x, 0)
         bias, seen = self._bias()
-        a = _softmax(np.where(seen * valid[:, None, :] > 0, q @ k.transpose(0, 2, 1) / 4 + bias, np.float32(-1e9)))
-        h = (a @ v + w["R"][q_at] + w["P"][before] * valid[:, WINDOW - STEP - 1 : -1, None]).astype(np.float32)
-        c, m = y // MEMBERS, y % MEMBERS
-        pc = _softmax(self.to_cluster[q_at] + h @ w["C"])
-        by = np.argsort(c, axis=None, kind="stable")
-        edges = np.searchsorted(c.ravel()[by], np.arange(CLUSTERS + 1))
-        groups = [(g, by[edges[g] : edges[g + 1]]) for g in np.flatnonzero(np.diff(edges))]  # places of each cluster's members
-        flat_h, inner = h.reshape(-1, WIDTH), np.empty((c.size, MEMBERS), np.float32)
+        a = q @ k.transpose(0, 2, 1)
+        a += bias
+        np.exp(np.clip(a, -60, 60, out=a), out=a)
+        a *= seen
+        cut = np.flatnonzero(~valid.all(1))
+        a[cut] *= valid[cut][:, None, :]
+        a /= ((a.reshape(-1, WINDOW) @ _ONES_W) + np.float32(1e-30)).reshape(len(x), STEP, 1)
+        led = valid[:, back - 1 : -1].ravel()
+        h = a @ v
+        h += w["R"].take(q_at, 0)
+        h += w["P"].take(before, 0) * led.reshape(before.shape)[..., None]
+        live = np.flatnonzero(scored.ravel())
+        n = max(1, len(live))
+        flat_h, now = h.reshape(-1, WIDTH).take(live, 0), q_at.ravel().take(live)
+        c, m = np.divmod(y.ravel().take(live), MEMBERS)
+        row = np.arange(len(live))
+        pc = flat_h @ w["C"]
+        pc += self.to_cluster.take(now, 0)
+        np.exp(np.clip(pc, -60, 60, out=pc), out=pc)
+        pc /= (pc @ _ONES_C)[:, None]
+        by = np.argsort(c.astype(np.uint8), kind="stable")
+        edges = np.searchsorted(c[by], np.arange(CLUSTERS + 1))
+        groups = [(g, slice(edges[g], edges[g + 1])) for g in np.flatnonzero(np.diff(edges))]
+        sorted_h, pm = flat_h.take(by, 0), np.empty((len(live), MEMBERS), flat_h.dtype)
         for g, i in groups:
-            inner[i] = flat_h[i] @ w["M"][g]
-        pm = _softmax(self.to_member[q_at, c] + inner.reshape(*c.shape, MEMBERS))
-        n = max(1, scored.sum())
-        at = np.ix_(np.arange(len(x)), np.arange(STEP))
-        loss = -(np.log(pc[at[0], at[1], c] + 1e-12) + np.log(pm[at[0], at[1], m] + 1e-12))[scored].sum() / n
-        weight = (scored / n).astype(np.float32)[..., None]
-        dc, dm = pc, pm
-        dc[at[0], at[1], c] -= 1
-        dm[at[0], at[1], m] -= 1
-        dc, dm = dc * weight, dm * weight
-        g = {k: np.zeros(s, np.float32) for k, s in self.LEARNED}
-        g["C"] = flat_h.T @ dc.reshape(-1, CLUSTERS)
-        dh, flat_dm = (dc @ w["C"].T).reshape(-1, WIDTH), dm.reshape(-1, MEMBERS)
+            np.matmul(sorted_h[i], w["M"][g], out=pm[i])
+        pm += self.to_member.reshape(-1, MEMBERS).take(now[by] * CLUSTERS + c[by], 0)
+        np.exp(np.clip(pm, -60, 60, out=pm), out=pm)
+        pm /= (pm @ _ONES_M)[:, None]
+        loss = -(np.log(pc[row, c] + 1e-12).sum() + np.log(pm[row, m[by]] + 1e-12).sum()) / n
+        pc[row, c] -= 1
+        pm[row, m[by]] -= 1
+        pc *= np.float32(1 / n)
+        pm *= np.float32(1 / n)
+        g = {"M": np.zeros_like(w["M"]), "C": flat_h.T @ pc}
+        inner = np.empty_like(sorted_h)
         for k_, i in groups:
-            part = flat_dm[i]
-            g["M"][k_] = flat_h[i].T @ part
-            dh[i] += part @ w["M"][k_].T
+            np.matmul(sorted_h[i].T, pm[i], out=g["M"][k_])
+            np.matmul(pm[i], w["M"][k_].T, out=inner[i])
+        flat_dh = pc @ w["C"].T
+        flat_dh[by] += inner
+        dh = np.zeros_like(h).reshape(-1, WIDTH)
+        dh[live] = flat_dh
+        at_query, at_key, at_before = _Scatter(q_at), _Scatter(x), _Scatter(before)
+        g["R"], g["P"] = at_query(dh), at_before(dh * led[:, None])
         dh = dh.reshape(h.shape)
-        g["R"] = _scattered(q_at, dh)
-        g["P"] = _scattered(before, dh * valid[:, WINDOW - STEP - 1 : -1, None])
-        da = dh @ v.transpose(0, 2, 1)
-        g["V"] = _scattered(x, a.transpose(0, 2, 1) @ dh)
-        ds = a * (da - (a * da).sum(-1, keepdims=True))
-        g["Q"] = _scattered(q_at, ds @ k / 4)
-        g["K"] = _scattered(x, ds.transpose(0, 2, 1) @ q / 4)
-        gap = (np.arange(STEP)[:, None] + WINDOW - STEP) - np.arange(WINDOW)[None, :]
-        np.add.at(g["far"], np.clip(gap, 0, WINDOW - 1), ds.sum(0))
+        g["V"] = at_key(a.transpose(0, 2, 1) @ dh)
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= ((a * ds).reshape(-1, WINDOW) @ _ONES_W).reshape(len(x), STEP, 1)
+        ds *= a
+        g["Q"], g["K"] = at_query(ds @ k) * np.float32(0.25), at_key(ds.transpose(0, 2, 1) @ q)
+        gap = (np.arange(STEP)[:, None] + back) - np.arange(WINDOW)[None, :]
+        g["far"] = np.bincount(np.clip(gap, 0, WINDOW - 1).ravel(), ds.sum(0).ravel(), WINDOW).astype(w["far"].dtype)
         return float(loss), g
 
-    def fit(self, x: np.ndarray, valid: np.ndarray, y: np.ndarray, scored: np.ndarray, epochs: int = 2, size: int = 128, rate: float = 0.01, seed: int = 3) -> "Attention":
-        rng = np.random.default_rng(seed)
-        m, v = ({k: np.zeros(s, np.float32) for k, s in self.LEARNED} for _ in range(2))
-        steps, step = max(1, epochs * -(-len(x) // size)), 0
-        for _ in range(epochs):
-            order = rng.permutation(len(x))
-            for at in range(0, len(x), size):
-                i, step = order[at : at + size], step + 1
-                now = rate * (1 - step / (steps + 1))
-                for k, g in self.gradients(x[i], valid[i], y[i], scored[i])[1].items():
-                    m[k] += 0.1 * (g - m[k])
-                    v[k] += 0.01 * (g * g - v[k])
-                    self.w[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)
-        return self
-
     def log_probabilities(self, places: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """places: texts one after another, each led by the end symbol; begins: where. Natural logs, 0 at the leading symbols."""
         n = len(places)

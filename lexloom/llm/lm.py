@@ -2,8 +2,12 @@
 
 Gathered from all training rows: counts of words, of subword ids, and of symbol pairs (the model's direct path); all are shuffled
 as partial sums. Symbols are the most frequent subword ids; the others share bands of like frequency, in which an id has its
-add-one share, so each text has a proper probability. The attention weights are fitted on windows drawn by hash from all training
-rows, one of SAMPLE_RATE, at least and at most the two LIMITS; the pair counts have no limit.
+add-one share, so each text has a proper probability.
+
+The attention weights are fitted on every window of every training row, once each, where the rows lie. Rows are dealt by the hash of
+their text into ROUNDS rounds; in a round each task starts from the common weights, takes one optimizer step for each BATCH of its
+windows, and the tasks' weights are averaged by their numbers of windows. A task has about TASK_WINDOWS windows or more, so small
+tables are fitted by one. What travels is one set of weights a task, averaged in a tree, whatever the size of the table.
 
 Base counts of frequent words are broadcast (at most TABLE of them, as hashes); those of the others are joined, so no worker holds
 the whole vocabulary. Words are compared by 64-bit hashes.
@@ -30,10 +34,12 @@ from lexloom.llm.mil import held_out
 from lexloom.llm.tokens import encoder, split
 
 TABLE = 1 << 20
-SAMPLE_RATE, LIMITS = 400, (40_000, 60_000)
+ROUNDS, RATES = 4, (0.03, 0.015, 0.008, 0.003)
+BATCH, MIXED, TASK_WINDOWS = 256, 16, 250_000
 BANDS = 16
 _HELD = 1 << 20
 _SLICE = 32  # symbols a slice of the pair counts
+LANES = 64
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
@@ -134,33 +140,19 @@ class Symbols:
         return out, begins
 
 
-def _gather(tokenizer: str, symbols, rate: float):
-    """kind 0: pair counts of one slice of symbols; kind 1: sampled windows (WINDOW + 1 symbols as int16, -1 outside the text)."""
+def _gather(tokenizer: str, symbols):
+    """Counts of neighbouring symbols, in slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, sym, lane = np.zeros(at.SYMBOLS**2, np.int64), symbols.value, TaskContext.get().partitionId() % 64
-        back = at.WINDOW - at.STEP
+        pairs, sym, lane = np.zeros(at.SYMBOLS**2, np.int64), symbols.value, TaskContext.get().partitionId() % LANES
         for batch in batches:
             for at_row in range(0, batch.num_rows, 1024):
-                part = batch.slice(at_row, 1024)
-                seq, begins = sym.texts(subwords(part, tokenizer))
-                ends = np.append(begins[1:], len(seq))
-                flat = seq[:-1] * at.SYMBOLS + seq[1:]
-                flat = np.delete(flat, ends[:-1] - 1)
+                seq, begins = sym.texts(subwords(batch.slice(at_row, 1024), tokenizer))
+                flat = np.delete(seq[:-1] * at.SYMBOLS + seq[1:], begins[1:] - 1)
                 pairs += np.bincount(flat, minlength=len(pairs))
-                blocks = -(-(ends - begins - 1) // at.STEP)
-                text = np.repeat(np.arange(len(begins)), blocks)
-                nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                draw = ts.mix(part.column("row").to_numpy().view(np.uint64)[text] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                pick = np.flatnonzero(draw / 2.0**64 < rate)
-                at_ = begins[text[pick]][:, None] + nth[pick][:, None] * at.STEP + np.arange(-back, at.STEP + 1)
-                good = (at_ >= begins[text[pick]][:, None]) & (at_ < ends[text[pick]][:, None])
-                windows = np.where(good, seq[np.clip(at_, 0, len(seq) - 1)], -1).astype("<i2")
-                if len(windows):
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([0], pa.int32()), pa.array([0], pa.int32()), pa.array([windows.tobytes()], pa.binary())], names=["kind", "slice", "lane", "data"])
         blobs = [zlib.compress(x.tobytes(), 1) for x in pairs.reshape(-1, _SLICE * at.SYMBOLS)]
         n = len(blobs)
-        yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([lane] * n, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "slice", "lane", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([lane] * n, pa.int32()), pa.array(blobs, pa.binary())], names=["slice", "lane", "data"])
 
     return run
 
@@ -176,6 +168,91 @@ def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["slice", "data"])
 
 
+def windows(places: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """x, valid, y, scored (see `Attention.gradients`) of all windows of texts that lie one after another; each place is scored once."""
+    back, ends = at.WINDOW - at.STEP, np.append(begins[1:], len(places))
+    blocks = -(-(ends - begins - 1) // at.STEP)
+    text = np.repeat(np.arange(len(begins)), blocks)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    spots = (begins[text] + nth * at.STEP)[:, None] + np.arange(-back, at.STEP + 1)
+    good = (spots >= begins[text][:, None]) & (spots < ends[text][:, None])
+    found = places.take(spots, mode="clip")
+    return found[:, :-1], good[:, :-1], found[:, back + 1 :], good[:, back + 1 :]
+
+
+_WEIGHTS = "lane int, n long, data binary"
+
+
+def _fitted(tokenizer: str, shared, rate: float):
+    """One task's share of a round: the weights after a step for each batch of its windows, and their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols, model = shared.value
+        model = model.copy()
+        optimizer, rng, lane = at.Adam(model.w), np.random.default_rng(3), TaskContext.get().partitionId()
+        held: list[tuple] = []
+        n = 0
+
+        def learn(last: bool) -> None:
+            whole = [np.concatenate(x) for x in zip(*held)]
+            order = rng.permutation(len(whole[0]))
+            size = len(order) if last else len(order) // BATCH * BATCH
+            for a in range(0, size, BATCH):
+                i = order[a : min(a + BATCH, size)]
+                optimizer.update(model.gradients(*(x[i] for x in whole))[1], rate)
+            held[:] = [tuple(x[order[size:]] for x in whole)]
+
+        for batch in batches:
+            for at_row in range(0, batch.num_rows, 256):
+                seq, begins = symbols.texts(subwords(batch.slice(at_row, 256), tokenizer))
+                held.append(windows(model.place[seq], begins))
+                n += len(held[-1][0])
+                if sum(len(x[0]) for x in held) >= MIXED * BATCH:
+                    learn(False)
+        if n:
+            learn(True)
+            yield _weights(lane % LANES, n, model.flat())
+
+    return run
+
+
+def _weights(lane: int, n: int, flat: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lane], pa.int32()), pa.array([n], pa.int64()), pa.array([flat.astype("<f4").tobytes()], pa.binary())], names=["lane", "n", "data"])
+
+
+def _mean(rows: list[dict]) -> tuple[int, np.ndarray]:
+    total = sum(r["n"] for r in rows)
+    return total, sum(np.frombuffer(r["data"], "<f4").astype(np.float64) * (r["n"] / total) for r in rows)
+
+
+def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by lane -> one row a lane, the mean of its weights, as they come."""
+    lane, n, mean = None, 0, None
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["lane"] != lane:
+                if lane is not None:
+                    yield _weights(lane, n, mean)
+                lane, n, mean = r["lane"], 0, 0.0
+            n += r["n"]
+            mean = mean + (np.frombuffer(r["data"], "<f4").astype(np.float64) - mean) * (r["n"] / n)
+    if lane is not None:
+        yield _weights(lane, n, mean)
+
+
+def fit(model: at.Attention, symbols: Symbols, docs: DataFrame, tokenizer: str, n_windows: int) -> at.Attention:
+    """The model after all rounds over docs(row, ids), prepared training rows."""
+    spark = docs.sparkSession
+    docs = docs.coalesce(max(1, n_windows // TASK_WINDOWS))
+    for k, rate in enumerate(RATES):
+        shared = spark.sparkContext.broadcast((symbols, model))
+        part = docs.filter(F.pmod(F.shiftrightunsigned("row", 32), F.lit(ROUNDS)) == k).select("ids")
+        found = part.mapInArrow(_fitted(tokenizer, shared, rate), _WEIGHTS).repartition(LANES, "lane").sortWithinPartitions("lane").mapInArrow(_averaged, _WEIGHTS)
+        if rows := found.toArrow().to_pylist():  # one a lane
+            model = model.copy(_mean(sorted(rows, key=lambda r: r["lane"]))[1])
+    return model
+
+
 class Trained:
     def __init__(self, model: at.Attention, symbols: Symbols, keys: np.ndarray, counts: np.ndarray, tokens: int, distinct: int, texts: int, whole: bool):
         self.model, self.symbols, self.keys, self.counts = model, symbols, keys, counts
@@ -193,24 +270,19 @@ def train(docs: DataFrame, tokenizer: str, table: int = TABLE) -> tuple[Trained,
     of_id = np.zeros(n_ids, np.int64)
     of_id[ids.column("key").to_numpy()] = ids.column("n").to_numpy()
     symbols = Symbols(of_id)
-    windows = (int(of_id.sum()) + totals.get(2, (0, 0))[0]) / at.STEP
-    rate = min(1.0, min(LIMITS[1], max(LIMITS[0], windows / SAMPLE_RATE)) / max(1.0, windows))
+    texts = totals.get(2, (0, 0))[0]
     shared = spark.sparkContext.broadcast(symbols)
-    gathered = util.cut(docs.select("row", "ids").mapInArrow(_gather(tokenizer, shared, rate), "kind int, slice int, lane int, data binary"))
+    gathered = util.cut(docs.select("ids").mapInArrow(_gather(tokenizer, shared), "slice int, lane int, data binary"))
     n = util.partitions(spark)
-    sums = gathered.filter("kind = 0").select("slice", "lane", "data").repartition(n, "slice", "lane").mapInArrow(_add, "slice int, data binary")
+    sums = gathered.repartition(n, "slice", "lane").mapInArrow(_add, "slice int, data binary")
     sums = sums.repartition(n, "slice").mapInArrow(_add, "slice int, data binary").toArrow().to_pylist()  # one a slice
+    util.drop(gathered)
     pairs = np.zeros((at.SYMBOLS // _SLICE, _SLICE * at.SYMBOLS), np.int64)
     for r in sums:
         pairs[r["slice"]] += np.frombuffer(zlib.decompress(r["data"]), np.int64)
     model = at.Attention(pairs.reshape(at.SYMBOLS, at.SYMBOLS))
-    found = gathered.filter("kind = 1").select("data").toArrow().column("data").to_pylist()  # about LIMITS[1] windows at most
-    if found:
-        w = np.frombuffer(b"".join(sorted(found)), "<i2").reshape(-1, at.WINDOW + 1).astype(np.int64)
-        places = model.place[np.clip(w, 0, None)]
-        model.fit(places[:, :-1], w[:, :-1] >= 0, places[:, at.WINDOW - at.STEP + 1 :], w[:, at.WINDOW - at.STEP + 1 :] >= 0)
+    model = fit(model, symbols, docs.select("row", "ids"), tokenizer, (int(of_id.sum()) + texts) // at.STEP)
     words, distinct = totals.get(0, (0, 0))
-    texts = totals.get(2, (0, 0))[0]
     # The least power of two such that at most `table` words are counted so often.
     bands = counts.filter("kind = 0").groupBy(F.floor(F.log2("n")).cast("int").alias("band")).count().collect()
     least, held = 0, 0
