@@ -41,6 +41,15 @@ def syllables(text: Column) -> Column:
     return F.filter(F.split(fold(F.lower(unglue(text))), "[^0-9a-z]+"), lambda x: x != "")
 
 
+_FOLD_MAP = {ord(a): b for a, b in zip(FOLD_FROM, FOLD_TO)} | {ord(a): b for a, b in FOLD_TWO} | dict.fromkeys(range(0x300, 0x370))
+
+
+def syllables_of(text: str) -> list[str]:
+    """`syllables` of one text, for model hooks that run in Python."""
+    glued = re.sub(r"([^\W\d_]{3})(\d)", r"\1 \2", text or "")
+    return [w for w in re.split("[^0-9a-z]+", glued.lower().translate(_FOLD_MAP)) if w]
+
+
 def bigrams(words: Column) -> Column:
     pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit("_"), b))
     return F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>"))
@@ -111,14 +120,18 @@ def matches(content: Column, pattern: str, is_regex: bool) -> Column:
     return F.rlike(content, F.lit(java_pattern(pattern))) if is_regex else F.contains(F.lower(content), F.lower(F.lit(pattern)))
 
 
-def flexible_date(text: Column) -> Column:
-    """ISO, day/month/year with / or -, year/month/day, or 'ngày D tháng M năm Y'; null where none fits."""
+def flexible_date(text: Column, strict: bool = False) -> Column:
+    """ISO, day/month/year with / or -, year/month/day, or 'ngày D tháng M năm Y'. Null and blank give null.
+
+    Where none fits: null, so that one bad row stops no job; `strict` raises instead.
+    """
     text = F.trim(text)
     words = r"(?iu)ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
     part = lambda pattern, k: F.regexp_extract(text, pattern, k)
     dmy, ymd = r"^(\d{1,2})[/-](\d{1,2})[/-](\d{4})$", r"^(\d{4})[/-](\d{1,2})[/-](\d{1,2})$"
     make = lambda pattern, y, m, d: F.try_to_date(F.when(F.rlike(text, F.lit(pattern)), F.concat_ws("-", part(pattern, y), F.lpad(part(pattern, m), 2, "0"), F.lpad(part(pattern, d), 2, "0"))), "yyyy-MM-dd")
-    return F.coalesce(make(words, 3, 2, 1), make(dmy, 3, 2, 1), make(ymd, 1, 2, 3))
+    found = F.coalesce(make(words, 3, 2, 1), make(dmy, 3, 2, 1), make(ymd, 1, 2, 3))
+    return F.coalesce(found, F.when(text != "", F.raise_error(F.concat(F.lit("not a date: "), text)).cast("date"))) if strict else found
 
 
 def in_force(effective: Column, expiration: Column, on) -> Column:
@@ -131,11 +144,37 @@ def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def raw_slice(text: Column, start: int, end: int, most: int = 100) -> Column:
-    """Lines start to end, from 1, both included; cut at the document's end."""
+RAW_MAX_LINES = 100
+
+
+def raw_slice(text: Column, start: int, end: int | None = None, most: int = RAW_MAX_LINES, strict: bool = False) -> Column:
+    """Lines start to end, from 1, both included; without an end, `most` of them. Cut at the text's end.
+
+    A start behind the text's end gives an empty text; `strict` raises instead.
+    """
+    end = start + most - 1 if end is None else end
     if start < 1 or end < start or end - start + 1 > most:
         raise ValueError(f"lines {start} to {end}: from 1, in order, {most} at most")
-    return F.array_join(F.slice(F.split(text, "\n"), start, end - start + 1), "\n")
+    lines = F.split(text, "\n")
+    out = F.array_join(F.slice(lines, start, end - start + 1), "\n")
+    return F.when(F.size(lines) < start, F.raise_error(F.lit(f"the text ends before line {start}")).cast("string")).otherwise(out) if strict else out
+
+
+def path_problem(path: Column) -> Column:
+    """Why a path is refused; null: it is one. Labels of [a-z0-9_], 255 characters at most, joined by single dots."""
+    return F.when(path.isNull() | (path == ""), "empty path").when(~F.rlike(path, F.lit(r"^[A-Za-z0-9_]+(\.[A-Za-z0-9_]+)*$")), "bad label").when(F.exists(labels(path), lambda x: F.length(x) > 255), "label too long")
+
+
+def normalized_span(text: Column, sought: Column) -> Column:
+    """struct(start, end) from 0, end excluded, of the first place where `sought` stands in `text` with any white space between its words.
+
+    Null where it does not stand, or has no words.
+    """
+    quote = lambda x: F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    words = F.filter(F.split(sought, r"\s+"), lambda x: x != "")
+    pattern = F.array_join(F.transform(words, quote), "\\s+")
+    at = F.when(F.size(words) > 0, F.regexp_instr(text, pattern))
+    return F.when(at > 0, F.struct((at - 1).cast("int").alias("start"), (at - 1 + F.length(F.regexp_substr(text, pattern))).cast("int").alias("end")))
 
 
 def digits(text: Column) -> Column:

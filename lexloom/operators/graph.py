@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.operators import tree
+from lexloom.sources import session
 
 #: Relations that hold in both directions.
 SYMMETRIC = ("CONFLICTS_WITH", "SEE_ALSO")
@@ -20,35 +21,67 @@ def directed(edges: DataFrame, direction: str = "OUTGOING") -> DataFrame:
     if direction not in ("OUTGOING", "INCOMING", "BOTH"):
         raise ValueError(direction)
     both = F.col("relation").isin(*SYMMETRIC)
-    forward = edges.filter(F.lit(direction != "INCOMING") | both).select("edge_id", F.col("source").alias("from"), F.col("target").alias("to"), "relation", F.lit("OUTGOING").alias("step"))
-    backward = edges.filter(F.lit(direction != "OUTGOING") | both).select("edge_id", F.col("target").alias("from"), F.col("source").alias("to"), "relation", F.lit("INCOMING").alias("step"))
+    forward = edges.filter(F.lit(direction != "INCOMING") | both).select("edge_id", F.col("source").alias("from"), F.col("target").alias("to"), "relation", "citation", F.lit("OUTGOING").alias("step"))
+    backward = edges.filter(F.lit(direction != "OUTGOING") | both).select("edge_id", F.col("target").alias("from"), F.col("source").alias("to"), "relation", "citation", F.lit("INCOMING").alias("step"))
     return forward.unionByName(backward)
 
 
 def traverse(edges: DataFrame, starts: DataFrame, direction: str = "OUTGOING", depth: int = 1, relations: list[str] | None = None) -> DataFrame:
-    """starts(start) -> start, edge_id, from, to, relation, step, depth: walks that visit no node twice, each step once at its least depth."""
+    """starts(start) -> start, edge_id, from, to, relation, citation, step, depth: walks that visit no node twice, each step once at its
+    least depth, by (start, depth, relation, from, citation).
+
+    A level joins the front of the one before on its nodes. Walks that stand at one node after the same set of nodes are one row of the
+    front, so parallel edges and reordered detours do not multiply; a front is materialised once, as the next level and the result read it.
+    """
     if not 1 <= depth <= 4:
         raise ValueError("depth is 1 to 4")
     steps = directed(edges, direction)
     if relations:
         steps = steps.filter(F.col("relation").isin(relations))
-    front = starts.select("start", F.col("start").alias("at"), F.array("start").alias("seen"))
+    front = starts.select("start", F.col("start").alias("at"), F.array("start").alias("seen")).distinct()
     found = []
     for level in range(1, depth + 1):
         walked = front.join(steps, (F.col("at") == F.col("from")) & ~F.array_contains("seen", F.col("to")))
-        found.append(walked.select("start", "edge_id", "from", "to", "relation", "step", F.lit(level).alias("depth")))
-        front = walked.select("start", F.col("to").alias("at"), F.array_append("seen", F.col("to")).alias("seen"))
-    return reduce(DataFrame.unionByName, found).groupBy("start", "edge_id", "from", "to", "relation", "step").agg(F.min("depth").cast("long").alias("depth"))
+        found.append(walked.select("start", "edge_id", "from", "to", "relation", "citation", "step", F.lit(level).alias("depth")))
+        if level < depth:
+            front = session.cut(walked.select("start", F.col("to").alias("at"), F.array_sort(F.array_append("seen", F.col("to"))).alias("seen")).distinct())
+    every = reduce(DataFrame.unionByName, found).groupBy("start", "edge_id", "from", "to", "relation", "citation", "step").agg(F.min("depth").cast("long").alias("depth"))
+    return every.orderBy("start", "depth", "relation", "from", "citation", "to")
+
 
+def links(walk: DataFrame, nodes: DataFrame, limit_per_link: int = 20) -> DataFrame:
+    """Steps grouped by (start, from, step, relation, citation, depth): total and the first targets by (doc_code, start_line, path).
 
-def links(walk: DataFrame, limit_per_link: int = 20) -> DataFrame:
-    """Steps grouped by (start, from, step, relation, depth): total and the first targets."""
-    by = ["start", "from", "step", "relation", "depth"]
-    nth = walk.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("to")))
-    out = nth.groupBy(*by).agg(F.count("*").alias("total"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("_n") <= limit_per_link, F.struct("_n", "to")))), lambda x: x["to"].cast("string")), ",").alias("targets"))
+    nodes: path, doc_code, start_line.
+    """
+    if not 1 <= limit_per_link <= 100:
+        raise ValueError("limit_per_link is 1 to 100")
+    by = ["start", "from", "step", "relation", "citation", "depth"]
+    placed = walk.join(nodes.select(F.col("path").alias("to"), "doc_code", "start_line"), "to", "left")
+    nth = placed.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("doc_code", "start_line", "to")))
+    first = F.collect_list(F.when(F.col("_n") <= limit_per_link, F.struct("_n", "to")))
+    out = nth.groupBy(*by).agg(F.count("*").alias("total"), F.array_join(F.transform(F.sort_array(first), lambda x: x["to"].cast("string")), ",").alias("targets"))
     return out.withColumn("truncated", F.col("total") > limit_per_link)
 
 
+def with_paths(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """edges(edge_id, source_id, target_id, …) with `source`, `target` and their documents. chunks: id, path, doc_code. Lost ends drop out."""
+    end = lambda name: chunks.select(F.col("id").alias(f"{name}_id"), F.col("path").alias(name), F.col("doc_code").alias(f"{name}_doc"))
+    return edges.join(end("source"), "source_id").join(end("target"), "target_id")
+
+
+def touching(edges: DataFrame, chunks: DataFrame, doc_codes: list[str]) -> DataFrame:
+    """Edges with an end in one of the documents. edges: source, target; chunks: path, doc_code."""
+    inside = chunks.filter(F.col("doc_code").isin(doc_codes)).select("path", F.lit(True).alias("_in")).distinct()
+    marked = edges.join(inside.withColumnsRenamed({"path": "source", "_in": "_s"}), "source", "left").join(inside.withColumnsRenamed({"path": "target", "_in": "_t"}), "target", "left")
+    return marked.filter("_s or _t").select(edges.columns)
+
+
+def find_edges(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """The edges that keys(source, target, relation) name."""
+    return edges.join(keys.select(*KEY).distinct(), KEY, "left_semi")
+
+
 def insert_absent(edges: DataFrame, proposed: DataFrame) -> DataFrame:
     """Proposed edges, each once, that are not there yet."""
     return proposed.dropDuplicates(KEY).join(edges.select(*KEY), KEY, "left_anti")

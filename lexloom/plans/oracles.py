@@ -18,11 +18,11 @@ def _syllables(x: str) -> str:
 
 
 CHUNKS = """chunks as (
-  select doc_id as id, 'c.' || lang || '.' || source || '.d' || doc_id as path, source as doc_code, text, date '2020-01-01' + cast(doc_id % 700 as int) as effective,
+  select doc_id as id, doc_id as start_line, 'c.' || lang || '.' || source || '.d' || doc_id as path, source as doc_code, text, date '2020-01-01' + cast(doc_id % 700 as int) as effective,
     case when doc_id % 3 <> 0 then date '2020-01-01' + cast(doc_id % 700 + 200 as int) end as expiration, e.embedding
   from documents left join embeddings e on vec_id = doc_id)"""
 ASKED = """asked as (
-  select item_id as qid, array_to_string(string_split(text, ' ')[1:6], ' ') as query_text, e.embedding as query_vector from benchmark left join embeddings e on vec_id = item_id)"""
+  select item_id as qid, text as query_text, array_to_string(string_split(text, ' ')[3:5], ' ') as pattern, e.embedding as query_vector from benchmark left join embeddings e on vec_id = item_id)"""
 _PAIRS = "list_concat(w, list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || '_' || w[i + 1]))"
 POSTINGS = f"""words as (select id, {_syllables("text")} as w from chunks),
 postings as (select id, term, count(*) as tf, any_value(dl) as dl from (select id, len(w) as dl, unnest({_PAIRS}) as term from words) group by id, term),
@@ -34,14 +34,15 @@ IDF = "idf as (select term, count(*) as df, ln(1 + (any_value(n) - count(*) + 0.
 BM25 = """bm as (
   select qid, id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) as bm25, bool_or(is_pair) or not bool_or(wants_pair) as phrase_matched
   from postings join wanted using (term) join idf using (term), stats where id in (select id from open_) group by qid, id)"""
-SAID = "said as (select * from (select *, row_number() over (partition by qid order by round(bm25, 9) desc, id) as sparse_rank from bm) where sparse_rank <= 120)"
-NEAR = """sims as (select qid, id, list_cosine_similarity(embedding::double[], query_vector::double[]) as similarity from open_, asked where embedding is not null and query_vector is not null),
-near as (select * from (select *, row_number() over (partition by qid order by round(similarity, 9) desc, id) as dense_rank from sims) where dense_rank <= 120)"""
+#: A sum's last digits depend on the order of its terms, so scores are compared to 9 places; ties go by path.
+SAID = "said as (select * from (select *, row_number() over (partition by qid order by round(bm25, 9) desc, path) as sparse_rank from bm join chunks using (id)) where sparse_rank <= 120)"
+NEAR = """sims as (select qid, id, path, list_cosine_similarity(embedding::double[], query_vector::double[]) as similarity from open_, asked where embedding is not null and query_vector is not null),
+near as (select * from (select *, row_number() over (partition by qid order by similarity desc, path) as dense_rank from sims) where dense_rank <= 120)"""
 FUSED = """fused as (
   select qid, id, coalesce(dense_rank, 999) as dense_rank, coalesce(sparse_rank, 999) as sparse_rank, coalesce(similarity, 0.0) as similarity, coalesce(phrase_matched, false) as phrase_matched,
     coalesce(1.0::double / (20 + dense_rank), 0) + coalesce(1.0::double / (20 + sparse_rank), 0) as rrf_score
   from near full join said using (qid, id)),
-hits as (select * from (select *, row_number() over (partition by qid order by round(rrf_score, 12) desc, id) as rank from fused) where rank <= 10)"""
+hits as (select * from (select f.*, path, row_number() over (partition by qid order by rrf_score desc, path) as rank from fused f join chunks using (id)) where rank <= 10)"""
 _VALID = f"effective <= {ON} and (expiration is null or expiration > {ON})"
 
 
@@ -50,16 +51,24 @@ def _hybrid(open_: str = "true", asked: str = ASKED) -> str:
 
 
 _HITS = "select qid, id, rank, dense_rank, sparse_rank, phrase_matched, round(similarity, 6) as similarity, round(rrf_score, 9) as rrf_score from hits"
-_ONE = ASKED.replace("on vec_id = item_id", "on vec_id = item_id where item_id = 1")
+_UNACCENTED = f"{_fold('text')} = text and len(regexp_extract_all(text, '\\S+')) >= 2"
+_WEAK = ASKED.replace("e.embedding as query_vector", f"case when not ({_UNACCENTED}) then e.embedding end as query_vector")
+_GREP = """met as (
+  select qid, c.id, c.path, doc_code, start_line, case when c.embedding is not null and query_vector is not null then 1 - list_cosine_similarity(c.embedding::double[], query_vector::double[]) end as distance
+  from chunks c join asked on contains(lower(text), lower(pattern))),
+grep as (select *, count(*) over (partition by qid) as full_count, row_number() over (partition by qid order by distance nulls last, doc_code, start_line, path) as rank from met)"""
 _PLACES = """places as (
   select 'r' || n_regionkey || '.n' || n_nationkey || '.c' || c_custkey as path, c_custkey as start_line from customer join nation on c_nationkey = n_nationkey
   union all select 'r' || n_regionkey || '.n' || n_nationkey || '.body', -n_nationkey from nation)"""
 _CITED = """edges as (
-  select *, source || ':' || target || ':' || relation as edge_id, target as citation from (
-    select distinct * from (
-      select 's' || l_suppkey as source, 'p' || (l_partkey % 40) as target, (['REFERENCES', 'AMENDS', 'SEE_ALSO'])[l_linenumber % 3 + 1] as relation from lineitem where l_orderkey % 50 = 0
-      union all
-      select 'p' || (l_partkey % 40), 's' || ((l_suppkey + l_partkey) % 97), (['REFERENCES', 'AMENDS', 'SEE_ALSO'])[l_linenumber % 3 + 1] from lineitem where l_orderkey % 50 = 0)))"""
+  select *, source || ':' || target || ':' || relation as edge_id, 'cites ' || target[1:2] as citation from (
+    select distinct case when l_returnflag = 'R' then 'p' || l_partkey else 's' || l_suppkey end as source, case when l_returnflag = 'R' then 's' || l_suppkey else 'p' || l_partkey end as target,
+      (['REFERENCES', 'AMENDS', 'SEE_ALSO'])[l_linenumber % 3 + 1] as relation from lineitem))"""
+_NODES = "nodes as (select path, path[1:1] as doc_code, cast(path[2:] as bigint) as start_line from (select source as path from edges union select target from edges))"
+
+
+def _summed(c: str) -> str:
+    return f"round(list_sum(list_transform({c}, lambda x, i: x::double * i)), 4)"
 
 
 def _seed(x: str) -> str:
@@ -76,12 +85,12 @@ def _walk(direction: str) -> str:
     out = "true" if direction != "INCOMING" else "relation = 'SEE_ALSO'"
     back = "true" if direction != "OUTGOING" else "relation = 'SEE_ALSO'"
     return f"""with recursive {_CITED}, steps as (
-  select edge_id, source as a, target as b, relation, 'OUTGOING' as step from edges where {out}
-  union all select edge_id, target, source, relation, 'INCOMING' from edges where {back}),
+  select edge_id, source as a, target as b, relation, citation, 'OUTGOING' as step from edges where {out}
+  union all select edge_id, target, source, relation, citation, 'INCOMING' from edges where {back}),
 walk as (
-  select start, edge_id, a, b, relation, step, 1 as depth, [start, b] as seen from (select unnest(['s1', 's7', 'p3']) as start) join steps on a = start where b <> start
-  union all select w.start, s.edge_id, s.a, s.b, s.relation, s.step, w.depth + 1, list_append(w.seen, s.b) from walk w join steps s on s.a = w.b where w.depth < 2 and not list_contains(w.seen, s.b)),
-walked as (select start, edge_id, a as "from", b as "to", relation, step, cast(min(depth) as bigint) as depth from walk group by all) """
+  select start, edge_id, a, b, relation, citation, step, 1 as depth, [start, b] as seen from (select unnest(['s1', 's7', 'p3']) as start) join steps on a = start where b <> start
+  union all select w.start, s.edge_id, s.a, s.b, s.relation, s.citation, s.step, w.depth + 1, list_append(w.seen, s.b) from walk w join steps s on s.a = w.b where w.depth < 2 and not list_contains(w.seen, s.b)),
+walked as (select start, edge_id, a as "from", b as "to", relation, citation, step, cast(min(depth) as bigint) as depth from walk group by all) """
 
 
 _UNDER = lambda p: f"(path = '{p}' or starts_with(path, '{p}.'))"
@@ -92,27 +101,37 @@ ORACLES = {
     "term_idf": f"with {CHUNKS}, {ASKED}, {POSTINGS}, {WANTED}, {IDF} select term, df, round(idf, 6) as idf from idf",
     "bm25_topk": f"with {CHUNKS}, {ASKED}, open_ as (from chunks), {POSTINGS}, {WANTED}, {IDF}, {BM25}, {SAID} select qid, id, sparse_rank as rank, phrase_matched, round(bm25, 6) as bm25 from said where sparse_rank <= 10",
     "dense_topk": f"with {CHUNKS}, {ASKED}, open_ as (from chunks), {NEAR} select qid, id, dense_rank as rank, round(similarity, 6) as similarity from near where dense_rank <= 20",
+    "dense_in_lists": f"with {CHUNKS}, {ASKED}, open_ as (from chunks), {NEAR} select true as recall_reached, count(*) as n from near where dense_rank <= 10",
     "hybrid_search": _hybrid() + _HITS,
     "hybrid_search_filtered": _hybrid(f"{_VALID} and doc_code in ('src1', 'src2', 'src3', 'src4') and {_UNDER('c.en')}") + _HITS,
     "hybrid_without_vectors": _hybrid(asked=ASKED.replace("e.embedding as query_vector", "cast(null as float[]) as query_vector")) + _HITS,
+    "hybrid_unaccented": _hybrid(asked=_WEAK) + _HITS,
     "scope_unknown": "select count(*) as n from documents where source = 'no such code'",
     "validity_filter": f"with {CHUNKS} select id, strftime(effective, '%Y-%m-%d') as effective, strftime(expiration, '%Y-%m-%d') as expiration from chunks where {_VALID}",
     "in_force_catalog": f"""with c as (select source, count(*) as n from documents group by source), s as (
       select 'src' || s_suppkey as doc_code, date '2020-06-01' as effective, case when s_suppkey % 2 = 0 then {ON} end as expiration from supplier)
       select doc_code, coalesce(n, 0) as n_chunks, {_VALID} as in_force from s left join c on source = doc_code""",
-    "grep_substring": f"""with {CHUNKS}, found as (select *, count(*) over () as full_count, row_number() over (order by doc_code, path) as rank from chunks where contains(lower(text), lower('The TH')))
+    "grep_substring": f"""with {CHUNKS}, found as (select *, count(*) over () as full_count, row_number() over (order by doc_code, start_line, path) as rank from chunks where contains(lower(text), lower('The TH')))
       select id, rank, full_count, cast(null as double) as distance from found where rank <= 25""",
     "grep_regex": rf"""with {CHUNKS}, found as (
-      select *, round(1 - list_cosine_similarity(embedding::double[], (select embedding from chunks where id = 1)::double[]), 9) as distance, count(*) over () as full_count
-      from chunks where {_VALID} and regexp_matches(text, '(?i)[\p{{L}}]+ation [\p{{L}}]{{3}}')), r as (select *, row_number() over (order by distance nulls last, doc_code, path) as rank from found)
+      select *, 1 - list_cosine_similarity(embedding::double[], (select embedding from embeddings where vec_id = 1)::double[]) as distance, count(*) over () as full_count
+      from chunks where {_VALID} and regexp_matches(text, '(?i)[\p{{L}}]+ation [\p{{L}}]{{3}}')), r as (select *, row_number() over (order by distance nulls last, doc_code, start_line, path) as rank from found)
       select id, rank, full_count, round(distance, 6) as distance from r where rank <= 25""",
-    "search_tagged": _hybrid(asked=_ONE) + """, g as (select id, row_number() over (order by doc_code, path) as rank from chunks where contains(lower(text), 'the th')),
-      u as (select id, case when id in (select id from g) then 0 else 1 end as bucket, rank as own from hits
-        union all select id, 2, rank from g where rank <= 10 and id not in (select id from hits))
-      select id, (['both', 'semantic_only', 'verbatim_only'])[bucket + 1] as found_in, row_number() over (order by bucket, own) as rank from u""",
-    "confidence": _hybrid() + """select qid, case when not bool_or(phrase_matched) then 'none' when max(similarity) = 0 then 'high' when max(similarity) < 0.63 then 'low' else 'high' end as confidence from hits group by qid""",
-    "group_ranked": _hybrid(asked=_ONE) + """, g as (select doc_code as context, min(rank) as best, string_agg(cast(id as varchar), ',' order by rank) as members from hits join chunks using (id) group by doc_code)
-      select context, row_number() over (order by best) as group_rank, members from g""",
+    "grep_each": f"with {CHUNKS}, {ASKED}, {_GREP} select qid, id, rank, full_count, round(distance, 6) as distance from grep where rank <= 10",
+    "search_tagged": _hybrid(asked=_WEAK) + f""", {_GREP}, total as (select distinct qid, full_count from grep), u as (
+        select qid, id, case when (qid, id) in (select (qid, id) from met) then 0 else 1 end as bucket, rank as own from hits
+        union all select qid, id, 2, rank from grep where rank <= 10 and (qid, id) not in (select (qid, id) from hits))
+      select u.qid, row_number() over (partition by u.qid order by bucket, own) as rank, (['both', 'semantic_only', 'verbatim_only'])[bucket + 1] as found_in, u.id, c.path, 'Title of ' || c.doc_code as doc_title,
+        coalesce(dense_rank, 999) as dense_rank, coalesce(sparse_rank, 999) as sparse_rank, coalesce(phrase_matched, false) as phrase_matched, round(coalesce(similarity, 0.0), 6) as similarity,
+        coalesce(full_count, 0) as verbatim_total, coalesce(full_count, 0) > 10 as truncated
+      from u join chunks c on c.id = u.id left join hits h on h.qid = u.qid and h.id = u.id left join total t on t.qid = u.qid""",
+    "reranked": _hybrid() + f""", texts as (select id, list_distinct({_syllables("text")}) as t from chunks), said_ as (select qid, query_text, list_distinct({_syllables("query_text")}) as q, {_UNACCENTED.replace("text", "query_text")} as plain from asked),
+      x as (select qid, id, rank as before, case when not plain then 4.0::double * len(list_intersect(q, t)) / greatest(len(q), 1) - 2.0 end as rerank_score from hits join said_ using (qid) join texts using (id)),
+      y as (select *, row_number() over (partition by qid order by rerank_score desc nulls last, before) as rank from x) select qid, id, rank, round(rerank_score, 6) as rerank_score from y where rank <= 5""",
+    "confidence": _hybrid() + """, labels_ as (select qid, case when not bool_or(phrase_matched) then 'none' when max(similarity) = 0 then 'high' when max(similarity) < 0.63 then 'low' else 'high' end as confidence from hits where qid % 2 = 0 group by qid)
+      select qid, coalesce(confidence, 'none') as confidence from asked left join labels_ using (qid)""",
+    "group_ranked": _hybrid() + """, g as (select qid, doc_code as context, min(rank) as best, string_agg(cast(id as varchar), ',' order by rank) as members from hits join chunks using (id) group by qid, doc_code)
+      select qid, context, row_number() over (partition by qid order by best) as group_rank, members from g""",
     "reading_order_islands": """with x as (select *, lag(role) over (partition by conv_id order by turn) as before, row_number() over (partition by conv_id order by turn) as nth from conversations),
       y as (select *, sum(case when nth > 1 and before is not distinct from role then 0 else 1 end) over (partition by conv_id order by turn rows unbounded preceding) as island from x)
       select conv_id, cast(island as bigint) as island, role, min(turn) as "first", count(*) as n from y group by conv_id, island, role""",
@@ -127,20 +146,25 @@ ORACLES = {
     "graph_traverse_out": _walk("OUTGOING") + "from walked",
     "graph_traverse_in": _walk("INCOMING") + "from walked",
     "graph_traverse_both": _walk("BOTH") + "from walked",
-    "graph_links": _walk("OUTGOING") + """, n as (select *, row_number() over (partition by start, "from", step, relation, depth order by "to") as nth from walked)
-      select start, "from", step, relation, depth, count(*) as total, string_agg("to", ',' order by nth) filter (nth <= 5) as targets, count(*) > 5 as truncated from n group by start, "from", step, relation, depth""",
+    "graph_links": _walk("OUTGOING") + f""", {_NODES}, n as (
+        select w.*, row_number() over (partition by start, "from", step, relation, citation, depth order by doc_code, start_line, "to") as nth from walked w join nodes on path = "to")
+      select start, "from", step, relation, citation, depth, count(*) as total, string_agg("to", ',' order by nth) filter (nth <= 5) as targets, count(*) > 5 as truncated from n group by start, "from", step, relation, citation, depth""",
+    "edges_touching": f"with {_CITED} select edge_id from edges where regexp_matches(source, '^s.*3$|^p.*7$') or regexp_matches(target, '^s.*3$|^p.*7$')",
+    "find_edges": f"with {_CITED} select edge_id from edges e where source like '%1' and exists (from edges f where f.source = e.source and f.target = e.target and case f.relation when 'AMENDS' then 'SEE_ALSO' else f.relation end = e.relation)",
+    "edge_paths": f"with {_CITED} select edge_id, source, target, source[1:1] as source_doc, target[1:1] as target_doc from edges where source not like '%7' and target not like '%7'",
     "edge_insert_absent": f"with {_CITED} select source, target || '0' as target, relation from edges e where not exists (from edges f where f.source = e.source and f.target = e.target || '0' and f.relation = e.relation)",
-    "edge_invalidated": f"""with {_CITED}, nodes as (select path, 'cites p1 s2 p7 s9 ' || path as text from (select source as path from edges union select target from edges) where path not like '%3')
+    "edge_invalidated": f"""with {_CITED}, nodes as (select path, 'cites p1 s2 cites s9 ' || path as text from (select source as path from edges union select target from edges) where path not like '%3')
       select edge_id, case when s.path is null or t.path is null then 'ORPHANED' else 'UNGROUNDED' end as reason
       from edges left join nodes s on source = s.path left join nodes t on target = t.path where s.path is null or t.path is null or not contains(s.text, citation)""",
     "edge_violations": f"""with {_CITED}, nodes as (select distinct source as path from edges where source not like '%3'), p as (select source, case when target = 'p5' then source else target end as target, relation, citation from edges),
-      c as (select p.*, case when s.path is null then 'SOURCE_NOT_FOUND' when t.path is null then 'TARGET_NOT_FOUND' when not contains('p1 s2 p7 s9', citation) then 'UNGROUNDED_CITATION_TEXT' when source = target then 'SELF_REFERENCING_EDGE' end as code
+      c as (select p.*, case when s.path is null then 'SOURCE_NOT_FOUND' when t.path is null then 'TARGET_NOT_FOUND' when not contains('cites p1 and cites s2, cites s9', citation) then 'UNGROUNDED_CITATION_TEXT' when source = target then 'SELF_REFERENCING_EDGE' end as code
         from p left join nodes s on source = s.path left join nodes t on target = t.path) select source, target, relation, code from c where code is not null""",
-    "upsert_keep_embedding": f"""with {CHUNKS}, c as (select id, path, text, cast(embedding[1] as double) as embedding from chunks), o as (from c where id % 5 <> 0), n as (
-        select path, case when id % 4 = 0 then text else text || '!' end as text, case when id % 3 = 0 then 9.0::double end as embedding from c where id % 2 = 0
-        union all select path || '.new', text, null from c where id % 50 = 0)
-      select coalesce(n.path, o.path) as path, length(case when n.path is not null then n.text else o.text end) as n,
-        round(case when n.path is null then o.embedding else coalesce(n.embedding, case when o.text = n.text then o.embedding end) end, 6) as embedding from o full join n on o.path = n.path""",
+    "upsert_keep_embedding": f"""with {CHUNKS}, c as (select id, path, text, embedding from chunks), o as (from c where id % 5 <> 0), n as (
+        select path, case when id % 4 = 0 then text else text || '!' end as text, case when id % 3 = 0 then list_transform(embedding, lambda x: (x * 2)::float) end as embedding from c where id % 2 = 0
+        union all select path || '.new', text, null from c where id % 50 = 0),
+      u as (select coalesce(n.path, o.path) as path, length(case when n.path is not null then n.text else o.text end) as n,
+        case when n.path is null then o.embedding else coalesce(n.embedding, case when o.text = n.text then o.embedding end) end as embedding from o full join n on o.path = n.path)
+      select path, n, {_summed("embedding")} as embedding from u""",
     "purge_stale": f"""with {CHUNKS}, e as (select path as source, lag(path) over (partition by doc_code order by id) as target from chunks), stale as (select path from chunks where doc_code = 'src1' and id % 2 <> 0)
       select doc_code, count(*) as n from chunks where path not in (from stale) group by doc_code
       union all select 'edges', count(*) from e where target is not null and source not in (from stale) and target not in (from stale)""",
@@ -148,10 +172,10 @@ ORACLES = {
     "missing_embeddings": f"with {CHUNKS} select doc_code, count(*) as missing from chunks where embedding is null group by doc_code",
     "missing_texts": f"with {CHUNKS} select distinct sha256(text) as text_sha256 from chunks where embedding is null",
     "json_field": "with e as (select event_type, cast(json_extract_string(props, '$.k') as bigint) as k from events) select event_type, count(*) as n, cast(sum(k) as bigint) as k from e where k > 50 group by event_type",
-    "slug_label": f"select doc_id, substring(regexp_replace(regexp_replace(lower({_fold('substring(text, 1, 60)')}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 250) as slug from documents",
+    "slug_label": f"select doc_id, substring(regexp_replace(regexp_replace(lower({_fold('text')}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 250) as slug from documents",
     "flexible_dates": "select o_orderkey, case when o_orderkey % 6 < 5 then strftime(o_orderdate, '%Y-%m-%d') end as parsed from orders",
     "eval_summary": _hybrid() + """, cases as (select qid, case when qid % 5 = 0 then 'holdout' else 'dev' end as split from asked),
-      good as (select qid, min(case when sparse_rank = 999 then 1 else 0 end) as bucket from hits join chunks using (id) where starts_with(path, 'c.en.') or starts_with(path, 'c.fr.src' || (qid % 20) || '.') group by qid)
+      good as (select qid, min(case when sparse_rank = 999 then 1 else 0 end) as bucket from hits where starts_with(path, 'c.en.') or starts_with(path, 'c.fr.src' || (qid % 20) || '.') group by qid)
       select split, count(*) as total, count(*) filter (bucket = 0) as "both", count(*) filter (bucket = 1) as semantic_only, cast(0 as bigint) as verbatim_only, count(*) filter (bucket is null) as missed
       from cases left join good using (qid) group by split""",
     "hit_rates": _hybrid() + """, good as (select qid, min(rank) as rank from hits join chunks using (id) where doc_code = 'src' || (qid % 20) group by qid), r as (
@@ -166,8 +190,8 @@ ORACLES = {
     "address_format": "select c_custkey, 'Điều ' || c_custkey || case when c_nationkey % 2 = 0 then ', Khoản ' || c_nationkey || ', Điểm đ' else '' end as address from customer",
     "upsert_documents": """with o as (select s_suppkey, s_name, round(s_acctbal, 2) as s_acctbal from supplier), n as (select s_suppkey * 2 as s_suppkey, s_name || '!' as s_name, s_acctbal * 0 as s_acctbal from o where s_suppkey % 3 = 0)
       select coalesce(n.s_suppkey, o.s_suppkey) as s_suppkey, coalesce(n.s_name, o.s_name) as s_name, coalesce(o.s_acctbal, n.s_acctbal) as s_acctbal from o full join n on o.s_suppkey = n.s_suppkey""",
-    "fill_embeddings": f"""with {CHUNKS}, v as (select text from chunks where embedding is null group by text having min(id) % 2 = 0)
-      select id, round(coalesce(cast(embedding[1] as double), case when text in (from v) then 1.0 end), 6) as embedding from chunks""",
+    "fill_embeddings": f"""with {CHUNKS}, v as (select text, [1, 2, min(id)]::float[] as known from chunks where embedding is null group by text having min(id) % 2 = 0),
+      u as (select id, coalesce(embedding, known) as embedding from chunks left join v using (text)) select id, {_summed("embedding")} as embedding from u""",
     "citation_hints": """with o as (select 'o' || o_orderkey as doc_code, o_orderkey % 4 as k from orders)
       select doc_code, doc_code || '.a_1.c_1' as source, doc_code || '.a_1.c_2' as target from o
       union all select doc_code, doc_code || '.a_1.c_2', case when k in (1, 2) then doc_code || '.a_2.c_' || k || '.p_a' end from o""",
@@ -180,7 +204,7 @@ ORACLES = {
     "expand_windows": """with w as (select conv_id, count(*) as n, string_agg(turn || ' ' || text, chr(10) order by turn) as body from conversations group by conv_id)
       select 'c' || conv_id || '.w_1' as path, sha256('head' || chr(10) || body) as sha256 from w join conversations using (conv_id) where turn = 1""",
     "query_perturbations": f"""with q as (
-        select item_id as ordinal, ['formal', 'no_diacritics', 'very_short', 'teencode', 'number_format'][item_id % 5 + 1] as base, 'cho hỏi ' || array_to_string(string_split(text, ' ')[1:6], ' ') || ' 05 người được 2.000.000 hay 1,5 thì bị phạt bao nhiêu?' as query from benchmark),
+        select item_id as ordinal, ['formal', 'no_diacritics', 'very_short', 'teencode', 'number_format'][item_id % 5 + 1] as base, 'cho hỏi ' || replace(text, chr(10), ' ') || ' 05 người được 2.000.000 hay 1,5 thì bị phạt bao nhiêu?' as query from benchmark),
       w as (select *, {_seed("query")} as seed, string_split_regex(query, '\\s+') as w from q), c as (select *, list_filter(range(len(w)), lambda i: regexp_full_match(w[i + 1], '\\p{{L}}{{5,}}')) as spots from w),
       t as (select *, spots[seed % len(spots) + 1] + 1 as k, w[spots[seed % len(spots) + 1] + 1] as word from c), u as (select *, 1 + {_seed("word")} % (length(word) - 2) as cut from t),
       made as (select ordinal, query, seed, list_filter([

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import citations, evaluate, graph, perturb, retrieve, tables, tree, windows
+from lexloom.operators import citations, evaluate, graph, index, models, perturb, retrieve, tables, tree, vectors, windows
 from lexloom.plans import views as v
 from lexloom.plans.oracles import ORACLES  # noqa: F401
 from lexloom.sources import structure
@@ -18,42 +18,48 @@ def on_date():
     return F.lit(ON).cast("date")
 
 
+def _summed(c: str):
+    """A vector as one number that all of its values, by place, decide."""
+    return F.round(F.aggregate(F.transform(c, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4).alias(c)
+
+
 def _r(c: str, digits: int = 6):
     return F.round(c, digits).alias(c)
 
 
 def syllable_terms(s, d) -> DataFrame:
-    return retrieve.postings(v.chunks(s, d, False)).groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
+    return v.indexed(s, d).terms.select("term", "tf", "df")
 
 
 def corpus_stats(s, d) -> DataFrame:
-    return retrieve.corpus_stats(v.chunks(s, d, False)).select("n", _r("avgdl"))
+    return v.indexed(s, d).stats().select("n", _r("avgdl"))
 
 
 def term_idf(s, d) -> DataFrame:
-    c = v.chunks(s, d, False)
-    return retrieve.term_idf(retrieve.postings(c), c.count(), retrieve.query_terms(v.asked(s, d))).select("term", "df", _r("idf"))
-
-
-def _bm25(s, d):
-    c = v.chunks(s, d, False)
-    stats = retrieve.corpus_stats(c).first()
-    return retrieve.bm25(retrieve.postings(c), stats.n, stats.avgdl, v.asked(s, d))
+    return index.term_idf(v.indexed(s, d), index.query_terms(v.asked(s, d))).select("term", "df", _r("idf"))
 
 
 def bm25_topk(s, d) -> DataFrame:
-    top = retrieve.ranked(_bm25(s, d).withColumn("_s", F.round("bm25", 9)), 10, F.desc("_s"), F.asc("id"))
-    return top.select("qid", "id", "rank", "phrase_matched", _r("bm25"))
+    return index.bm25(v.indexed(s, d), v.asked(s, d), 10).select("qid", "id", "rank", "phrase_matched", _r("bm25"))
 
 
 def dense_topk(s, d) -> DataFrame:
-    near = retrieve.dense(v.chunks(s, d), v.asked(s, d)).withColumn("_s", F.round("similarity", 9))
-    return retrieve.ranked(near, 20, F.desc("_s"), F.asc("id")).select("qid", "id", "rank", _r("similarity"))
+    return vectors.nearest(v.chunks(s, d), v.asked(s, d), 20).select("qid", "id", "rank", _r("similarity"))
+
+
+def dense_in_lists(s, d) -> DataFrame:
+    """Share of the exact first ten that inverted lists find, over all queries that have a vector: at least nine in ten."""
+    c, asked = v.chunks(s, d), v.asked(s, d)
+    centres = vectors.centres(c, 16)
+    table = vectors.listed(c, centres)
+    near = vectors.nearest_in_lists(table, centres, asked, 10, 12).select("qid", "id")
+    exact = vectors.nearest(c, asked, 10).select("qid", "id")
+    both = exact.join(near.withColumn("found", F.lit(1)), ["qid", "id"], "left")
+    return both.agg((F.avg(F.coalesce("found", F.lit(0))) >= 0.9).alias("recall_reached"), F.count("*").alias("n"))
 
 
 def _hybrid(s, d, queries=None, **options):
-    c = v.chunks(s, d)
-    return retrieve.hybrid_search(c, retrieve.postings(c), v.asked(s, d) if queries is None else queries, **options)
+    return retrieve.hybrid_search(v.chunks(s, d), v.indexed(s, d), v.asked(s, d) if queries is None else queries, **options)
 
 
 def _hits(df: DataFrame) -> DataFrame:
@@ -72,6 +78,10 @@ def hybrid_without_vectors(s, d) -> DataFrame:
     return _hits(_hybrid(s, d, v.asked(s, d).withColumn("query_vector", F.lit(None).cast("array<float>"))))
 
 
+def hybrid_unaccented(s, d) -> DataFrame:
+    return _hits(_hybrid(s, d, retrieve.without_weak_vectors(v.asked(s, d))))
+
+
 def scope_unknown(s, d) -> DataFrame:
     return retrieve.allowed(v.chunks(s, d, False), doc_codes=["no such code"]).agg(F.count("*").alias("n"))
 
@@ -86,29 +96,43 @@ def in_force_catalog(s, d) -> DataFrame:
 
 
 def grep_substring(s, d) -> DataFrame:
-    return retrieve.verbatim_grep(v.chunks(s, d), "The TH", limit=25).select("id", "rank", "full_count", F.col("distance").cast("double").alias("distance"))
+    return retrieve.verbatim_grep(v.chunks(s, d), "The TH", limit=25).select("id", "rank", "full_count", "distance")
 
 
 def grep_regex(s, d) -> DataFrame:
     c = v.chunks(s, d)
-    vector = c.filter("id = 1").select("embedding").first()[0]
-    return retrieve.verbatim_grep(c, r"[[:alpha:]]+ation [[:alpha:]]{3}", True, 25, vector, on=on_date()).select("id", "rank", "full_count", F.round("distance", 6).alias("distance"))
+    vector = v.table(s, d, "embeddings").filter("vec_id = 1").select("embedding").first()[0]
+    return retrieve.verbatim_grep(c, r"[[:alpha:]]+ation [[:alpha:]]{3}", True, 25, vector, on=on_date()).select("id", "rank", "full_count", _r("distance"))
+
+
+def grep_each(s, d) -> DataFrame:
+    return retrieve.grep_each(v.chunks(s, d), v.asked(s, d)).select("qid", "id", "rank", "full_count", _r("distance"))
+
+
+def titles(s, d) -> DataFrame:
+    return v.chunks(s, d, False).select("doc_code").distinct().withColumn("title", F.concat(F.lit("Title of "), "doc_code"))
 
 
 def search_tagged(s, d) -> DataFrame:
-    c = v.chunks(s, d)
-    hybrid = _hybrid(s, d, v.asked(s, d).filter("qid = 1"))
-    found = c.filter(T.matches(F.col("text"), "the th", False))
-    return retrieve.search(hybrid, retrieve.verbatim_grep(c, "the th"), found.join(F.broadcast(hybrid.select("id")), "id", "left_semi"))
+    out = retrieve.search(v.chunks(s, d), v.indexed(s, d), v.asked(s, d), titles(s, d))
+    return out.select("qid", "rank", "found_in", "id", "path", "doc_title", "dense_rank", "sparse_rank", "phrase_matched", _r("similarity"), "verbatim_total", "truncated")
+
+
+def reranked(s, d) -> DataFrame:
+    asked = v.asked(s, d).select("qid", "query_text")
+    hits = _hybrid(s, d).select("qid", "id", "rank").join(asked, "qid").join(v.chunks(s, d, False).select("id", "text"), "id")
+    return models.rerank(hits, 5).select("qid", "id", "rank", _r("rerank_score"))
 
 
 def confidence(s, d) -> DataFrame:
-    return retrieve.confidence(_hybrid(s, d))
+    """Half of the queries ask in a document that does not exist, so that they have no hit."""
+    asked = v.asked(s, d)
+    return retrieve.confidence(asked, _hybrid(s, d).filter("qid % 2 = 0"))
 
 
 def group_ranked(s, d) -> DataFrame:
-    hits = _hybrid(s, d, v.asked(s, d).filter("qid = 1")).join(v.chunks(s, d, False).select("id", F.col("doc_code").alias("context")), "id")
-    return retrieve.group_ranked(hits).select("context", "group_rank", "members")
+    hits = _hybrid(s, d).join(v.chunks(s, d, False).select("id", F.col("doc_code").alias("context")), "id")
+    return retrieve.group_ranked(hits).select("qid", "context", "group_rank", "members")
 
 
 def reading_order_islands(s, d) -> DataFrame:
@@ -160,7 +184,27 @@ def graph_traverse_both(s, d) -> DataFrame:
 
 
 def graph_links(s, d) -> DataFrame:
-    return graph.links(_walk(s, d, "OUTGOING"), 5)
+    return graph.links(_walk(s, d, "OUTGOING"), v.nodes(v.citations(s, d)), 5)
+
+
+def edges_touching(s, d) -> DataFrame:
+    e = v.citations(s, d)
+    places = v.nodes(e).withColumn("doc_code", F.concat("doc_code", (F.col("start_line") % 10).cast("string")))
+    return graph.touching(e, places, ["s3", "p7"]).select("edge_id")
+
+
+def find_edges(s, d) -> DataFrame:
+    e = v.citations(s, d)
+    keys = e.filter("source like '%1'").select("source", "target", F.when(F.col("relation") == "AMENDS", "SEE_ALSO").otherwise(F.col("relation")).alias("relation"))
+    return graph.find_edges(e, keys).select("edge_id")
+
+
+def edge_paths(s, d) -> DataFrame:
+    """Edges by ids of their ends, of which some are gone."""
+    e = v.citations(s, d)
+    ids = v.nodes(e).select(F.concat(F.lit("id-"), "path").alias("id"), "path", "doc_code")
+    by_id = e.select("edge_id", F.concat(F.lit("id-"), "source").alias("source_id"), F.concat(F.lit("id-"), "target").alias("target_id"))
+    return graph.with_paths(by_id, ids.filter("path not like '%7'")).select("edge_id", "source", "target", "source_doc", "target_doc")
 
 
 def edge_insert_absent(s, d) -> DataFrame:
@@ -171,21 +215,23 @@ def edge_insert_absent(s, d) -> DataFrame:
 
 def edge_invalidated(s, d) -> DataFrame:
     e = v.citations(s, d)
-    nodes = e.select(F.col("source").alias("path")).union(e.select("target")).distinct().filter("path not like '%3'").select("path", F.concat(F.lit("cites  p1 s2\n p7 s9 "), "path").alias("text"))
+    nodes = e.select(F.col("source").alias("path")).union(e.select("target")).distinct().filter("path not like '%3'").select("path", F.concat(F.lit("cites  p1 s2\n cites s9 "), "path").alias("text"))
     return graph.invalidated(e, nodes).select("edge_id", "reason")
 
 
 def edge_violations(s, d) -> DataFrame:
     e = v.citations(s, d)
-    nodes = e.select(F.col("source").alias("path")).distinct().filter("path not like '%3'").select("path", F.lit("p1 s2 p7 s9").alias("text"))
+    nodes = e.select(F.col("source").alias("path")).distinct().filter("path not like '%3'").select("path", F.lit("cites p1 and cites s2, cites s9").alias("text"))
     return graph.violations(nodes, e.withColumn("target", F.when(F.col("target") == "p5", F.col("source")).otherwise(F.col("target")))).select("source", "target", "relation", "code")
 
 
 def upsert_keep_embedding(s, d) -> DataFrame:
-    c = v.chunks(s, d).withColumn("embedding", F.col("embedding")[0].cast("double"))
-    new = c.filter("id % 2 = 0").select("path", F.when(F.col("id") % 4 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("text"), F.when(F.col("id") % 3 == 0, F.lit(9.0)).alias("embedding"))
-    extra = c.filter("id % 50 = 0").select(F.concat("path", F.lit(".new")).alias("path"), "text", F.lit(None).cast("double").alias("embedding"))
-    return tables.upsert_chunks(c.filter("id % 5 <> 0").select("path", "text", "embedding"), new.unionByName(extra)).select("path", F.length("text").cast("long").alias("n"), _r("embedding"))
+    c = v.chunks(s, d)
+    given = F.transform("embedding", lambda x: x * F.lit(2).cast("float"))
+    new = c.filter("id % 2 = 0").select("path", F.when(F.col("id") % 4 == 0, F.col("text")).otherwise(F.concat("text", F.lit("!"))).alias("text"), F.when(F.col("id") % 3 == 0, given).alias("embedding"))
+    extra = c.filter("id % 50 = 0").select(F.concat("path", F.lit(".new")).alias("path"), "text", F.lit(None).cast("array<float>").alias("embedding"))
+    out = tables.upsert_chunks(c.filter("id % 5 <> 0").select("path", "text", "embedding"), new.unionByName(extra))
+    return out.select("path", F.length("text").cast("long").alias("n"), _summed("embedding"))
 
 
 def purge_stale(s, d) -> DataFrame:
@@ -215,7 +261,7 @@ def json_field(s, d) -> DataFrame:
 
 
 def slug_label(s, d) -> DataFrame:
-    return v.table(s, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 60)).alias("slug"))
+    return v.table(s, d, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 def flexible_dates(s, d) -> DataFrame:
@@ -228,7 +274,7 @@ def flexible_dates(s, d) -> DataFrame:
 
 def eval_summary(s, d) -> DataFrame:
     cases = v.asked(s, d).select("qid", F.when(F.col("qid") % 5 == 0, "holdout").otherwise("dev").alias("split"), F.array(F.lit("c.en"), F.concat(F.lit("c.fr.src"), (F.col("qid") % 20).cast("string"))).alias("expected"))
-    hits = _hybrid(s, d).join(v.chunks(s, d, False).select("id", "path"), "id").withColumn("found_in", F.when(F.col("sparse_rank") == 999, "semantic_only").otherwise("both"))
+    hits = _hybrid(s, d).withColumn("found_in", F.when(F.col("sparse_rank") == 999, "semantic_only").otherwise("both"))
     return evaluate.summary(evaluate.outcomes(cases, hits))
 
 
@@ -275,9 +321,10 @@ def upsert_documents(s, d) -> DataFrame:
 
 
 def fill_embeddings(s, d) -> DataFrame:
-    c = v.chunks(s, d).select("id", "text", F.col("embedding")[0].cast("double").alias("embedding"))
-    vectors = c.filter("embedding is null").groupBy("text").agg(F.lit(1.0).alias("embedding"), F.min("id").alias("at")).filter("at % 2 = 0").drop("at")
-    return tables.fill_embeddings(c, vectors).select("id", _r("embedding"))
+    c = v.chunks(s, d).select("id", "text", "embedding")
+    known = c.filter("embedding is null").groupBy("text").agg(F.min("id").alias("at")).filter("at % 2 = 0")
+    known = known.select("text", F.array(F.lit(1.0), F.lit(2.0), F.col("at")).cast("array<float>").alias("embedding"))
+    return tables.fill_embeddings(c, known).select("id", _summed("embedding"))
 
 
 def _source_text(s, d) -> DataFrame:
@@ -314,16 +361,16 @@ def expand_windows(s, d) -> DataFrame:
 def query_perturbations(s, d) -> DataFrame:
     b = v.table(s, d, "benchmark")
     style = F.get(F.array(*map(F.lit, ("formal", "no_diacritics", "very_short", "teencode", "number_format"))), (F.col("item_id") % 5).cast("int"))
-    text = F.concat(F.lit("cho hỏi "), F.array_join(F.slice(F.split("text", " "), 1, 6), " "), F.lit(" 05 người được 2.000.000 hay 1,5 thì bị phạt bao nhiêu?"))
+    text = F.concat(F.lit("cho hỏi "), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(" 05 người được 2.000.000 hay 1,5 thì bị phạt bao nhiêu?"))
     return perturb.perturbed(b.select(F.col("item_id").alias("ordinal"), text.alias("query"), style.alias("base_style"))).select("ordinal", "style", "query")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        syllable_terms, corpus_stats, term_idf, bm25_topk, dense_topk, hybrid_search, hybrid_search_filtered, hybrid_without_vectors, scope_unknown, validity_filter, in_force_catalog,
-        grep_substring, grep_regex, search_tagged, confidence, group_ranked, reading_order_islands, subtree, parent_context, expand_to_leaves, sibling_windows, raw_slice, line_coverage,
-        graph_traverse_out, graph_traverse_in, graph_traverse_both, graph_links, edge_insert_absent, edge_invalidated, edge_violations, upsert_keep_embedding, purge_stale, embedding_cache,
+        syllable_terms, corpus_stats, term_idf, bm25_topk, dense_topk, dense_in_lists, hybrid_search, hybrid_search_filtered, hybrid_without_vectors, hybrid_unaccented, scope_unknown, validity_filter, in_force_catalog,
+        grep_substring, grep_regex, grep_each, search_tagged, reranked, confidence, group_ranked, reading_order_islands, subtree, parent_context, expand_to_leaves, sibling_windows, raw_slice, line_coverage,
+        graph_traverse_out, graph_traverse_in, graph_traverse_both, graph_links, edges_touching, find_edges, edge_paths, edge_insert_absent, edge_invalidated, edge_violations, upsert_keep_embedding, purge_stale, embedding_cache,
         missing_embeddings, missing_texts, json_field, slug_label, flexible_dates, eval_summary, hit_rates, grounding, mcnemar, fill_ratio,
         money_amounts, address_format, upsert_documents, fill_embeddings, chunk_documents, citation_hints, curate_edges, expand_windows, query_perturbations,
     )

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.operators import index
+from lexloom.sources import session, store
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,10 +28,25 @@ def chunks(spark: SparkSession, sf_dir: str, vectors: bool = True) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query_text"))
+    """Every benchmark text, whole, as a query; its words 3 to 5 are the pattern that it looks for verbatim."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query_text"), F.array_join(F.slice(F.split("text", " "), 3, 3), " ").alias("pattern"))
     return b.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector")), "qid", "left")
 
 
+def _version(spark: SparkSession, path: str) -> str:
+    """Changes with the files of a table: their names, sizes and times."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))
+    return hashlib.sha256(repr(files).encode()).hexdigest()[:16]
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The keyword index of the documents: built by the first query of a table version, read by all others."""
+    root = f"{session.work_folder(spark)}/index-{_version(spark, f'{sf_dir}/documents.parquet')}"
+    return index.Index(spark, root) if store.current(spark, root) else index.build(chunks(spark, sf_dir, False), root)
+
+
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """region / nation / customer as paths r0.n3.c17 with their depth."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -38,10 +58,17 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """supplier -> part -> supplier edges, about one in fifty line items, with a relation by line number."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0")
+    """supplier -> part -> supplier edges of all line items, with a relation by line number."""
+    li = table(spark, sf_dir, "lineitem")
     relation = F.element_at(F.array(*map(F.lit, ("REFERENCES", "AMENDS", "SEE_ALSO"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
-    one = li.select(F.concat(F.lit("s"), "l_suppkey").alias("source"), F.concat(F.lit("p"), F.col("l_partkey") % 40).alias("target"), relation.alias("relation"))
-    two = li.select(F.concat(F.lit("p"), F.col("l_partkey") % 40).alias("source"), F.concat(F.lit("s"), (F.col("l_suppkey") + F.col("l_partkey")) % 97).alias("target"), relation.alias("relation"))
+    supplier, part, returned = F.concat(F.lit("s"), "l_suppkey"), F.concat(F.lit("p"), "l_partkey"), F.col("l_returnflag") == "R"
+    one = li.filter(~returned).select(supplier.alias("source"), part.alias("target"), relation.alias("relation"))
+    two = li.filter(returned).select(part.alias("source"), supplier.alias("target"), relation.alias("relation"))
     both = one.unionByName(two).distinct()
-    return both.withColumn("edge_id", F.concat_ws(":", "source", "target", "relation")).withColumn("citation", F.col("target"))
+    return both.withColumn("edge_id", F.concat_ws(":", "source", "target", "relation")).withColumn("citation", F.concat(F.lit("cites "), F.substring("target", 1, 2)))
+
+
+def nodes(edges: DataFrame) -> DataFrame:
+    """Ends of the edges as chunks: path, doc_code, start_line."""
+    ends = edges.select(F.col("source").alias("path")).union(edges.select("target")).distinct()
+    return ends.select("path", F.substring("path", 1, 1).alias("doc_code"), F.expr("substring(path, 2)").cast("long").alias("start_line"))
