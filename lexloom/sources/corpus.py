@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
-from lexloom.sources import structure
+from lexloom.sources import store, structure
 
 META = """doc_code string, title string, effective_date date, expiration_date date, amends string, consolidates array<string>, in_force boolean, superseded_by string,
  source_urls array<string>, parts array<string>"""
@@ -21,11 +21,19 @@ def normalized(lines: pd.Series) -> pd.Series:
     return lines.map(structure.normalize_line, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _without_contents(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: "\n".join(structure.without_contents(t.split("\n"))), na_action="ignore")
+
+
 def canonical_text(blocks: DataFrame, key: str = "path") -> DataFrame:
-    """Blocks (key, ordinal, kind, text) -> key, raw_text: text and table rows in order, one a line; contents lists and blanks go."""
-    lines = blocks.filter("kind in ('text', 'table')").withColumn("text", normalized("text")).filter("text <> ''")
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "text")))
-    return lines.groupBy(key).agg(F.array_join(F.transform(ordered, lambda b: b["text"]), "\n").alias("raw_text"))
+    """Blocks (key, ordinal, kind, text) -> key, raw_text: text and table rows in order, one a line; blanks and contents lists go."""
+    lines = blocks.filter("kind in ('text', 'table')").select(key, "ordinal", F.posexplode(F.split("text", "\n")).alias("nth", "text"))
+    lines = lines.withColumn("text", normalized("text")).filter("text <> ''")
+    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "nth", "text")))
+    joined = lines.groupBy(key).agg(F.array_join(F.transform(ordered, lambda b: b["text"]), "\n").alias("raw_text"))
+    listed = F.contains(F.lower("raw_text"), F.lit("mục lục"))
+    return joined.withColumn("raw_text", F.when(listed, _without_contents("raw_text")).otherwise(F.col("raw_text")))
 
 
 def meta_problem() -> Column:
@@ -62,13 +70,24 @@ def document_links(docs: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
 
 def load_cases(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Cases of a JSON lines file. A malformed line or a repeated id stops the job that reads them."""
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return _unique(spark.read.schema(schema).option("mode", "FAILFAST").json(path))
+
+
+def _unique(rows: DataFrame) -> DataFrame:
     copies = F.count("*").over(Window.partitionBy("id"))
     return rows.withColumn("id", F.when(F.col("id").isNull() | (copies > 1), F.raise_error(F.concat(F.lit("repeated or missing id "), F.coalesce("id", F.lit("null"))))).otherwise(F.col("id")))
 
 
-def save_cases(cases: DataFrame, path: str) -> None:
-    cases.orderBy("id").coalesce(1).write.mode("overwrite").json(path)
+def save_cases(cases: DataFrame, root: str) -> str:
+    """Cases by id, as the new version of a store: readers see the old file or the new one. Its folder, for `load_cases`."""
+    packed = cases.select(F.to_json(F.struct(*cases.columns), {"ignoreNullFields": "false"}).alias("value"), "id").orderBy("id").select("value")
+    return f"{store.commit(cases.sparkSession, root, {'cases': packed})}/cases"
+
+
+def saved_cases(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Cases of a store, as `load_cases` reads them."""
+    rows = store.read(spark, root, "cases").select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("c")).select("c.*")
+    return _unique(rows)
 
 
 def manifest(docs: DataFrame) -> DataFrame:
@@ -97,9 +116,10 @@ def decode_vector(texts: pd.Series) -> pd.Series:
 
 
 FORMAT = 1
+_HEADER = "format int, embedding_model string, embedding_dim int, counts map<string,long>, migrations array<string>"
 
 
-def export_snapshot(tables: dict[str, DataFrame], path: str, model: str, dim: int) -> None:
+def export_snapshot(tables: dict[str, DataFrame], path: str, model: str, dim: int, migrations: list[str] | None = None) -> None:
     """Writes tables as gzipped JSON lines under `path`/rows, then the header: a snapshot without a header is not complete.
 
     A column `embedding` (array of floats) is stored as base64; a null one is refused, as is a vector of another length.
@@ -112,15 +132,18 @@ def export_snapshot(tables: dict[str, DataFrame], path: str, model: str, dim: in
             df = df.withColumn("embedding", encode_vector("embedding"))
         df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").option("compression", "gzip").text(f"{path}/rows/table={name}")
         counts[name] = spark.read.text(f"{path}/rows/table={name}").count()
-    header = spark.createDataFrame([(FORMAT, model, dim, counts)], "format int, embedding_model string, embedding_dim int, counts map<string,long>")
+    header = spark.createDataFrame([(FORMAT, model, dim, counts, sorted(migrations or []))], _HEADER)
     header.coalesce(1).write.mode("overwrite").json(f"{path}/header")
 
 
-def import_snapshot(spark: SparkSession, path: str, schemas: dict[str, str], model: str, dim: int) -> dict[str, DataFrame]:
-    """Tables of a snapshot with stated schemas; another format, model, dimension or number of rows is refused."""
-    header = spark.read.schema("format int, embedding_model string, embedding_dim int, counts map<string,long>").json(f"{path}/header").first()
+def import_snapshot(spark: SparkSession, path: str, schemas: dict[str, str], model: str, dim: int, migrations: list[str] | None = None) -> dict[str, DataFrame]:
+    """Tables of a snapshot with stated schemas; another format, model, dimension, schema version or number of rows is refused."""
+    header = spark.read.schema(_HEADER).json(f"{path}/header").first()
     if header is None or (header.format, header.embedding_model, header.embedding_dim) != (FORMAT, model, dim):
         raise ValueError(f"snapshot header {header} does not fit format {FORMAT}, {model}, {dim}")
+    only_there, only_here = store.migration_difference(header.migrations or [], migrations or []), store.migration_difference(migrations or [], header.migrations or [])
+    if only_there or only_here:
+        raise ValueError(f"another schema: only the snapshot has {only_there}, only this checkout has {only_here}")
     if missing := set(header.counts) ^ set(schemas):
         raise ValueError(f"tables of the snapshot and those asked for differ: {sorted(missing)}")
     out = {}
@@ -134,6 +157,16 @@ def import_snapshot(spark: SparkSession, path: str, schemas: dict[str, str], mod
     return out
 
 
+def restore(spark: SparkSession, path: str, root: str, schemas: dict[str, str], model: str, dim: int, migrations: list[str] | None = None, replace: bool = False) -> str:
+    """Import a snapshot into the store at `root` as one new version, with its embedding cache; a store that has rows needs `replace`."""
+    at = store.current(spark, root)
+    if at is not None and not replace and any(not store.read(spark, root, t).isEmpty() for t in schemas):
+        raise ValueError(f"{root} holds rows; replace them or choose another store")
+    tables = import_snapshot(spark, path, schemas, model, dim, migrations)
+    cached = {"embedding_cache": embedding_cache(tables["chunks"].withColumnRenamed("verbatim_text", "text"), model, dim)} if "chunks" in tables else {}
+    return store.commit(spark, root, tables | cached)
+
+
 def embedding_cache(chunks: DataFrame, model: str, dim: int) -> DataFrame:
     """The cache rebuilt from chunks: one vector for each distinct text."""
     vectors = chunks.filter("embedding is not null").groupBy(F.sha2("text", 256).alias("text_sha256")).agg(F.first("embedding").alias("embedding"))

@@ -18,8 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 W, M = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}", "{http://schemas.openxmlformats.org/officeDocument/2006/math}"
 #: Elements whose text was deleted, moved away or is an alternative of other content.
 SKIPPED = {W + x for x in ("del", "moveFrom", "pPr", "rPr", "sectPr", "instrText", "fldChar", "delText")} | {"{http://schemas.openxmlformats.org/markup-compatibility/2006}Fallback"}
-#: Font families of encodings older than Unicode.
-LEGACY_FONTS = (".Vn", "VNI-")
+#: Fonts of encodings older than Unicode, letters that only Unicode text has, and letters that such fonts show as others.
+LEGACY_FONT, VIETNAMESE, LEGACY_LETTER = re.compile(r"\s*(?:\.vn|vni)", re.I), re.compile("[đĐăĂâÂêÊôÔơƠưƯẠ-ỹ]"), re.compile("[¡-ª¬-¯²-¶¸-º¼-ÖØ-öø-ÿ]")
+#: Characters of the Symbol font from code 0x20 and from 0xA0 on, and those of Wingdings by code.
+SYMBOL_LOW = " !∀#∃%&∋()∗+,−./0123456789:;<=>?≅ΑΒΧΔΕΦΓΗΙϑΚΛΜΝΟΠΘΡΣΤΥςΩΞΨΖ[∴]⊥_‾αβχδεφγηιϕκλμνοπθρστυϖωξψζ{|}∼"
+SYMBOL_HIGH = "€ϒ′≤⁄∞ƒ♣♦♥♠↔←↑→↓°±″≥×∝∂•÷≠≡≈…⏐⎯↵ℵℑℜ℘⊗⊕∅∩∪⊃⊇⊄⊂⊆∈∉∠∇®©™∏√⋅¬∧∨⇔⇐⇑⇒⇓◊〈®©™∑"
+WINGDINGS = {0x20: " ", 0x6C: "●", 0x6E: "■", 0x6F: "□", 0x71: "❑", 0x72: "❒", 0x73: "⬧", 0x74: "⧫", 0x75: "◆", 0x76: "❖", 0x77: "⬥", 0x9F: "•", 0xA1: "○", 0xA7: "▪", 0xA8: "◻", 0xD8: "➢", 0xE8: "➔", 0xF0: "⇨", 0xFB: "✗", 0xFC: "✓", 0xFD: "☒", 0xFE: "☑"}
+SYMBOL_FONTS = {"symbol": {0x20 + k: c for k, c in enumerate(SYMBOL_LOW)} | {0xA0 + k: c for k, c in enumerate(SYMBOL_HIGH)} | {0xF1: "〉", 0xF2: "∫"}, "wingdings": WINGDINGS} | {f: {0x20: " "} for f in ("wingdings 2", "wingdings 3", "webdings")}
 BLOCKS = "path string, ordinal int, kind string, text string"
 
 
@@ -32,6 +37,22 @@ def _on(props, name: str) -> bool:
     return found is not None and found.get(W + "val", "1") not in ("0", "false", "off")
 
 
+def decode_symbol(font: str, code: int) -> str:
+    """What a symbol font shows for a code, with or without the private-use offset; an unknown code is an error, never a wrong character."""
+    table = SYMBOL_FONTS.get(font.strip().lower())
+    if table is None:
+        return chr(code)
+    if (low := code & 0xFF if code >= 0xF000 else code) not in table:
+        raise ExtractionGap(f"symbol {code:#06x} of {font} is unknown")
+    return table[low]
+
+
+def check_encoding(font: str, text: str) -> None:
+    """Text in a font of an older encoding is refused if its letters are of that encoding; Unicode text may keep such a font's name."""
+    if LEGACY_FONT.match(font) and LEGACY_LETTER.search(text) and not VIETNAMESE.search(text):
+        raise ValueError("text in an encoding older than Unicode")
+
+
 def letters(n: int) -> str:
     """1 a, 26 z, 27 aa, 28 bb: list letters repeat."""
     return chr(ord("a") + (n - 1) % 26) * ((n - 1) // 26 + 1)
@@ -61,7 +82,20 @@ class Numbering:
                 read = lambda tag, default, lvl=lvl: default if (e := lvl.find(W + tag)) is None else e.get(W + "val", default)
                 self.levels[a.get(W + "abstractNumId"), int(lvl.get(W + "ilvl"))] = (int(read("start", "1")), read("numFmt", "decimal"), read("lvlText", ""), _on(lvl, "isLgl"))
         for n in root.iter(W + "num"):
-            self.abstract[n.get(W + "numId")] = n.find(W + "abstractNumId").get(W + "val")
+            num, kind = n.get(W + "numId"), n.find(W + "abstractNumId").get(W + "val")
+            changed = n.findall(W + "lvlOverride")
+            if changed:  # a list of its own: levels of the one that it is made from, but for those restated
+                own = f"{kind}/{num}"
+                self.levels |= {(own, k): v for (a, k), v in list(self.levels.items()) if a == kind}
+                for o in changed:
+                    k, lvl, start = int(o.get(W + "ilvl")), o.find(W + "lvl"), o.find(W + "startOverride")
+                    first, fmt, text, legal = self.levels.get((own, k), (1, "decimal", "", False))
+                    if lvl is not None:
+                        read = lambda tag, default, lvl=lvl: default if (e := lvl.find(W + tag)) is None else e.get(W + "val", default)
+                        first, fmt, text, legal = int(read("start", str(first))), read("numFmt", fmt), read("lvlText", text), _on(lvl, "isLgl")
+                    self.levels[own, k] = (first if start is None else int(start.get(W + "val")), fmt, text, legal)
+                kind = own
+            self.abstract[num] = kind
 
     def label(self, num_id: str, level: int) -> str:
         kind = self.abstract.get(num_id)
@@ -117,8 +151,10 @@ class Document:
             props = node.find(W + "rPr")
             fonts = None if props is None else props.find(W + "rFonts")
             inner = "".join(map(self.text, node))
-            if fonts is not None and inner.strip() and any(v.startswith(LEGACY_FONTS) for v in fonts.attrib.values()):
-                raise ValueError("text in an encoding older than Unicode")
+            for font in set(fonts.attrib.values()) if fonts is not None else ():
+                check_encoding(font, inner)
+                if font.strip().lower() in SYMBOL_FONTS:
+                    inner = "".join(decode_symbol(font, ord(c)) if ord(c) >= 0xF000 else c for c in inner)
             if self._has(props, "vanish"):
                 return ""
             return inner.upper() if self._has(props, "caps") else inner
@@ -127,6 +163,8 @@ class Document:
             return node.text or ""
         if node.tag in (W + "tab", W + "br", W + "cr"):
             return " "
+        if node.tag == W + "sym":
+            return decode_symbol(node.get(W + "font", ""), int(node.get(W + "char"), 16))
         if node.tag == W + "noBreakHyphen":
             return "-"
         if node.tag.startswith(M):

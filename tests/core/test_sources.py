@@ -49,14 +49,49 @@ def test_windows_keep_every_line_once_and_repeat_table_heads():
     lines = ["caption", "| a | b |", *[f"| {k} | x |" for k in range(30)], "y" * 90, "end"]
     got = list(structure.window_lines(lines, list(range(len(lines))), 80))
     assert [n for w, _ in got for n in w] == list(range(len(lines)))
-    assert got[1][1] == [1] and got[-1][1] == [] and ([32], []) in got
+    assert got[0][1] == [] and got[1][1] == ["caption", "| a | b |"] and got[-1][1] == [] and ([32], []) in got
+    assert all(sum(len(lines[n]) + 1 for n in w) + sum(len(x) + 1 for x in stem) <= 81 for w, stem in got if w != [32])
+    ruled = ["Bảng 1", "| a | b |", "|---|---|", *["| 1 | 2 |"] * 20]
+    assert list(structure.window_lines(ruled, list(range(23)), 60))[-1][1] == ["Bảng 1", "| a | b |", "|---|---|"]
+    assert list(structure.window_lines(ruled, list(range(23)), 9999)) == [(list(range(23)), [])]
     assert structure.is_data_table(["| a |", "| 1 |", "| 2 |"]) and not structure.is_data_table(["| a | b | c |", "| | | |", "| 1 | | |"])
 
 
 def test_quotes():
-    assert structure.quote_spans("a “b ‘c’ d” e") == [(2, 11), (5, 8)]
-    assert structure.quote_spans("“open\nnext") == [(0, 5)]
+    assert structure.quote_spans("a “b ‘c’ d” e") == [(2, 11)]
+    assert structure.quote_spans("“open\nnext “in” x") == [(0, 5), (11, 15)]
     assert structure.quote_spans('x "y" » z') == [(2, 5)]
+    assert structure.quote_spans('“mixed" and "so”') == [(0, 7), (12, 16)]
+    assert structure.quote_spans('5" pipe “x”') == [(8, 11)] and structure.quote_spans('("in")') == [(1, 5)]
+    assert structure.quote_spans("“a «b” c» d") == [(0, 6)]
+
+
+def test_contents_lists():
+    body = ["Chương I", "Điều 1. Một", "Nội dung"]
+    assert structure.without_contents(["Đầu", "MỤC LỤC", "Chương I ..... 3", "Điều 1. Một … 4", *body]) == ["Đầu", *body]
+    assert structure.without_contents(["Mục lục", "chữ thường"]) == ["Mục lục", "chữ thường"]
+    assert structure.without_contents([]) == []
+
+
+def test_pages(spark):
+    from lexloom.sources import pages
+
+    rows = []
+    for page in (1, 2):
+        rows.append(("f", page, 10.0, 50.0, 100.0, 9.0, f"Trang {page}", False, False))
+        rows += [("f", page, 100.0 + 20 * k, 80.0 if k == 0 else 50.0, 500.0 if k < 2 else 200.0, 12.0, f"p{page} line {k} of text", False, False) for k in range(3)]
+        rows.append(("f", page, 160.0, 50.0, 500.0, 12.0, f"p{page} goes on in full", False, False))
+        rows.append(("f", page, 101.0, 50.0, 60.0, 7.0, "1", True, True))
+        rows.append(("f", page, 700.0, 50.0, 400.0, 8.0, f"{page} note", True, False))
+        rows.append(("f", page, 712.0, 50.0, 400.0, 8.0, f"second line {'ab'[page - 1]}", False, False))
+    rows.append(("f", 2, 300.0, 50.0, 500.0, 12.0, "zz|~ scanned text without any letter of the language", False, False))
+    schema = "path string, page int, top double, x0 double, x1 double, size double, text string, small_digit boolean, marker_only boolean"
+    tables = spark.createDataFrame([("f", 2, 400.0, "| a | b |")], "path string, page int, top double, text string")
+    got = [(r.kind, r.text) for r in pages.blocks(spark.createDataFrame(rows, schema), tables).orderBy("ordinal").collect()]
+    one = lambda p: [("furniture", f"Trang {p}"), ("text", f"p{p} line 0 of text p{p} line 1 of text p{p} line 2 of text"), ("text", f"p{p} goes on in full")]
+    notes = lambda p: [("footnote", f"{p} note"), ("footnote", f"second line {'ab'[p - 1]}")]
+    assert got == one(1) + notes(1) + one(2) + [("corrupt", "zz|~ scanned text without any letter of the language"), ("table", "| a | b |")] + notes(2)
+    assert pages.blocks(spark.createDataFrame([], schema)).count() == 0
 
 
 def _docx(body: str, numbering: str = "") -> bytes:
@@ -81,12 +116,17 @@ def test_word(spark):
         + f"<w:tbl><w:tr>{cell('h1')}{cell('h2')}</w:tr><w:tr>{cell('v', '<w:vMerge w:val=\"restart\"/>')}{cell('1')}</w:tr><w:tr>{cell('', '<w:vMerge/>')}{cell('2')}</w:tr></w:tbl>"
         + f"<w:tbl><w:tr>{cell('boxed')}</w:tr></w:tbl>"
     )
-    old = _docx('<w:p><w:r><w:rPr><w:rFonts w:ascii=".VnTime"/></w:rPr><w:t>x</w:t></w:r></w:p>')
-    files = spark.createDataFrame([("a.docx", bytearray(_docx(body, numbering))), ("b.pdf", bytearray(b"x")), ("c.docx", bytearray(b"no zip")), ("d.docx", bytearray(old))], "path string, content binary")
+    old = _docx('<w:p><w:r><w:rPr><w:rFonts w:ascii=".VnTime"/></w:rPr><w:t>®iÒu</w:t></w:r></w:p>')
+    new = _docx('<w:p><w:r><w:rPr><w:rFonts w:ascii=".VnTime"/></w:rPr><w:t>Điều</w:t></w:r><w:r><w:sym w:font="Wingdings" w:char="F0FC"/></w:r><w:r><w:rPr><w:rFonts w:ascii="Symbol"/></w:rPr><w:t>\uf061</w:t></w:r></w:p>')
+    over = '<w:num w:numId="8"><w:abstractNumId w:val="3"/><w:lvlOverride w:ilvl="0"><w:startOverride w:val="5"/></w:lvlOverride></w:num>'
+    five = lambda t: p(t, num(0).replace('w:val="7"', 'w:val="8"'))
+    started = _docx(p("one", num(0)) + five("five") + five("six") + p("two", num(0)), numbering + over)
+    files = spark.createDataFrame([("a.docx", bytearray(_docx(body, numbering))), ("b.pdf", bytearray(b"x")), ("c.docx", bytearray(b"no zip")), ("d.docx", bytearray(old)), ("e.docx", bytearray(new)), ("f.docx", bytearray(started))], "path string, content binary")
     got = word.extract(files).collect()
     assert [r.text for r in got if r.path == "a.docx"] == ["1. one", "a) a", "b) b", "2. two", "a) again", "UP", "a/(b+c)", "| h1 | h2 |", "| v | 1 |", "| v | 2 |", "boxed"]
+    assert [r.text for r in got if r.path == "e.docx"] == ["Điều✓α"] and [r.text for r in got if r.path == "f.docx"] == ["1. one", "5. five", "6. six", "2. two"]
     assert {r.path for r in got if r.kind == "error"} == {"b.pdf", "c.docx", "d.docx"}
-    text = corpus.canonical_text(word.extract(files)).collect()
+    text = corpus.canonical_text(word.extract(files.filter("path < 'e'"))).collect()
     assert len(text) == 1 and text[0].raw_text.split("\n")[-1] == "boxed"
     assert [word.letters(28), word.roman(1994)] == ["bb", "mcmxciv"]
 
