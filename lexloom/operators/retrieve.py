@@ -193,6 +193,11 @@ def group_ranked(hits: DataFrame) -> DataFrame:
     return groups.withColumn("group_rank", F.row_number().over(Window.partitionBy("qid").orderBy("best")).cast("long"))
 
 
+def any_of(queries: DataFrame) -> DataFrame:
+    """qid, said: a query's distinct terms, any of which would do, as one text."""
+    return keyword.query_terms(queries).groupBy("qid").agg(F.expr("listagg(term, ' | ') within group (order by term)").alias("said"))
+
+
 def islands(rows: DataFrame, key: str, order: str, context: str) -> DataFrame:
     """Runs of one context in reading order within each key: key, island, context, first, n."""
     w = Window.partitionBy(key).orderBy(order)

@@ -31,6 +31,12 @@ def cached_embeddings(texts: DataFrame, cache: DataFrame, model: str, dim: int)
     return texts.select("text").distinct().withColumn("text_sha256", T.sha256(F.col("text"))).join(key, "text_sha256", "left")
 
 
+def stored_embeddings(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache with new rows whose key (model, dim, text_sha256) it lacks; of several new rows for one key any counts."""
+    key = ["model", "dim", "text_sha256"]
+    return cache.unionByName(new.dropDuplicates(key).join(cache.select(*key), key, "left_anti").select(cache.columns))
+
+
 def missing_embeddings(chunks: DataFrame) -> DataFrame:
     return chunks.filter("embedding is null").groupBy("doc_code").agg(F.count("*").alias("missing"))
 

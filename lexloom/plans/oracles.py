@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexloom.functions.text import FOLD_FROM, FOLD_TO
+from lexloom.operators.evaluate import ADVERSARIAL
 from lexloom.operators.perturb import CHAT
 
 ON = "date '2021-03-01'"
@@ -95,6 +96,14 @@ walked as (select start, edge_id, a as "from", b as "to", relation, citation, st
 
 _UNDER = lambda p: f"(path = '{p}' or starts_with(path, '{p}.'))"
 
+_GRADED = """graded as (
+  select *, not in_scope and (refused or c = 0) or in_scope and not refused and cite_article and n_amounts = 0 and n_facts = 0 and grounded as correct from (
+    select *, o_orderkey % 4 <> 0 as in_scope, o_custkey % 5 as c, o_custkey % 3 = 1 as grounded, o_custkey % 7 = 0 as refused, o_orderkey % 2 = 0 and o_custkey % 7 <> 0 as cite_article,
+      o_orderkey % 2 = 0 and o_custkey % 7 <> 0 and o_custkey % 5 = 1 as cite_exact, (o_custkey % 3 <> 1)::int::bigint as n_amounts, (o_custkey % 5 = 0)::int::bigint as n_facts from orders))"""
+_CHANGES = """changes as (
+  select 'n' || c_custkey as doc_code, 'n' || c_custkey || '.a_1.c_1' as source, 'sửa đổi' as action, c_custkey || '/2020/ND-CP' as target_code, '5' as article, '2' as clause, null as point from customer
+  union all select 'n' || c_custkey, 'n' || c_custkey || '.a_1.c_2', 'bãi bỏ', c_custkey || '/2020/ND-CP', '6', cast(c_custkey % 3 + 1 as varchar), unnest(['a', 'b', 'c']) from customer)"""
+
 ORACLES = {
     "syllable_terms": f"with {CHUNKS}, {POSTINGS} select term, cast(sum(tf) as bigint) as tf, count(*) as df from postings group by term",
     "corpus_stats": f"with {CHUNKS}, {POSTINGS} select n, round(avgdl, 6) as avgdl from stats",
@@ -182,7 +191,63 @@ ORACLES = {
         select case when qid % 5 = 0 then 'holdout' else 'dev' end as split, rank from asked left join good using (qid))
       select split, round(avg(case when rank <= 1 then 1.0 else 0.0 end), 6) as hit_1, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 6) as hit_5, round(avg(coalesce(1.0::double / rank, 0.0)), 6) as mrr from r group by split""",
     "grounding": """select o_orderkey, concat_ws(',', case when o_orderkey % 7 <> o_orderkey % 5 then 'a' || (o_orderkey % 7) end, case when o_custkey % 2 <> 0 then 'd' || o_custkey || '000' end) as missing from orders""",
-    "mcnemar": "select cast(sum((toxic = 0 and quality <> 1)::int) as bigint) as gains, cast(sum((quality = 1 and toxic <> 0)::int) as bigint) as losses from labels",
+    "mcnemar": """with n as (select cast(sum((toxic = 0 and quality <> 1)::int) as bigint) as gains, cast(sum((quality = 1 and toxic <> 0)::int) as bigint) as losses from labels),
+      i as (select *, unnest(range(least(gains, losses) + 1)) as i from n)
+      select gains, losses, round(least(1.0, 2 * sum(exp(lgamma(gains + losses + 1) - lgamma(i + 1) - lgamma(gains + losses - i + 1) - (gains + losses) * ln(2)))), 6) as p from i group by gains, losses""",
+    "grade_answers": f"with {_GRADED} select o_orderkey, grounded, refused, cite_article, cite_exact, correct, n_amounts, n_facts from graded",
+    "answer_report": f"""with {_GRADED} select count(*) as n, cast(sum(in_scope::int) as bigint) as n_in_scope, round(avg(correct::int) filter (in_scope), 6) as correct, round(avg(cite_article::int) filter (in_scope), 6) as cite_article,
+      round(avg(cite_exact::int) filter (in_scope), 6) as cite_exact, round(avg((n_amounts = 0 and n_facts = 0)::int) filter (in_scope), 6) as whole, round(avg(grounded::int), 6) as grounded,
+      round(avg(refused::int) filter (in_scope), 6) as wrongly_refused, round(avg(correct::int) filter (not in_scope), 6) as rightly_refused, round(avg(o_custkey::double) filter (o_orderkey % 10 = 0), 6) as mean_cost,
+      list_sort(list(o_orderkey % 1000))[cast(floor(count(*) / 2) as bigint) + 1] as median_ms, max(o_orderkey % 1000) as max_ms, round(sum(o_custkey::double) filter (o_orderkey % 10 = 0), 2) as cost from graded""",
+    "renumber_citations": """with o as (select o_orderkey, o_orderkey % 4 as n, o_custkey % 4 as a, (o_custkey + 1) % 4 as b from orders),
+      t as (select *, case when a < 3 then '[#' || (a + 1) || ']' else '' end as one, case when b < 3 then '[#' || (b + 1) || ']' else '' end as two from o)
+      select o_orderkey, 'x ' || one || ' y' || case n when 1 then one when 2 then two else '' end || ' z ' as answer from t""",
+    "prompts": _hybrid() + """, h as (select qid, rank, doc_code, effective, trim(text, ' ') as text, case when id % 2 = 0 then 'Điều ' || id else c.path end as place from hits join chunks c using (id) where rank <= 3),
+      b as (select qid, string_agg('[#' || rank || '] ' || doc_code || ' — ' || place || ' (hiệu lực ' || strftime(effective, '%Y-%m-%d') || ')' || chr(10) || text, chr(10) || chr(10) order by rank) as blocks from h group by qid)
+      select qid, sha256('Header' || chr(10) || chr(10) || '===== ĐIỀU KHOẢN =====' || chr(10) || coalesce(blocks, '') || chr(10) || '===== HẾT =====' || chr(10) || chr(10) || 'CÂU HỎI: ' || trim(query_text, ' ')) as sha256
+      from asked left join b using (qid)""",
+    "adversarial_confidence": _hybrid(asked="asked as (select unnest(range({})) as qid, unnest([{}]) as query_text, cast(null as float[]) as query_vector)".format(len(ADVERSARIAL), ", ".join(f"'{q}'" for q in ADVERSARIAL)))
+    + """, l as (select qid, case when not bool_or(phrase_matched) then 'none' else 'high' end as confidence from hits group by qid) select qid, coalesce(confidence, 'none') as confidence from asked left join l using (qid)""",
+    "any_of": f"with {ASKED}, {WANTED} select qid, string_agg(term, ' | ' order by term) as said from wanted group by qid",
+    "canonical_text": """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as pos from documents),
+      n as (select doc_id, pos, trim(regexp_replace(nfc_normalize(line), '\\s+', ' ', 'g')) as line from l where pos % 5 <> 4)
+      select cast(doc_id as varchar) as path, sha256(string_agg(line, chr(10) order by pos)) as sha256 from n where line <> '' group by doc_id""",
+    "document_links": """with p as (select cast(page_id as varchar) as doc_code, url, lower(regexp_extract(url, '://([^/:?#]+)', 1)) as named from pages), h as (select unnest(['example.com', 'example.net']) as host)
+      select doc_code, host, url from p join h on named = host or suffix(named, '.' || host)""",
+    "manifest": """select 's' || s_suppkey as doc_code, '- s' || s_suppkey || ': ' || s_name || ' (from 2020-06-01' || case when s_suppkey % 3 = 0 then ' to ' || strftime(date '2021-01-01' + cast(s_suppkey % 50 as int), '%Y-%m-%d') else '' end || ')' as line from supplier""",
+    "request_order": f"with {_PLACES} select path, n_regionkey * 25 + 24 - n_nationkey as ordinal from places join nation on path = 'r' || n_regionkey || '.n' || n_nationkey || '.body'",
+    "reference_edges": """with o as (select 'o' || c_custkey as p, c_custkey % 4 as k from customer), e as (
+        select p || '.a_1.c_1' as source, p || '.a_1.c_2' as target, 'khoản 2 Điều này' as citation from o
+        union all select p || '.a_1.c_2', p || unnest(['.a_2.c_1.body', '.a_2.c_1.p_a', '.a_2.c_1.p_b', '.a_2.c_2']), 'Điều 2 Thông tư này' from o
+        union all select p || '.a_2.c_1.p_b', p || '.a_1.c_' || k, 'khoản ' || k || ' Điều 1 Thông tư này' from o where k in (1, 2)) select source, target, 'REFERENCES' as relation, citation from e""",
+    "amendments": f"with {_CHANGES} select * from changes",
+    "amendment_notes": f"""with {_CHANGES}, c as (select c_custkey as k, unnest(['a_5.c_2', 'a_5.c_2.p_a', 'a_5.c_1', 'a_6.c_1.p_b', 'a_6.c_2.p_d', 'a_6.c_3.body']) as p from customer where date '2021-02-20' + cast(c_custkey % 20 as int) <= {ON}),
+      m as (select 'l' || k || '.' || p as path, 'sửa đổi' as action, 'n' || k || '.a_1.c_1' as source, 1 as n from c where p in ('a_5.c_2', 'a_5.c_2.p_a')
+        union all select 'l' || k || '.' || p, 'bãi bỏ', 'n' || k || '.a_1.c_2', case when p = 'a_6.c_3.body' then 3 else 1 end from c where (p = 'a_6.c_1.p_b' and k % 3 = 0) or (p = 'a_6.c_3.body' and k % 3 = 2))
+      select path, action, source as sources, cast(n as bigint) as n from m""",
+    "quote_spans": """select s_suppkey, concat_ws(',', '3-' || (5 + n), (8 + n) || '-' || (10 + 2 * n), (13 + 2 * n) || '-' || (14 + 2 * n + length(cast(s_suppkey as varchar)))) as spans from (select s_suppkey, length(s_name) as n from supplier)""",
+    "normalized_span": """with w as (select doc_id, text, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')[5:8] as w from documents),
+      m as (select doc_id, text, case when len(w) > 0 then regexp_extract(text, array_to_string(list_transform(w, lambda x: regexp_escape(x)), '\\s+')) end as m from w)
+      select doc_id, case when m <> '' then instr(text, m) - 1 end as start, case when m <> '' then instr(text, m) - 1 + length(m) end as "end" from m""",
+    "text_fragments": """select cast(doc_id as varchar) as doc_code, '#:~:text=' || case when doc_id % 2 = 0 then url_encode('Mục số ' || doc_id || ' của tài liệu này') else url_encode('ở đây một hai:') || ',' || url_encode('tài liệu này') end as source_fragment from documents""",
+    "embed_pending": f"""with {CHUNKS}, p as (select text, min(id) % 3 = 0 as known, {_syllables("text")} as w from chunks where embedding is null group by text),
+      b as (select *, list_transform(w, lambda x: cast('0x' || substr(md5(x), 1, 4) as int) % 8) as b from p),
+      n as (select *, list_transform(range(8), lambda j: len(list_filter(b, lambda x: x = j))::double) as n from b),
+      u as (select *, sqrt(list_sum(list_transform(n, lambda x: x * x))) as size from n),
+      e as (select text, case when known then [1, 2, 3, 4, 5, 6, 7, 8]::float[] when trim(text) <> '' then list_transform(n, lambda x: cast(x / greatest(size, 1e-300) as float)) end as new from u)
+      select id, {_summed("coalesce(embedding, new)")} as embedding from chunks left join e using (text)""",
+    "cache_store": f"""with {CHUNKS}, r as (select distinct cast(id % 2 as int) as dim, sha256(doc_code) as text_sha256 from chunks where embedding is not null) select dim, text_sha256, cast(dim + 1 as int) as embedding from r""",
+    "snapshot_roundtrip": f"""with {CHUNKS} select cast(id as varchar) as key, sha256(text) as sha256, {_summed("embedding")} as embedding from chunks where embedding is not null
+      union all select 's' || s_suppkey, sha256(s_name), null from supplier""",
+    "saved_cases": f"with {ASKED} select 'b' || lpad(cast(qid as varchar), 4, '0') as id, sha256(query_text) as sha256, pattern as expected from asked",
+    "chunk_documents": """with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(generate_series(1, len(string_split(text, chr(10))))) as n from documents)
+      select 'd' || doc_id as doc_code, 'd' || doc_id || '.a_1.body' as path, 1 as start_line, 1 as end_line, 12 as n_chars from documents
+      union all select 'd' || doc_id, 'd' || doc_id || '.a_1.c_' || n, n + 1, n + 1, length(n || '. ' || line) from l""",
+    "expand_windows_in_budget": """with t as (select conv_id, turn, turn || ' ' || text as body, length(turn || ' ' || text) + 1 as cost, count(*) over (partition by conv_id) as n from conversations),
+      w as (select *, 5 + sum(cost) over (partition by conv_id) - 1 as whole, sum(cost) over (partition by conv_id order by turn) as upto from t),
+      k as (select *, whole <= 1500 or turn = 0 or upto <= 1500 - 40 - 2 - 5 as kept from w),
+      j as (select conv_id, any_value(n) as n, string_agg(body, chr(10) order by turn) filter (kept) as body, not bool_and(kept) as cut from k group by conv_id)
+      select 'c' || conv_id || '.w_0' as path, sha256('head' || chr(10) || body || case when cut then chr(10) || '| ... | (lược bớt phần khác của bảng) |' else '' end) as sha256 from j join conversations using (conv_id) where turn = 0""",
     "fill_ratio": """with l as (select doc_id, string_split(line, '|') as c from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where contains(line, '|'))
       select doc_id, count(*) as n, round(sum(len(list_filter(c, lambda x: trim(x) <> '')) / len(c)), 6) as filled from l group by doc_id""",
     "money_amounts": """select o_orderkey, case o_orderkey % 3 when 0 then cast((o_custkey + 1) * 1000 as varchar) when 1 then array_to_string(list_sort(list_distinct([(o_orderkey % 7 + 1) * 1000000, 9000000])), ',')
@@ -218,3 +283,4 @@ ORACLES = {
       firsts as (select ordinal, x.style as style, x.variant as query, row_number() over (partition by lower(x.variant) order by ordinal, nth) as n from picked where x.variant <> query)
       select ordinal, style, query from firsts where n = 1""",
 }
+ORACLES["versioned_upsert"] = ORACLES["upsert_documents"]

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import citations, evaluate, graph, index, models, perturb, retrieve, tables, tree, vectors, windows
+from lexloom.operators import answers, citations, evaluate, fragments, graph, index, models, perturb, retrieve, tables, tree, vectors, windows
 from lexloom.plans import views as v
 from lexloom.plans.oracles import ORACLES  # noqa: F401
-from lexloom.sources import structure
+from lexloom.sources import corpus, session, store, structure
 
 ON = "2021-03-01"
 
@@ -288,12 +288,55 @@ def hit_rates(s, d) -> DataFrame:
 def grounding(s, d) -> DataFrame:
     o = v.table(s, d, "orders")
     answer = F.concat(F.lit("Điều "), F.col("o_orderkey") % 7, F.lit(" phạt "), F.col("o_custkey").cast("string"), F.lit(".000 đồng"))
-    source = F.concat(F.lit("điều "), F.col("o_orderkey") % 5, F.lit(" mức "), (F.col("o_custkey") - F.col("o_custkey") % 2).cast("string"), F.lit("000 đồng"))
+    source = F.concat(F.lit("Điều "), F.col("o_orderkey") % 5, F.lit(" mức "), (F.col("o_custkey") - F.col("o_custkey") % 2).cast("string"), F.lit("000 đồng"))
     return o.select("o_orderkey", F.array_join(F.array_sort(evaluate.ungrounded(answer, source)), ",").alias("missing"))
 
 
 def mcnemar(s, d) -> DataFrame:
-    return evaluate.mcnemar(v.table(s, d, "labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b")))
+    return evaluate.mcnemar(v.table(s, d, "labels").select((F.col("quality") == 1).alias("a"), (F.col("toxic") == 0).alias("b"))).select("gains", "losses", _r("p"))
+
+
+def _graded(s, d) -> DataFrame:
+    key, who = F.col("o_orderkey"), F.col("o_custkey")
+    answer = F.concat(F.lit("Điều 5: phạt "), (who % 3 + 1).cast("string"), F.lit(" triệu đồng, "), F.when(who % 5 == 0, "không tìm thấy").otherwise("đội mũ"))
+    cited = F.when(who % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("d.a_5.c_"), (who % 5).cast("string"))))
+    o = v.table(s, d, "orders").select(
+        "o_orderkey", (key % 4 != 0).alias("in_scope"), answer.alias("answer"), cited.alias("cited"), F.when(key % 2 == 0, F.array(F.lit("d.a_5.c_1"))).otherwise(F.array(F.lit("d.a_6"))).alias("expected"),
+        F.array(F.lit(2_000_000).cast("long")).alias("amounts"), F.array(F.lit("mũ|nón")).alias("facts"), F.lit("Điều 5, mức 2 triệu đồng").alias("sources"), (who % 3).cast("string").alias("style"), (key % 1000).alias("ms"),
+        F.when(key % 10 == 0, who.cast("double")).alias("cost"),
+    )
+    return evaluate.grade(o)
+
+
+def grade_answers(s, d) -> DataFrame:
+    return _graded(s, d).select("o_orderkey", "grounded", "refused", "cite_article", "cite_exact", "correct", F.size("missing_amounts").cast("long").alias("n_amounts"), F.size("missing_facts").cast("long").alias("n_facts"))
+
+
+def answer_report(s, d) -> DataFrame:
+    out = answers.report(_graded(s, d))
+    return out.select("n", "n_in_scope", *[_r(c) for c in ("correct", "cite_article", "cite_exact", "whole", "grounded", "wrongly_refused", "rightly_refused", "mean_cost")], "median_ms", "max_ms", _r("cost", 2))
+
+
+def renumber_citations(s, d) -> DataFrame:
+    o = v.table(s, d, "orders")
+    path = lambda k: F.concat(F.lit("p"), ((F.col("o_custkey") + k) % 4).cast("string"))
+    answer = F.concat(F.lit("x [#1] y[#"), (F.col("o_orderkey") % 4).cast("string"), F.lit("] z [#9]"))
+    return o.select("o_orderkey", answers.renumbered(answer, F.array(path(0), path(1)), F.array(F.lit("p0"), F.lit("p1"), F.lit("p2"))).alias("answer"))
+
+
+def prompts(s, d) -> DataFrame:
+    asked = v.asked(s, d).select("qid", "query_text")
+    hits = _hybrid(s, d, limit=3).select("qid", "rank", "id").join(v.chunks(s, d, False), "id").withColumn("address", F.when(F.col("id") % 2 == 0, F.concat(F.lit("Điều "), "id")))
+    return answers.prompts(asked, hits, "Header").select("qid", T.sha256(F.col("prompt")).alias("sha256"))
+
+
+def adversarial_confidence(s, d) -> DataFrame:
+    asked = s.createDataFrame([(k, q, None) for k, q in enumerate(evaluate.ADVERSARIAL)], "qid long, query_text string, query_vector array<float>")
+    return retrieve.confidence(asked, _hybrid(s, d, asked))
+
+
+def any_of(s, d) -> DataFrame:
+    return retrieve.any_of(v.asked(s, d))
 
 
 def fill_ratio(s, d) -> DataFrame:
@@ -327,13 +370,125 @@ def fill_embeddings(s, d) -> DataFrame:
     return tables.fill_embeddings(c, known).select("id", _summed("embedding"))
 
 
-def _source_text(s, d) -> DataFrame:
-    """Each document's lines under one article, so that the parser has a structure to read."""
-    return v.table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_code"), "lang", F.concat(F.lit("Điều 1. Text\n1. "), "text").alias("raw_text")).select("doc_code", F.col("lang").alias("title"), "raw_text")
+def chunk_documents(s, d) -> DataFrame:
+    """Each document's lines as the numbered clauses of one article."""
+    lines = F.transform(F.split(F.regexp_replace("text", '[“”‘’«»"]', "'"), "\n"), lambda x, k: F.concat((k + 1).cast("string"), F.lit(". "), x))
+    docs = v.table(s, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("doc_code"), F.col("lang").alias("title"), F.concat(F.lit("Điều 1. Gồm:\n"), F.array_join(lines, "\n")).alias("raw_text"))
+    return structure.chunk_documents(docs).select("doc_code", "path", "start_line", "end_line", F.length("verbatim_text").cast("long").alias("n_chars"))
 
 
-def chunk_documents(s, d) -> DataFrame:
-    return structure.chunk_documents(_source_text(s, d)).select("doc_code", "path", "start_line", "end_line", F.length("verbatim_text").cast("long").alias("n_chars"))
+def canonical_text(s, d) -> DataFrame:
+    lines = v.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    blocks = lines.select("path", "ordinal", F.when(F.col("ordinal") % 5 == 4, "footnote").otherwise("text").alias("kind"), F.concat(F.lit(" "), F.replace("line", F.lit(" "), F.lit("  ")), F.lit(" \u200b")).alias("text"))
+    return corpus.canonical_text(blocks).select("path", T.sha256(F.col("raw_text")).alias("sha256"))
+
+
+def document_links(s, d) -> DataFrame:
+    pages = v.table(s, d, "pages").select(F.col("page_id").cast("string").alias("doc_code"), F.array(F.lit("no url"), "url", F.concat("url", F.lit("&again=1"))).alias("source_urls"))
+    return corpus.document_links(pages, ("example.com", "example.net"))
+
+
+def manifest(s, d) -> DataFrame:
+    end = F.when(F.col("s_suppkey") % 3 == 0, F.date_add(F.lit("2021-01-01").cast("date"), (F.col("s_suppkey") % 50).cast("int")))
+    docs = v.table(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("doc_code"), F.col("s_name").alias("title"), F.lit("2020-06-01").cast("date").alias("effective"), end.alias("expiration"))
+    return corpus.manifest(docs)
+
+
+def request_order(s, d) -> DataFrame:
+    paths = [f"r{r}.n{n}.body" for r in range(5) for n in range(24, -1, -1)]
+    return tree.in_request_order(v.places(s, d), [*paths, "none", *paths]).select("path", "ordinal")
+
+
+def reference_edges(s, d) -> DataFrame:
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("Điều 1. A\n1. Theo khoản 2 Điều này.\n2. Theo Điều 2 Thông tư này.\nĐiều 2. B\n1. C:\na) D;\nb) Theo khoản "), (k % 4).cast("string"), F.lit(" Điều 1 Thông tư này.\n2. E."))
+    docs = v.table(s, d, "customer").select(F.concat(F.lit("o"), k.cast("string")).alias("doc_code"), F.lit("Thông tư thử").alias("title"), text.alias("raw_text"))
+    return citations.reference_edges(citations.hints(docs), structure.chunk_documents(docs)).select("source", "target", "relation", "citation")
+
+
+def _changes(s, d) -> DataFrame:
+    k = F.col("c_custkey")
+    text = F.concat(F.lit("Điều 1. Sửa đổi, bổ sung một số điều của Nghị định số "), k.cast("string"), F.lit("/2020/ND-CP\n1. Sửa đổi khoản 2 Điều 5 như sau:\n“2. Bãi bỏ Điều 9”.\n2. Bãi bỏ điểm a đến điểm c khoản "), (k % 3 + 1).cast("string"), F.lit(" Điều 6."))
+    docs = v.table(s, d, "customer").select(F.concat(F.lit("n"), k.cast("string")).alias("doc_code"), text.alias("raw_text"), F.lit(None).cast("string").alias("amends"))
+    return citations.amendments(docs)
+
+
+def amendments(s, d) -> DataFrame:
+    return _changes(s, d).select("doc_code", "source", "action", "target_code", "article", "clause", "point")
+
+
+def amendment_notes(s, d) -> DataFrame:
+    k = F.col("c_custkey")
+    c = v.table(s, d, "customer")
+    paths = F.explode(F.array(*map(F.lit, ("a_5.c_2", "a_5.c_2.p_a", "a_5.c_1", "a_6.c_1.p_b", "a_6.c_2.p_d", "a_6.c_3.body"))))
+    chunks = c.select(F.concat(k.cast("string"), F.lit("/2020/ND-CP")).alias("doc_code"), k, paths.alias("part")).select("doc_code", F.concat(F.lit("l"), k.cast("string"), F.lit("."), "part").alias("path"))
+    dates = c.select(F.concat(F.lit("n"), k.cast("string")).alias("doc_code"), F.date_add(F.lit("2021-02-20").cast("date"), (k % 20).cast("int")).alias("effective"))
+    return citations.notes(chunks, _changes(s, d), dates, on_date()).select("path", "action", F.array_join("sources", ",").alias("sources"), "n")
+
+
+def quote_spans(s, d) -> DataFrame:
+    text = F.concat(F.lit("ab “"), "s_name", F.lit("” c \""), "s_name", F.lit("\" d «"), F.col("s_suppkey").cast("string"), F.lit("\nlast"))
+    spans = F.transform(structure.quote_spans_of(text), lambda x: F.concat_ws("-", x["start"], x["end"]))
+    return v.table(s, d, "supplier").select("s_suppkey", F.array_join(spans, ",").alias("spans"))
+
+
+def normalized_span(s, d) -> DataFrame:
+    words = F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 5, 4)
+    span = T.normalized_span(F.col("text"), F.array_join(words, " \n "))
+    return v.table(s, d, "documents").select("doc_id", span["start"].cast("long").alias("start"), span["end"].cast("long").alias("end"))
+
+
+def text_fragments(s, d) -> DataFrame:
+    own = F.concat(F.lit("1. Mục số "), F.col("doc_id").cast("string"), F.lit(" của tài liệu này; hết"))
+    twice = F.concat(own, F.lit("\nKhác hẳn ở đây một hai:\n"), own)
+    docs = v.table(s, d, "documents").select(F.col("doc_id").cast("string").alias("doc_code"), F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit("\n"), own)).otherwise(twice).alias("raw_text"), own.alias("text"), F.when(F.col("doc_id") % 2 == 0, 1).otherwise(3).alias("start_line"))
+    return fragments.with_fragments(docs.select("doc_code", "text", "start_line"), docs.select("doc_code", "raw_text")).select("doc_code", "source_fragment")
+
+
+def embed_pending(s, d) -> DataFrame:
+    c = v.chunks(s, d).select("id", "text", "embedding")
+    known = c.filter("embedding is null").groupBy("text").agg(F.min("id").alias("at")).filter("at % 3 = 0")
+    cache = known.select(F.lit("m").alias("model"), F.lit(8).alias("dim"), T.sha256(F.col("text")).alias("text_sha256"), F.array(*[F.lit(float(k)) for k in range(1, 9)]).cast("array<float>").alias("embedding"))
+    filled, _ = models.embed_pending(c, cache, models.SyllableEmbedder(8), "m")
+    return filled.select("id", _summed("embedding"))
+
+
+def cache_store(s, d) -> DataFrame:
+    c = v.chunks(s, d).filter("embedding is not null")
+    rows = c.select(F.lit("m").alias("model"), (F.col("id") % 2).cast("int").alias("dim"), T.sha256(F.col("doc_code")).alias("text_sha256"), F.lit(1).alias("embedding"))
+    cache = rows.filter("dim = 0").dropDuplicates(["text_sha256"])
+    return tables.stored_embeddings(cache, rows.withColumn("embedding", F.lit(2))).select("dim", "text_sha256", "embedding")
+
+
+def snapshot_roundtrip(s, d) -> DataFrame:
+    """Chunks with a vector and the documents, written as a snapshot, restored into a store and read from it."""
+    c = v.chunks(s, d).filter("embedding is not null").select("id", "path", F.col("text").alias("verbatim_text"), "embedding")
+    docs = v.table(s, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("doc_code"), F.col("s_name").alias("title"))
+    at = f"{session.work_folder(s)}/snapshot-{v.fresh()}"
+    dim = len(c.select("embedding").first()[0])
+    corpus.export_snapshot({"chunks": c, "documents": docs}, at, "m", dim, ["001", "002"])
+    schemas = {"chunks": "id long, path string, verbatim_text string, embedding array<float>", "documents": "doc_code string, title string"}
+    corpus.restore(s, at, f"{at}-store", schemas, "m", dim, ["001", "002"], replace=True)
+    back = store.read(s, f"{at}-store", "chunks").select(F.col("id").cast("string").alias("key"), T.sha256(F.col("verbatim_text")).alias("sha256"), _summed("embedding"))
+    return back.unionByName(store.read(s, f"{at}-store", "documents").select(F.col("doc_code").alias("key"), T.sha256(F.col("title")).alias("sha256"), F.lit(None).cast("double").alias("embedding")))
+
+
+def saved_cases(s, d) -> DataFrame:
+    cases = v.asked(s, d).select(F.concat(F.lit("b"), F.lpad(F.col("qid").cast("string"), 4, "0")).alias("id"), F.lit("dev").alias("split"), F.col("query_text").alias("question"), F.array("pattern").alias("expected"))
+    at = f"{session.work_folder(s)}/cases-{v.fresh()}"
+    corpus.save_cases(cases.filter("id < 'b0005'"), at)
+    corpus.save_cases(cases, at)
+    return corpus.saved_cases(s, at, corpus.RETRIEVAL_CASE).select("id", T.sha256(F.col("question")).alias("sha256"), F.array_join("expected", ",").alias("expected"))
+
+
+def versioned_upsert(s, d) -> DataFrame:
+    """Two versions of a table in a store: the old rows, then those of `upsert_documents`, read when the second is current."""
+    at = f"{session.work_folder(s)}/versions-{v.fresh()}"
+    store.commit(s, at, {"documents": v.table(s, d, "supplier").select("s_suppkey", "s_name", _r("s_acctbal", 2))})
+    old = store.read(s, at, "documents")
+    new = old.filter("s_suppkey % 3 = 0").select((F.col("s_suppkey") * 2).alias("s_suppkey"), F.concat("s_name", F.lit("!")).alias("s_name"), (F.col("s_acctbal") * 0).alias("s_acctbal"))
+    store.commit(s, at, {"documents": tables.upsert_documents(old, new, "s_suppkey", ("s_acctbal",))})
+    return store.read(s, at, "documents")
 
 
 def citation_hints(s, d) -> DataFrame:
@@ -352,10 +507,18 @@ def curate_edges(s, d) -> DataFrame:
     return graph.plan_curation(e, nodes, added, removed, "checked").outcome
 
 
+def _turns(s, d) -> DataFrame:
+    return v.table(s, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".w_"), F.col("turn").cast("string")).alias("path"), F.concat(F.lit("head\n"), F.col("turn").cast("string"), F.lit(" "), "text").alias("text"), "turn")
+
+
 def expand_windows(s, d) -> DataFrame:
-    turns = v.table(s, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit(".w_"), F.col("turn").cast("string")).alias("path"), F.concat(F.lit("head\n"), F.col("turn").cast("string"), F.lit(" "), "text").alias("text"), "turn")
-    hits = turns.filter("turn = 1").select("path", "text")
-    return windows.expand_windows(turns.select("path", "text"), hits, 1_000_000).select("path", T.sha256(F.col("text")).alias("sha256"))
+    turns = _turns(s, d)
+    return windows.expand_windows(turns.select("path", "text"), turns.filter("turn = 1").select("path", "text"), 1_000_000).select("path", T.sha256(F.col("text")).alias("sha256"))
+
+
+def expand_windows_in_budget(s, d) -> DataFrame:
+    turns = _turns(s, d)
+    return windows.expand_windows(turns.select("path", "text"), turns.filter("turn = 0").select("path", "text"), 1_500).select("path", T.sha256(F.col("text")).alias("sha256"))
 
 
 def query_perturbations(s, d) -> DataFrame:
@@ -372,6 +535,8 @@ QUERIES = {
         grep_substring, grep_regex, grep_each, search_tagged, reranked, confidence, group_ranked, reading_order_islands, subtree, parent_context, expand_to_leaves, sibling_windows, raw_slice, line_coverage,
         graph_traverse_out, graph_traverse_in, graph_traverse_both, graph_links, edges_touching, find_edges, edge_paths, edge_insert_absent, edge_invalidated, edge_violations, upsert_keep_embedding, purge_stale, embedding_cache,
         missing_embeddings, missing_texts, json_field, slug_label, flexible_dates, eval_summary, hit_rates, grounding, mcnemar, fill_ratio,
-        money_amounts, address_format, upsert_documents, fill_embeddings, chunk_documents, citation_hints, curate_edges, expand_windows, query_perturbations,
+        money_amounts, address_format, upsert_documents, fill_embeddings, chunk_documents, citation_hints, curate_edges, expand_windows, expand_windows_in_budget, query_perturbations,
+        grade_answers, answer_report, renumber_citations, prompts, adversarial_confidence, any_of, canonical_text, document_links, manifest, request_order, reference_edges, amendments, amendment_notes,
+        quote_spans, normalized_span, text_fragments, embed_pending, cache_store, snapshot_roundtrip, saved_cases, versioned_upsert,
     )
 }

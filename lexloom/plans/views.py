@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,11 @@ def _version(spark: SparkSession, path: str) -> str:
     return hashlib.sha256(repr(files).encode()).hexdigest()[:16]
 
 
+def fresh() -> str:
+    """A name that no other run uses."""
+    return uuid.uuid4().hex
+
+
 def indexed(spark: SparkSession, sf_dir: str) -> index.Index:
     """The keyword index of the documents: built by the first query of a table version, read by all others."""
     root = f"{session.work_folder(spark)}/index-{_version(spark, f'{sf_dir}/documents.parquet')}"
