@@ -1,7 +1,8 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. A passage is described by PASSAGE_FEATURES rates, encoded by a learned tanh layer;
-gated attention weighs the encodings and a logistic unit scores their weighted mean. All weights are learned together from document
+A document is a bag of passages of PASSAGE words. A passage is described by PASSAGE_FEATURES rates and by the shares of its words, A-Z
+lower-cased, in HASHED buckets of a hash (the words' learned part: each bucket has weights of its own), and encoded by a learned tanh
+layer; gated attention weighs the encodings and a logistic unit scores their weighted mean. All weights are learned together from document
 labels. No label, language, source or id is an input.
 
 Fitting takes at most SAMPLE labelled rows (the least by a hash of the id, so the same at every run), which bounds what the driver
@@ -26,6 +27,8 @@ from lexloom.llm import util
 
 PASSAGE = 64
 PASSAGE_FEATURES = ("size", "word_length", "symbols", "caps", "exclamations", "stutters", "distinct", "digits", "other_bytes", "stops", "repeats", "breaks", "capitals", "long_words")
+HASHED, WORD_DECAY = 24, 0.3
+WIDTH = len(PASSAGE_FEATURES) + HASHED
 SAMPLE = 6_000
 ENCODED, GATE = 16, 8
 
@@ -41,6 +44,8 @@ def _flags(chars: bytes) -> np.ndarray:
 
 
 _TABLES = {"symbols": _flags(b"#*$%&|<>=_{}[]\\^~"), "digits": _flags(b"0123456789"), "other_bytes": _flags(bytes(range(128, 256))), "stops": _flags(b".,;:?")}
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
 _UPPER, _LOWER = _flags(bytes(range(65, 91))), _flags(bytes(range(97, 123)))
 
 
@@ -82,13 +87,16 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         "capitals": each(upper > 0),
         "long_words": each(length > 24),
     } | {k: np.minimum(each(inside(t)), 8) for k, t in _TABLES.items()}
-    return np.stack([columns[k] for k in PASSAGE_FEATURES], 1), np.repeat(np.arange(n), per_row)
+    low = ts.hashes(_FOLD[data], starts, ends) if len(data) else h
+    hashed = np.bincount(at * HASHED + (low >> np.uint64(33)).astype(np.int64) % HASHED, minlength=total * HASHED).reshape(total, HASHED)
+    shares = np.sqrt(hashed / np.maximum(size, 1)[:, None])
+    return np.concatenate([np.stack([columns[k] for k in PASSAGE_FEATURES], 1), shares], 1), np.repeat(np.arange(n), per_row)
 
 
 class Model:
     """Weights in one flat vector; forward pass and gradients over bags given by passage and bag number."""
 
-    SHAPES = (("mean", (len(PASSAGE_FEATURES),)), ("scale", (len(PASSAGE_FEATURES),)), ("W", (len(PASSAGE_FEATURES), ENCODED)), ("b", (ENCODED,)), ("V", (ENCODED, GATE)), ("U", (ENCODED, GATE)), ("w", (GATE,)), ("c", (ENCODED,)), ("c0", (1,)))
+    SHAPES = (("mean", (WIDTH,)), ("scale", (WIDTH,)), ("W", (WIDTH, ENCODED)), ("b", (ENCODED,)), ("V", (ENCODED, GATE)), ("U", (ENCODED, GATE)), ("w", (GATE,)), ("c", (ENCODED,)), ("c0", (1,)))
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.parts = parts
@@ -121,11 +129,14 @@ def train(x: np.ndarray, bag: np.ndarray, label: np.ndarray, steps: int = 400, r
     rng = np.random.default_rng(seed)
     parts = {k: rng.normal(0, 0.3, s) if k in "WVUwc" else np.zeros(s) for k, s in Model.SHAPES}
     parts["mean"], parts["scale"] = x.mean(0), x.std(0) + 1e-3
+    parts["W"][-HASHED:] = 0  # words count for nothing until labels say so, and are held back: most of them say nothing
+    decay = {k: np.full(s, 1e-5) for k, s in Model.SHAPES}
+    decay["W"][-HASHED:] = WORD_DECAY
     model = Model(parts)
     m, v = ({k: np.zeros(s) for k, s in Model.SHAPES} for _ in range(2))
     for step in range(1, steps + 1):
         for k, g in model.gradients(x, bag, label).items():
-            g = g + 1e-5 * parts[k]
+            g = g + decay[k] * parts[k]
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             parts[k] = parts[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
@@ -153,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(sample).orderBy("doc_id", "features").toArrow()
     if not found.num_rows:
         return None
-    each = [np.frombuffer(b, "<f4").reshape(-1, len(PASSAGE_FEATURES)) for b in found.column("features").to_pylist()]
+    each = [np.frombuffer(b, "<f4").reshape(-1, WIDTH) for b in found.column("features").to_pylist()]
     bag = np.repeat(np.arange(len(each)), [len(e) for e in each])
     return train(np.concatenate(each).astype(np.float64), bag, found.column("quality").to_numpy().astype(np.float64))
 

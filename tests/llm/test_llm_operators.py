@@ -381,8 +381,11 @@ def test_classifier(spark):
     held = [(out[d], q) for d, q in labels if zlib.crc32(str(d).encode()) % 3 == 1]
     assert np.mean([(s >= 0.5) == q for s, q in held]) > 0.95
     assert mil.scored(docs, mil.fit(docs, known.limit(0))).select("score").distinct().collect()[0].score == 0.5
+    data_, offsets = mil.ts.buffers(mil.pa.array(["Aa b aA c", "", None]))
+    x, bag = mil.passages(data_, offsets)
+    assert x.shape == (3, mil.WIDTH) and bag.tolist() == [0, 1, 2] and abs((x[0, -mil.HASHED :] ** 2).sum() - 1) < 1e-9 and x[1:, -mil.HASHED :].sum() == 0
     # numeric gradients
-    x, bag, y = np.random.default_rng(0).normal(size=(9, len(mil.PASSAGE_FEATURES))), np.array([0, 0, 1, 2, 2, 2, 3, 3, 3]), np.array([1.0, 0, 1, 0])
+    x, bag, y = np.random.default_rng(0).normal(size=(9, mil.WIDTH)), np.array([0, 0, 1, 2, 2, 2, 3, 3, 3]), np.array([1.0, 0, 1, 0])
     m = mil.train(x, bag, y, steps=3)
     loss = lambda: -np.mean(y * np.log(m.forward(x, bag)["y"]) + (1 - y) * np.log(1 - m.forward(x, bag)["y"]))
     for k, g in m.gradients(x, bag, y).items():
