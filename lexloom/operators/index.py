@@ -33,10 +33,16 @@ def part_of(term) -> "F.Column":
 
 
 def _shards(chunks: DataFrame, shards: int) -> DataFrame:
-    """Chunks with their shard, place in it (path order) and syllables: the one shuffle of a build."""
-    words = chunks.select(*DOC, T.syllables(F.col("text")).alias("w"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"))
-    dealt = words.repartition(shards, "shard")
-    return dealt.withColumn("pos", F.row_number().over(Window.partitionBy("shard").orderBy("path", "id")) - 1)
+    """Chunks with their shard, place in it (path order) and syllables. The one shuffle of a build carries the texts as they are."""
+    dealt = chunks.select(*DOC, "text", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).repartition(shards, "shard")
+    placed = dealt.withColumn("pos", F.row_number().over(Window.partitionBy("shard").orderBy("path", "id")) - 1)
+    return placed.select("shard", "pos", *DOC, T.syllables(F.col("text")).alias("w"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer files than cores, which is small, dealt to all cores; a larger one as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def _tables(placed: DataFrame) -> tuple[DataFrame, DataFrame]:

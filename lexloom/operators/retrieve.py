@@ -18,6 +18,7 @@ from lexloom.operators import index as keyword
 from lexloom.operators import vectors
 from lexloom.operators.index import Index, ranked, widened
 from lexloom.operators.models import rerank  # noqa: F401
+from lexloom.sources import session
 
 RRF_K, MISSING_RANK = 20, 999
 LOW_SIMILARITY, LOW_RERANK = 0.63, -1.0
@@ -114,7 +115,7 @@ def verbatim_grep(chunks: DataFrame, pattern: str, is_regex: bool = False, limit
 
 def grep_each(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """As `verbatim_grep` for every query(qid, pattern, query_vector), by substring: a stated set, sent in blocks to all chunks once each."""
-    texts = chunks.select(*_MATCH, F.lower("text").alias("lowered"), "embedding")
+    texts = keyword.spread(chunks.select(*_MATCH, "text", "embedding")).select(*_MATCH, F.lower("text").alias("lowered"), "embedding")
     found = None
     for part in keyword.blocks(queries):
         asked = part.filter("pattern <> ''").select("qid", F.lower("pattern").alias("sought"), "query_vector")
@@ -159,8 +160,9 @@ def search(chunks: DataFrame, index: Index, queries: DataFrame, docs: DataFrame
     if not 1 <= limit <= SEARCH_LIMIT:
         raise ValueError(f"limit is 1 to {SEARCH_LIMIT}")
     queries = without_weak_vectors(queries)
-    hybrid = hybrid_search(chunks, index, queries, limit, **filters)
-    grep = grep_each(allowed(chunks, filters.get("on"), filters.get("doc_codes"), filters.get("prefix")), queries, limit)
+    # Both lists are short (`limit` rows a query) and read several times below: each is computed once.
+    hybrid = session.cut(hybrid_search(chunks, index, queries, limit, **filters))
+    grep = session.cut(grep_each(allowed(chunks, filters.get("on"), filters.get("doc_codes"), filters.get("prefix")), queries, limit))
     has = paths_matching(chunks, hybrid.select("qid", "id").join(queries.filter("pattern <> ''").select("qid", "pattern"), "qid"))
     out = tagged(hybrid, grep, has).join(hybrid.drop("path", "rank"), ["qid", "id"], "left")
     out = out.join(grep.groupBy("qid").agg(F.max("full_count").alias("verbatim_total")), "qid", "left").withColumn("verbatim_total", F.coalesce("verbatim_total", F.lit(0)))
