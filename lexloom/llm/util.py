@@ -41,6 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_bare(df: DataFrame) -> DataFrame:
+    """`cut` for loops: without the constraints that a checkpoint keeps of its plan, which grow with each step and slow planning."""
+    rdd, spark = cut(df)._jdf.queryExecution().analyzed().rdd(), df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(rdd, df._jdf.schema(), False), spark)
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete what `cut` wrote for frames that no later job reads."""
     for df in frames:
