@@ -13,14 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexloom.llm import util
 
 TABLE_SIZE = 65_536
-#: Of each partition, at most so many bytes of text are read for the table's frequencies, and so many pre-tokens are named.
-SAMPLE_BYTES, SUMMARY_SIZE, SUMMARY_PARTITIONS = 1 << 20, 4_096, 65_536
+#: So many chunks, or chunks of so many bytes of text, and so many pre-tokens a task counts before it hands its counts on.
+COUNTED, COUNTED_BYTES = 1 << 18, 64 << 20
 #: Bytes that a worker's cache may hold, an entry's own cost, and the longest chunk that it keeps.
 CACHE_BYTES, ENTRY_BYTES, LONGEST = 96 << 20, 180, 128
 _encoders: dict = {}
@@ -141,46 +141,63 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _frequent(tokenizer: str, top: int, stride: int):
-    """The `top` most frequent pre-tokens of one partition's first SAMPLE_BYTES of text; of one partition in `stride`."""
+def _pre_tokens(tokenizer: str):
+    """Partial counts of the pre-tokens of every text, of those of at most LONGEST bytes; handed on whenever COUNTED of them are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, counts, read = encoder(tokenizer), Counter(), 0
-        if TaskContext.get().partitionId() % stride == 0:
-            for text in (t for rows in batches for t in rows.column("text").cast(pa.binary()).to_pylist() if t):
-                counts.update(split(text))
-                read += len(text)
-                if read >= SAMPLE_BYTES:
-                    break
+        enc = encoder(tokenizer)
+        chunks: Counter = Counter()
         parts: Counter = Counter()
-        for chunk, n in counts.items():
-            for part in enc.pre_tokens(chunk) or ():
-                parts[part] += n
-        best = parts.most_common(top)
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in best], pa.string()), pa.array([v for _, v in best], pa.int64())], names=["part", "n"])
+        read = 0
+
+        def cut() -> None:
+            for chunk, n in chunks.items():
+                for part in enc.pre_tokens(chunk) or ():
+                    parts[part] += n
+            chunks.clear()
+
+        def out() -> pa.RecordBatch:
+            kept = [(k, n) for k, n in parts.items() if len(k.encode()) <= LONGEST]
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["part", "n"])
+
+        for rows in batches:
+            for text in rows.column("text").cast(pa.binary()).to_pylist():
+                chunks.update(split(text))
+                read += len(text or b"")
+                if len(chunks) >= COUNTED or read >= COUNTED_BYTES:
+                    cut()
+                    read = 0
+                    if len(parts) >= COUNTED:
+                        yield out()
+        cut()
+        yield out()
 
     return run
 
 
 def frequent_pre_tokens(docs: DataFrame, tokenizer: str, size: int = TABLE_SIZE) -> list[str]:
-    """Frequent pre-tokens, `size` at most, by a sample of every partition (beyond SUMMARY_PARTITIONS of them, of an even choice).
+    """The most frequent pre-tokens of all texts, `size` at most, by their counts in every row; of equally frequent ones all or none.
 
-    They only decide what is broadcast, never a count. Nothing is shuffled: the driver adds up summaries whose sizes shrink as their
-    number grows, a few million rows at most.
+    They only decide what is broadcast, never a count. Partial counts are shuffled; the driver gets the numbers of pre-tokens that occur
+    equally often (a count is one of about sqrt(2 * pre-tokens) values at most) and the table.
     """
-    docs = docs.select("text")
-    n = docs._jdf.queryExecution().toRdd().getNumPartitions()
-    top = max(16, min(SUMMARY_SIZE, 16 * size // max(1, n)))
-    parts = docs.mapInArrow(_frequent(tokenizer, top, -(-n // SUMMARY_PARTITIONS) or 1), "part string, n long").toArrow()
-    best = parts.group_by("part").aggregate([("n", "sum")]).sort_by([("n_sum", "descending"), ("part", "ascending")]).slice(0, size)
-    return best.column("part").to_pylist()
+    counts = util.cut(docs.select("text").mapInArrow(_pre_tokens(tokenizer), "part string, n long").groupBy("part").agg(F.sum("n").alias("n")))
+    tied = counts.groupBy("n").agg(F.count("*").alias("parts")).toArrow().sort_by([("n", "descending")])
+    fits = np.cumsum(tied.column("parts").to_numpy()) <= size
+    best = []
+    if fits.any():
+        least = tied.column("n")[int(fits.sum()) - 1].as_py()
+        best = counts.filter(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("part", "ascending")]).column("part").to_pylist()
+    util.drop(counts)
+    return best
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, table_size: int = TABLE_SIZE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs(doc_id, text).
 
-    Tier one is a broadcast table of at most `table_size` frequent pre-tokens and their token counts; tier two encodes the rest
-    through each worker's cache. No pre-token is shuffled. A null text is empty (0 bytes, 0 tokens); very long texts and chunks are
+    Tier one is a broadcast table of the `table_size` most frequent pre-tokens at most, by exact frequency over all rows, and their
+    token counts; tier two encodes the rest through each worker's cache. Texts are looked up where they lie. A null text is empty (0 bytes, 0 tokens); very long texts and chunks are
     counted whole; repeated rows and null ids are counted row by row; an empty table gives no rows; other columns are ignored.
     """
     util.prepare(docs.sparkSession)

@@ -202,6 +202,20 @@ def test_token_counts(spark):
         assert found(tokens.count_tokens(data.frame(spark), TOKENIZER, 100, table), "doc_id", "n_bytes", "n_tokens", "over_limit") == want
 
 
+def test_frequent_pre_tokens_count_every_row(spark):
+    """What is frequent only late in a partition, or rare in each one, is counted; counters that hand on early change nothing."""
+    rows = [(0, " ".join(f"{chr(97 + k % 26)}{'bcdefghij'[k % 9]}x{k}" for k in range(200_000)))]
+    rows += [(k, "late, " * 40 + "x" * 200 + f" Even{'abc'[k % 3]}") for k in range(1, 31)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    part = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+    counts = Counter(p for _, t in rows for w in t.split() for p in part.findall(w.lower()) if len(p) <= tokens.LONGEST)
+    for size in (0, 1, 12, 40, 100_000):
+        ranked = sorted(counts.items(), key=lambda x: (-x[1], x[0]))
+        least = ranked[size][1] if size < len(ranked) else 0
+        assert tokens.frequent_pre_tokens(docs, TOKENIZER, size) == [k for k, n in ranked[:size] if n > least], size
+    assert "late" in tokens.frequent_pre_tokens(docs, TOKENIZER, 40)
+
+
 def simhash_of(text):
     w = WORD.findall((text or "").translate(LOW))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
