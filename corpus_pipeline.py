@@ -31,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles with a Jaccard similarity of 0.8 or more."""
+    """One document of each group of near copies: SimHash blocks and minimum hashes, verified by five-word shingles at 0.8 or more."""
     return near.keep_one(docs)
 
 

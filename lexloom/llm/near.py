@@ -1,10 +1,13 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies: candidates by SimHash and by bands of minimum hashes, verified by exact Jaccard similarity of word shingles.
 
 A text is the set of its windows of SHINGLE words, A-Z lower-cased; one of fewer words is a single shingle. Texts are linked at a
 similarity of LEAST (a fraction) or more, and a group is all that links reach. Texts of equal words are one row. The others are
-candidates where they share one of BANDS bands of ROWS minimum hashes: at 0.8 a pair shares none with a chance of
-(1 - 0.8**5)**32, about 3 in a million, and less above. A set of up to LARGE candidates that bands connect meets in one task, which
-compares all its pairs not yet linked whose hashes agree by ESTIMATE or more (six deviations under 0.8) on their whole sets of shingles.
+candidates in two ways. First, each has a 64-bit SimHash fingerprint of its shingles, and `simhash.links` joins the fingerprints on
+BLOCKS - BITS of BLOCKS blocks and gives links that connect all within BITS bits: a band each. Blocks that still select reach no
+further, and at 0.8 two fingerprints differ by about 10 bits; so, second, texts share a band where one of BANDS groups of ROWS minimum
+hashes is equal: at 0.8 a pair shares none with a chance of (1 - 0.8**5)**32, about 3 in a million, and less above. A set of up to
+LARGE candidates that bands connect meets in one task, which compares all its pairs not yet linked whose hashes agree by ESTIMATE or
+more (six deviations under 0.8) on their whole sets of shingles.
 
 A larger set is taken apart first, in up to ROUNDS rounds: each band's members are compared with one leader of the band, the text that
 shares most bands with others, while they stream past it in lanes, so that no task holds more than two texts. Then a leader has met all
@@ -25,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm import simhash, util
 from lexloom.llm import textscan as ts
-from lexloom.llm import util
 from lexloom.llm.components import stars
 from lexloom.llm.lm import words_of
 
 SHINGLE, LEAST, ROWS, BANDS, ESTIMATE = 5, (4, 5), 5, 32, 0.6
+#: Four bits: 35 choices of three of seven blocks, 27 bits that must agree.
+BLOCKS, BITS = 7, 4
 #: One task holds LARGE texts' shingle hashes (8 bytes a word) and compares them in seconds; taking a set apart costs dozens of jobs a round.
 LARGE, ROUNDS, BLOCK = 4096, 4, 64
 _RNG = np.random.default_rng(7)
@@ -62,6 +67,11 @@ def minima(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return out
 
 
+def fingerprints(h: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of each text's set of shingles."""
+    return np.array([simhash.majority(np.unique(h[a:b])) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())], np.uint64)
+
+
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tags = np.arange(BANDS, dtype=np.uint64)
     for batch in batches:
@@ -70,7 +80,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = ts.mix((minima(h, edges).reshape(-1, BANDS, ROWS) * _FOLD).sum(2, dtype=np.uint64) + tags)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * BANDS, pa.int32()), pa.array(bands.ravel().view(np.int64)))
             texts = util.squeeze([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(key.view(np.int64)), bands, texts], names=["doc_id", "row", "key", "bands", "packed"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), pa.array(key.view(np.int64)), pa.array(fingerprints(h, edges).view(np.int64)), bands, texts], names=["doc_id", "row", "key", "fp", "bands", "packed"])
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -149,6 +159,16 @@ def _led(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return members.unionByName(leaders).repartition(n, "leader", "lane").sortWithinPartitions("leader", "lane", "member").mapInArrow(_against, "a long, b long")
 
 
+def by_simhash(distinct: DataFrame) -> DataFrame:
+    """(band, key): the texts of distinct(key, fp) with the same fingerprint share a band, and those of each two that are linked."""
+    keyed = distinct.filter("key <> 0").select("key", "fp")
+    fps = util.cut_bare(keyed.select("fp").distinct())
+    pairs = util.cut_bare(simhash.links(fps, BLOCKS, BITS).distinct())
+    util.drop(fps)
+    ends = pairs.select(F.xxhash64(F.lit("simhash"), "a", "b").alias("band"), F.explode(F.array("a", "b")).alias("fp"))
+    return keyed.select(F.xxhash64(F.lit("simhash"), "fp").alias("band"), "key").unionByName(ends.join(keyed, "fp").select("band", "key"))
+
+
 def _connected(banded: DataFrame) -> DataFrame:
     """(key, candidates): each member of banded(band, key) that shares a band with another, and the least key that bands reach."""
     first = util.cut_bare(banded.groupBy("band").agg(F.min("key").alias("b"), F.count("*").alias("n")).filter("n > 1"))
@@ -209,15 +229,15 @@ def keep_one(docs: DataFrame, large: int = LARGE, rounds: int = ROUNDS, block: i
     spark, names = docs.sparkSession, docs.columns
     util.prepare(spark)
     text_row = util.row_key(F.col("text")).alias("row")
-    marked = util.cut(docs.select("doc_id", text_row, "text").mapInArrow(_mark, "doc_id long, row long, key long, bands array<long>, packed binary"))
+    marked = util.cut(docs.select("doc_id", text_row, "text").mapInArrow(_mark, "doc_id long, row long, key long, fp long, bands array<long>, packed binary"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "row")
-    distinct = util.cut(marked.groupBy("key").agg(F.min(order).alias("least"), F.first("bands").alias("bands")))
-    banded = distinct.filter("key <> 0").select("key", F.explode("bands").alias("band"))
+    distinct = util.cut(marked.groupBy("key").agg(F.min(order).alias("least"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    banded = distinct.filter("key <> 0").select(F.explode("bands").alias("band"), "key").unionByName(by_simhash(distinct))
     few, many = _by_size(util.cut(_connected(banded)), large)
     few, many = few.withColumn("known", F.col("key")), util.cut(many)
 
     def packed(wanted: DataFrame) -> DataFrame:
-        return marked.join(distinct.select("key", "least").join(wanted, "key"), "key").filter(order == F.col("least")).drop("doc_id", "row", "bands", "least")
+        return marked.join(distinct.select("key", "least").join(wanted, "key"), "key").filter(order == F.col("least")).drop("doc_id", "row", "fp", "bands", "least")
 
     links = None
     if not many.isEmpty():

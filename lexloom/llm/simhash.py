@@ -5,7 +5,8 @@ into BLOCKS blocks; two fingerprints within `distance` bits agree on at least BL
 choice of so many blocks are joined on these and verified by Hamming distance. Only distinct fingerprints are joined, so a group of
 copies is one row, and fingerprints that agree on the chosen blocks differ in the others only: a join group holds at most
 2 ** (bits of `distance` blocks) of them by construction. Small groups compare all their members; larger ones compare through
-shared one-bit neighbours, which is exact for two bits and linear in the group. A group returns links that span it, not all pairs.
+shared neighbours at half the distance (one bit for two), which is exact for an even distance and linear in the group; an odd one
+compares all pairs. A group returns links that span it, not all pairs.
 
 Null or empty text, or one without words: fingerprint 0, linked like any other. Null doc_id: never the smallest; a component of
 such rows alone has a null id. Repeated rows are equal members of a component. Empty table: no rows. Other columns are ignored.
@@ -27,6 +28,8 @@ from lexloom.llm.components import stars
 
 SHINGLE, SEED, BLOCKS, DISTANCE = 3, 42, 6, 2
 SMALL_GROUP = 48
+NEIGHBOURS = 1 << 19  # held at a time for a large group; where it has more, they are made again for each share of their values
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: bytes) -> int:
@@ -41,10 +44,11 @@ def fingerprint(text: bytes) -> int:
         starts, ends = starts[:1], ends[-1:]
     digest, seed = xxhash.xxh64_intdigest, SEED
     h = np.array([digest(joined[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
-    return _majority(h)
+    return majority(h)
 
 
-def _majority(h: np.ndarray) -> int:
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65_536):
         ones += np.unpackbits(h[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -97,18 +101,28 @@ def _spanning(fps: np.ndarray, free: int, distance: int) -> list[tuple[int, int]
             parent[max(a, b)] = min(a, b)
             links.append((i, j))
 
-    if distance != 2:
+    if distance % 2:
         for i in range(len(fps)):
             for j in (np.flatnonzero(_bits_set(fps[i + 1 :] ^ fps[i]) <= distance) + i + 1).tolist():
                 join(i, j)
         return links
-    flips = np.array([0] + [1 << b for b in range(64) if free >> b & 1], np.uint64)
-    near = (fps[:, None] ^ flips[None, :]).ravel()  # a and b are within two bits exactly if they share one of these
-    owner = np.repeat(np.arange(len(fps)), len(flips))
-    order = np.argsort(near, kind="stable")
-    same = np.flatnonzero(near[order][1:] == near[order][:-1])
-    for i, j in zip(owner[order][same].tolist(), owner[order][same + 1].tolist()):
-        join(i, j)
+    bits = [1 << b for b in range(64) if free >> b & 1]
+    flips = np.array([sum(chosen) for k in range(distance // 2 + 1) for chosen in combinations(bits, k)], np.uint64)
+    shares = 1 << max(0, len(fps) * len(flips) // NEIGHBOURS).bit_length()
+    rows = max(1, (1 << 16) // len(flips))
+    for share in range(shares):
+        near, owner = [], []
+        for at in range(0, len(fps), rows):
+            x = (fps[at : at + rows, None] ^ flips[None, :]).ravel()  # a and b are within `distance` bits exactly if they share one of these
+            kept = np.flatnonzero((x * _ODD >> np.uint64(32)) & np.uint64(shares - 1) == share) if shares > 1 else np.arange(len(x))
+            near.append(x[kept])
+            owner.append((kept // len(flips) + at).astype(np.int32))
+        near, owner = np.concatenate(near), np.concatenate(owner)
+        order = np.argsort(near, kind="stable")
+        near, owner = near[order], owner[order]
+        same = np.flatnonzero(near[1:] == near[:-1])
+        for pair in np.unique(owner[same].astype(np.int64) * len(fps) + owner[same + 1]).tolist():
+            join(*divmod(pair, len(fps)))
     return links
 
 

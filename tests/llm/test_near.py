@@ -4,10 +4,13 @@ import random
 from collections import Counter
 
 import data
+import numpy as np
+import pyarrow as pa
+import pytest
 import test_llm_operators as plain
 
 import corpus_pipeline
-from lexloom.llm import near
+from lexloom.llm import near, simhash
 
 
 def shingles(text):
@@ -71,3 +74,90 @@ def test_large_sets_are_taken_apart(spark):
     assert 4 < len(want) < 20  # some texts share bands and are no copies
     for bounds in ((4, 2, 8), (1, 0, 5)):
         assert Counter(r.doc_id for r in near.keep_one(data.frame(spark, rows), *bounds).collect()) == want, bounds
+
+
+def connected(fps, bits):
+    root = {f: f for f in fps}
+    for i, a in enumerate(fps):
+        for b in fps[:i]:
+            if (a ^ b).bit_count() <= bits and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {f: new if r == old else r for f, r in root.items()}
+    return root
+
+
+def edited():
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(300)) for _ in range(20)]
+    for t in texts[:20]:
+        for n in (1, 1, 2):
+            words = t.split()
+            for at in rng.sample(range(300), n):
+                words[at] = f"new{rng.randrange(3000)}"
+            texts.append(" ".join(words))
+    return texts + ["", "one", "One", "two words", " ".join(["a b c d e f"] * 30)]
+
+
+def test_fingerprints_by_definition():
+    """A bit is set if over half of the distinct five-word shingles' hashes have it."""
+    texts = edited()
+    _, h, edges = near.shingles(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
+    want = []
+    for a, b in zip(edges[:-1], edges[1:]):
+        own = {int(x) for x in h[a:b]}
+        want.append(sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in own) > len(own)))
+    assert [int(x) for x in near.fingerprints(h, edges)] == want
+    assert len({len({int(x) for x in h[a:b]}) for a, b in zip(edges[:-1], edges[1:])} & {0, 1, 6}) == 3
+
+
+def test_simhash_gives_candidates(spark):
+    """SimHash bands connect two texts exactly if steps of BITS bits connect their fingerprints."""
+    texts = edited()
+    key, h, edges = near.shingles(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
+    fps = near.fingerprints(h, edges)
+    rows = sorted({(int(k), int(f)) for k, f in zip(key.view(np.int64), fps.view(np.int64))})
+    bands, band = {}, {k: k for k, _ in rows if k}
+    for r in near.by_simhash(spark.createDataFrame(rows, "key long, fp long")).collect():
+        bands.setdefault(r.band, []).append(r.key)
+    for keys in bands.values():
+        low = min(band[k] for k in keys)
+        band = {k: low if r in {band[k] for k in keys} else r for k, r in band.items()}
+    root = connected(sorted({f % 2**64 for k, f in rows if k}), near.BITS)
+    assert {k for keys in bands.values() for k in keys} == set(band)
+    pairs = [(a, b) for i, a in enumerate(rows) for b in rows[:i] if a[0] and b[0]]
+    linked = sum(root[a[1] % 2**64] == root[b[1] % 2**64] for a, b in pairs)
+    assert all((band[a[0]] == band[b[0]]) == (root[a[1] % 2**64] == root[b[1] % 2**64]) for a, b in pairs) and linked > 20
+
+
+def test_simhash_bands_reach_the_stage(spark, monkeypatch):
+    """Without any band of minimum hashes, the stage still finds what SimHash links, verified on whole texts."""
+    texts = edited()
+    rows = [(k, t, *data.rows()[0][2:]) for k, t in enumerate(texts)]
+    monkeypatch.setattr(near.F, "explode", lambda c, explode=near.F.explode: explode(near.F.array(near.F.xxhash64("key"))) if isinstance(c, str) else explode(c))
+    sets = [shingles(t) for t in texts]
+    _, h, edges = near.shingles(pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"]))
+    fps = [int(x) for x in near.fingerprints(h, edges)]
+    root = connected(sorted(set(fps)), near.BITS)
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and (sets[i] == sets[j] or sets[i] and sets[j] and root[fps[i]] == root[fps[j]] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if g == old else g for g in group]
+    assert len(set(group)) < len(set(map(tuple, map(sorted, sets)))) - 10
+    assert sorted(r.doc_id for r in near.keep_one(data.frame(spark, rows)).collect()) == sorted(set(group))
+
+
+@pytest.mark.parametrize("held", [1 << 22, 1000])
+def test_large_groups_at_four_bits(monkeypatch, held):
+    monkeypatch.setattr(simhash, "NEIGHBOURS", held)
+    rng = np.random.default_rng(8)
+    free = (1 << 20) - 1
+    fps = np.unique(rng.integers(0, 1 << 20, 120).astype(np.uint64))
+    links = [(int(fps[i]), int(fps[j])) for i, j in simhash._spanning(fps, free, 4)]
+    assert all((a ^ b).bit_count() <= 4 for a, b in links) and links
+    root = {int(f): int(f) for f in fps}
+    for a, b in links:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        root = {f: new if r == old else r for f, r in root.items()}
+    assert root == connected([int(f) for f in fps], 4) and 1 < len(set(root.values()))
