@@ -162,7 +162,8 @@ def _led(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def by_simhash(distinct: DataFrame) -> DataFrame:
     """(band, key): the texts of distinct(key, fp) with the same fingerprint share a band, and those of each two that are linked."""
     keyed = distinct.filter("key <> 0").select("key", "fp")
-    fps = util.cut_bare(keyed.select("fp").distinct())
+    # By number, so that the few bytes of fingerprints are not put into one task, which would hold all their choices of blocks.
+    fps = util.cut_bare(keyed.select("fp").repartition(util.partitions(distinct.sparkSession), "fp").distinct())
     pairs = util.cut_bare(simhash.links(fps, BLOCKS, BITS).distinct())
     util.drop(fps)
     ends = pairs.select(F.xxhash64(F.lit("simhash"), "a", "b").alias("band"), F.explode(F.array("a", "b")).alias("fp"))
