@@ -14,10 +14,14 @@ import numpy as np
 
 CLUSTERS, MEMBERS, WIDTH = 32, 32, 16
 SYMBOLS = CLUSTERS * MEMBERS
+_SHIFT = MEMBERS.bit_length() - 1  # MEMBERS is a power of two
 STEP, WINDOW = 16, 32
+_GAP = (np.arange(STEP)[None, :] + WINDOW - STEP) - np.arange(WINDOW)[:, None]  # keys x queries: how far the key lies behind
+_NEAR = _GAP.clip(0).ravel()
 #: Row sums of narrow arrays are matrix products: several times as fast as a reduction along the last axis.
 _ONES_W, _ONES_C, _ONES_M = (np.ones(n, np.float32) for n in (WINDOW, CLUSTERS, MEMBERS))
-_BLOCKS = 256  # windows at a time: their arrays stay in a core's cache
+_ROWS = 1024  # places that a product sums over at a time: several times as fast as over all
+_BLOCKS = 512  # windows at a time
 
 
 def cluster(pairs: np.ndarray) -> np.ndarray:
@@ -37,37 +41,55 @@ def cluster(pairs: np.ndarray) -> np.ndarray:
     return order
 
 
+def _exp(x: np.ndarray) -> None:
+    """In place, of values cut to -60 .. 60."""
+    if x.size and (x.max() > 60 or x.min() < -60):
+        np.clip(x, -60, 60, out=x)
+    np.exp(x, out=x)
+
+
+#: Where the pairs of numbers of each symbol's row lie, and of one row more, for no symbol.
+_PAIRS = np.arange((SYMBOLS + 1) * WIDTH // 2).reshape(SYMBOLS + 1, WIDTH // 2)
+
+
 class _Scatter:
-    """Sums rows at their symbols; the order is found once for all that share it."""
+    """Sums rows at their symbols, two numbers at a time, as the parts of a complex one; places are found once for all that share them."""
 
     def __init__(self, at: np.ndarray):
-        flat = at.ravel()
-        self.by = np.argsort(flat.astype(np.uint16), kind="stable")
-        ordered = flat.take(self.by)
-        self.first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-        self.found = ordered[self.first]
+        self.to = _PAIRS.take(at.ravel(), 0).ravel()
 
     def __call__(self, rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((SYMBOLS, WIDTH), np.float32)
-        out[self.found] = np.add.reduceat(rows.reshape(-1, WIDTH).take(self.by, 0), self.first, axis=0)
-        return out
+        out = np.zeros((SYMBOLS + 1, WIDTH), rows.dtype)
+        two = np.result_type(rows, np.complex64)
+        np.add.at(out.reshape(-1).view(two), self.to, rows.reshape(-1).view(two))
+        return out[:SYMBOLS]
 
 
 class Adam:
-    """The optimizer's state beside a model's weights."""
+    """The optimizer's state beside a model's weights; all steps are taken in place."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
         self.w, self.step = weights, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(2))
+        self.m, self.v, self.spare = ({k: np.zeros_like(x) for k, x in weights.items()} for _ in range(3))
 
     def update(self, gradients: dict[str, np.ndarray], rate: float) -> None:
         self.step += 1
-        up, down = rate / (1 - 0.9**self.step), 1 / np.sqrt(1 - 0.99**self.step)
+        up, down = rate / (1 - 0.9**self.step), float(1 / np.sqrt(1 - 0.99**self.step))
         for k, g in gradients.items():
-            m, v = self.m[k], self.v[k]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            self.w[k] -= (up * m / (np.sqrt(v) * down + 1e-7)).astype(self.w[k].dtype)
+            m, v, t = self.m[k], self.v[k], self.spare[k]
+            np.subtract(g, m, out=t)
+            t *= 0.1
+            m += t
+            np.multiply(g, g, out=t)
+            t -= v
+            t *= 0.01
+            v += t
+            np.sqrt(v, out=t)
+            t *= down
+            t += 1e-7
+            np.divide(m, t, out=t)
+            t *= up
+            self.w[k] -= t
 
 
 class Attention:
@@ -105,124 +127,130 @@ class Attention:
     def end(self) -> int:
         return int(self.place[SYMBOLS - 1])
 
-    def _bias(self) -> tuple[np.ndarray, np.ndarray]:
-        """STEP x WINDOW: distance terms, and 1 for the keys at or before the query, 0 after it."""
-        gap = (np.arange(STEP)[:, None] + WINDOW - STEP) - np.arange(WINDOW)[None, :]
-        return self.w["far"][np.clip(gap, 0, WINDOW - 1)], (gap >= 0).astype(np.float32)
+    def _reach(self) -> np.ndarray:
+        """WINDOW x STEP: the factor of each key for each query by their distance, 0 after the query."""
+        far = self.w["far"].copy()
+        _exp(far)
+        return far.take(_GAP, mode="clip") * (_GAP >= 0)
 
     def gradients(self, x: np.ndarray, valid: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """x: B x WINDOW places, valid: which belong to the text, y: B x STEP next places, scored: which of them count.
 
-        The mean loss of the scored places, and its gradient in each learned array.
+        The mean loss of the scored places, and its gradient in each learned array. Arrays of attention are B x keys x queries: so no
+        product needs a large transposed operand. Places are handled in the order of their cluster.
         """
-        w, back = self.w, WINDOW - STEP
+        w, back, size = self.w, WINDOW - STEP, len(x)
         q_at, before = x[:, back:], x[:, back - 1 : -1]
-        q, k, v = w["Q"].take(q_at, 0) * np.float32(0.25), w["K"].take(x, 0), w["V"].take(x, 0)
-        bias, seen = self._bias()
-        a = q @ k.transpose(0, 2, 1)
-        a += bias
-        np.exp(np.clip(a, -60, 60, out=a), out=a)
-        a *= seen
+        quarter, padded = w["Q"] * w["Q"].dtype.type(0.25), np.append(w["P"], np.zeros((1, WIDTH), w["P"].dtype), 0)  # its last row: no symbol before
+        q, k, v = quarter.take(q_at, 0), w["K"].take(x, 0), w["V"].take(x, 0)
+        a = k @ np.ascontiguousarray(q.transpose(0, 2, 1))
+        _exp(a)
+        a.reshape(size, -1)[...] *= self._reach().astype(a.dtype).ravel()
         cut = np.flatnonzero(~valid.all(1))
-        a[cut] *= valid[cut][:, None, :]
-        a /= ((a.reshape(-1, WINDOW) @ _ONES_W) + np.float32(1e-30)).reshape(len(x), STEP, 1)
-        led = valid[:, back - 1 : -1].ravel()
-        h = a @ v
-        h += w["R"].take(q_at, 0)
-        h += w["P"].take(before, 0) * led.reshape(before.shape)[..., None]
-        live = np.flatnonzero(scored.ravel())
-        n = max(1, len(live))
-        flat_h, now = h.reshape(-1, WIDTH).take(live, 0), q_at.ravel().take(live)
-        c, m = np.divmod(y.ravel().take(live), MEMBERS)
-        row = np.arange(len(live))
-        pc = flat_h @ w["C"]
+        a[cut] *= valid[cut][:, :, None]
+        whole = (a.transpose(0, 2, 1) @ _ONES_W.astype(a.dtype) + a.dtype.type(1e-30)).reshape(-1, 1)
+        met = (a.transpose(0, 2, 1) @ v).reshape(-1, WIDTH)
+        met /= whole
+        led = np.where(valid[:, back - 1 : -1], before, SYMBOLS)
+        h = w["R"].take(q_at, 0).reshape(-1, WIDTH)
+        h += met
+        h += padded.take(led.ravel(), 0)
+        n = max(1, int(np.count_nonzero(scored)))
+        following = y.ravel()
+        by = np.argsort((following >> _SHIFT).astype(np.uint8), kind="stable")
+        following, now = following.take(by), q_at.ravel().take(by)
+        c = following >> _SHIFT
+        at_member, at_cluster = (np.arange(len(by)) * m + i for m, i in ((MEMBERS, following & (MEMBERS - 1)), (CLUSTERS, c)))
+        edges = np.searchsorted(c, np.arange(CLUSTERS + 1)).tolist()
+        groups = [(g, slice(a, b)) for g, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+        h, dead = h.take(by, 0), np.flatnonzero(~scored.ravel().take(by))
+        weight, loss = np.full(len(by), 1 / n, h.dtype), np.zeros(len(by), h.dtype)
+        weight[dead] = 0
+        pc = h @ w["C"]
         pc += self.to_cluster.take(now, 0)
-        np.exp(np.clip(pc, -60, 60, out=pc), out=pc)
-        pc /= (pc @ _ONES_C)[:, None]
-        by = np.argsort(c.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(c[by], np.arange(CLUSTERS + 1))
-        groups = [(g, slice(edges[g], edges[g + 1])) for g in np.flatnonzero(np.diff(edges))]
-        sorted_h, pm = flat_h.take(by, 0), np.empty((len(live), MEMBERS), flat_h.dtype)
+        pm = np.empty((len(by), MEMBERS), h.dtype)
         for g, i in groups:
-            np.matmul(sorted_h[i], w["M"][g], out=pm[i])
-        pm += self.to_member.reshape(-1, MEMBERS).take(now[by] * CLUSTERS + c[by], 0)
-        np.exp(np.clip(pm, -60, 60, out=pm), out=pm)
-        pm /= (pm @ _ONES_M)[:, None]
-        loss = -(np.log(pc[row, c] + 1e-12).sum() + np.log(pm[row, m[by]] + 1e-12).sum()) / n
-        pc[row, c] -= 1
-        pm[row, m[by]] -= 1
-        pc *= np.float32(1 / n)
-        pm *= np.float32(1 / n)
-        g = {"M": np.zeros_like(w["M"]), "C": flat_h.T @ pc}
-        inner = np.empty_like(sorted_h)
+            np.matmul(h[i], w["M"][g], out=pm[i])
+        pm += self.to_member.reshape(-1, MEMBERS).take(now * CLUSTERS + c, 0)
+        for p, at, ones in ((pc, at_cluster, _ONES_C), (pm, at_member, _ONES_M)):
+            _exp(p)
+            p *= (weight / (p @ ones.astype(p.dtype)))[:, None]
+            flat = p.reshape(-1)
+            hit = flat.take(at)
+            loss += np.log(hit * n + 1e-12)
+            flat[at] = hit - weight
+        loss[dead] = 0
+        g = {"M": np.zeros_like(w["M"]), "C": sum(h[i : i + _ROWS].T @ pc[i : i + _ROWS] for i in range(0, len(h), _ROWS))}
+        inner, turned = np.empty_like(h), np.ascontiguousarray(w["M"].transpose(0, 2, 1))
         for k_, i in groups:
-            np.matmul(sorted_h[i].T, pm[i], out=g["M"][k_])
-            np.matmul(pm[i], w["M"][k_].T, out=inner[i])
-        flat_dh = pc @ w["C"].T
-        flat_dh[by] += inner
-        dh = np.zeros_like(h).reshape(-1, WIDTH)
-        dh[live] = flat_dh
-        at_query, at_key, at_before = _Scatter(q_at), _Scatter(x), _Scatter(before)
-        g["R"], g["P"] = at_query(dh), at_before(dh * led[:, None])
-        dh = dh.reshape(h.shape)
-        g["V"] = at_key(a.transpose(0, 2, 1) @ dh)
-        ds = dh @ v.transpose(0, 2, 1)
-        ds -= ((a * ds).reshape(-1, WINDOW) @ _ONES_W).reshape(len(x), STEP, 1)
+            np.matmul(h[i].T, pm[i], out=g["M"][k_])
+            np.matmul(pm[i], turned[k_], out=inner[i])
+        inner += pc @ np.ascontiguousarray(w["C"].T)
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        dh = inner.take(place, 0)
+        at_query, at_key, at_before = _Scatter(q_at), _Scatter(x), _Scatter(led)
+        g["R"], g["P"] = at_query(dh), at_before(dh)
+        dh /= whole
+        own = np.multiply(met, dh, out=met) @ np.ones(WIDTH, dh.dtype)
+        dh = dh.reshape(size, STEP, WIDTH)
+        g["V"] = at_key(a @ dh)
+        ds = v @ np.ascontiguousarray(dh.transpose(0, 2, 1))
+        ds -= own.reshape(size, 1, STEP)
         ds *= a
-        g["Q"], g["K"] = at_query(ds @ k) * np.float32(0.25), at_key(ds.transpose(0, 2, 1) @ q)
-        gap = (np.arange(STEP)[:, None] + back) - np.arange(WINDOW)[None, :]
-        g["far"] = np.bincount(np.clip(gap, 0, WINDOW - 1).ravel(), ds.sum(0).ravel(), WINDOW).astype(w["far"].dtype)
-        return float(loss), g
+        g["Q"], g["K"] = at_query(ds.transpose(0, 2, 1) @ k), at_key(ds @ q)
+        g["Q"] *= g["Q"].dtype.type(0.25)
+        g["far"] = np.bincount(_NEAR, np.ones(size, ds.dtype) @ ds.reshape(size, -1), WINDOW).astype(w["far"].dtype)
+        return -float(loss.sum()) / n, g
 
     def log_probabilities(self, places: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """places: texts one after another, each led by the end symbol; begins: where. Natural logs, 0 at the leading symbols."""
-        n = len(places)
+        n, back = len(places), WINDOW - STEP
         out = np.zeros(n, np.float64)
         ends = np.append(begins[1:], n)
         blocks = np.maximum(0, -(-(ends - begins - 1) // STEP))
         text = np.repeat(np.arange(len(begins)), blocks)
         start = begins[text] + (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STEP
-        w, bias, seen = self.w, *self._bias()
+        w, reach = self.w, self._reach().astype(np.float32).ravel()
         padded = np.append(w["P"], np.zeros((1, WIDTH), np.float32), 0)  # its last row: no symbol before
         members = np.ascontiguousarray(w["M"])
         quarter, flat = w["Q"] * np.float32(0.25), self.to_member.reshape(-1, MEMBERS)  # take() gathers rows faster than indexing
         for at in range(0, len(start), _BLOCKS):
             s, t = start[at : at + _BLOCKS], text[at : at + _BLOCKS]
-            keys = s[:, None] + np.arange(STEP - WINDOW, STEP)
-            old, new = keys < begins[t][:, None], keys >= (ends[t] - 1)[:, None]
+            size = len(s)
+            keys = s[:, None] + np.arange(-back, STEP)
+            first = np.flatnonzero(s - 1 < begins[t])
             x = places.take(keys, mode="clip")
-            q_at = x[:, WINDOW - STEP :]
-            score = quarter.take(q_at, 0) @ w["K"].take(x, 0).transpose(0, 2, 1)
-            score += bias
-            first = np.flatnonzero(old[:, WINDOW - STEP - 1])
-            np.exp(np.clip(score, -60, 60, out=score), out=score)
-            score *= seen
-            score[first] *= ~old[first][:, None, :]
-            h = score @ w["V"].take(x, 0)
-            h /= (score.reshape(-1, WINDOW) @ _ONES_W).reshape(len(s), STEP, 1)
-            h += w["R"].take(q_at, 0)
-            before = x[:, WINDOW - STEP - 1 : -1].copy()
+            q_at = x[:, back:]
+            score = w["K"].take(x, 0) @ np.ascontiguousarray(quarter.take(q_at, 0).transpose(0, 2, 1))
+            _exp(score)
+            score.reshape(size, -1)[...] *= reach
+            score[first] *= (keys[first] >= begins[t[first]][:, None])[:, :, None]
+            score = score.transpose(0, 2, 1)
+            h = (score @ w["V"].take(x, 0)).reshape(-1, WIDTH)
+            h /= (score @ _ONES_W).reshape(-1, 1)
+            h += w["R"].take(q_at, 0).reshape(-1, WIDTH)
+            before = x[:, back - 1 : -1].copy()
             before[first, 0] = SYMBOLS
-            h += padded.take(before, 0)
-            live = np.flatnonzero(~new[:, WINDOW - STEP :])
-            here = keys[:, WINDOW - STEP :].ravel().take(live)
-            h, now = h.reshape(-1, WIDTH).take(live, 0), q_at.ravel().take(live)
-            following = places[here + 1]
-            c, m = following // MEMBERS, following % MEMBERS
+            h += padded.take(before.ravel(), 0)
+            here = keys[:, back:].ravel()
+            live = np.flatnonzero(keys[:, back:] < (ends[t] - 1)[:, None])
+            following = places.take(here.take(live) + 1)
+            by = np.argsort((following >> _SHIFT).astype(np.uint8), kind="stable")
+            live, following = live.take(by), following.take(by)
+            c, m = following >> _SHIFT, following & (MEMBERS - 1)
+            edges = np.searchsorted(c, np.arange(CLUSTERS + 1)).tolist()
+            h, now = h.take(live, 0), q_at.ravel().take(live)
+            row = np.arange(len(live))
             logit = h @ w["C"]
             logit += self.to_cluster.take(now, 0)
-            row = np.arange(len(c))
-            total = logit[row, c].astype(np.float64)
-            total -= np.log(np.exp(logit, out=logit) @ _ONES_C)
-            by = np.argsort(c.astype(np.uint8), kind="stable")
-            edges = np.searchsorted(c[by], np.arange(CLUSTERS + 1))
-            inner = np.empty((len(c), MEMBERS), np.float32)
-            h = h.take(by, 0)
+            inner = np.empty((len(live), MEMBERS), np.float32)
             for g in range(CLUSTERS):
                 np.matmul(h[edges[g] : edges[g + 1]], members[g], out=inner[edges[g] : edges[g + 1]])
-            inner += flat.take(now[by] * CLUSTERS + c[by], 0)
-            part = inner[row, m[by]].astype(np.float64)
-            part -= np.log(np.exp(inner, out=inner) @ _ONES_M)
-            total[by] += part
-            out[here + 1] = total
+            inner += flat.take(now * CLUSTERS + c, 0)
+            total = logit.reshape(-1).take(row * CLUSTERS + c).astype(np.float64)
+            total += inner.reshape(-1).take(row * MEMBERS + m)
+            total -= np.log(np.exp(logit, out=logit) @ _ONES_C)
+            total -= np.log(np.exp(inner, out=inner) @ _ONES_M)
+            out[here.take(live) + 1] = total
         return out

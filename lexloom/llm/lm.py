@@ -28,26 +28,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import attention as at
+from lexloom.llm import bpe
 from lexloom.llm import textscan as ts
 from lexloom.llm import util
 from lexloom.llm.mil import held_out
-from lexloom.llm.tokens import encoder, split
+from lexloom.llm.tokens import encoder
 
 TABLE = 1 << 20
 ROUNDS, RATES = 4, (0.03, 0.015, 0.008, 0.003)
 BATCH, MIXED, TASK_WINDOWS = 256, 16, 250_000
 BANDS = 16
 _HELD = 1 << 20
+_WORDS = 1 << 19  # words a slice of prepared rows; a longer text stands alone
 _SLICE = 32  # symbols a slice of the pair counts
 LANES = 64
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[65:91] += 32
 
 
 def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Hash (signed) and row of each word, A-Z lower-cased."""
     data, offsets = ts.buffers(part.column("text"))
-    data = _FOLD[data] if len(data) else data
+    data = bpe.FOLD[data] if len(data) else data
     starts, ends, of = ts.words(data, offsets)
     return ts.hashes(data, starts, ends).view(np.int64), of
 
@@ -58,14 +58,15 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prepare(tokenizer: str):
-    """Each row's text and subword ids, compressed: read and tokenized once, used by every later pass."""
+    """Each row's word hashes and subword ids, compressed: read and tokenized once, used by every later pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = encoder(tokenizer).__getitem__
+        enc, merges, width = encoder(tokenizer), bpe.merges(tokenizer), _width(tokenizer)
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            tokens = [np.frombuffer(b"".join(map(ids, split(t))), "<u4").astype(_width(tokenizer)).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held", "row")), util.squeeze(texts), util.squeeze(tokens)], names=["doc_id", "held", "row", "packed", "ids"])
+            for part in ts.chunks(batch):
+                ids, words = bpe.encode(part.column("text"), enc, merges)
+                packed = [util.squeeze([x.astype(kind).tobytes() for x in found]) for kind, found in (("<u8", words), (width, ids))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "held", "row")), *packed], names=["doc_id", "held", "row", "packed", "ids"])
 
     return run
 
@@ -79,10 +80,15 @@ def subwords(part: pa.RecordBatch, tokenizer: str) -> list[np.ndarray]:
     return [np.frombuffer(x, width) for x in util.unsqueeze(part.column("ids"))]
 
 
-def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch with their texts, some at a time."""
-    texts = pa.array([t.decode() for t in util.unsqueeze(batch.column("packed"))], pa.string())
-    return ts.chunks(batch.append_column("text", texts))
+def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The rows of a batch, some at a time, with the hash (signed) and the row of each word, A-Z lower-cased."""
+    sizes = np.cumsum([0, *(int.from_bytes(b[:8], "little") // 8 for b in batch.column("packed").to_pylist())])
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + _WORDS, "right")) - 1)
+        part = batch.slice(at, end - at)
+        yield part, np.frombuffer(b"".join(util.unsqueeze(part.column("packed"))), "<i8"), np.repeat(np.arange(end - at), np.diff(sizes[at : end + 1]))
+        at = end
 
 
 def _count(tokenizer: str):
@@ -94,8 +100,7 @@ def _count(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n, texts, ids = np.zeros(0, np.int64), np.zeros(0, np.int64), 0, np.zeros(0, np.int64)
         for batch in batches:
-            for part in _parts(batch):
-                h, _ = words_of(part)
+            for part, h, _ in _parts(batch):
                 own, count = np.unique(h, return_counts=True)
                 keys, n = _summed(np.concatenate([keys, own]), np.concatenate([n, count]))
                 if len(keys) > _HELD:
@@ -199,7 +204,7 @@ def _fitted(tokenizer: str, shared, rate: float):
             size = len(order) if last else len(order) // BATCH * BATCH
             for a in range(0, size, BATCH):
                 i = order[a : min(a + BATCH, size)]
-                optimizer.update(model.gradients(*(x[i] for x in whole))[1], rate)
+                optimizer.update(model.gradients(*(x.take(i, 0) for x in whole))[1], rate)
             held[:] = [tuple(x[order[size:]] for x in whole)]
 
         for batch in batches:
@@ -302,10 +307,10 @@ def _score(tokenizer: str, trained):
         t: Trained = trained.value
         model, sym, scale = t.model, t.symbols, t.tokens + t.distinct + 1
         for batch in batches:
-            for part in _parts(batch):
+            for part, h, of in _parts(batch):
                 n = part.num_rows
-                h, of = words_of(part)
-                distinct, where = np.unique(h, return_inverse=True)
+                one, where = bpe.distinct(h)
+                distinct = h[one]
                 at_ = np.minimum(np.searchsorted(t.keys, distinct), max(0, len(t.keys) - 1))
                 known = t.keys[at_] == distinct if len(t.keys) else np.zeros(len(distinct), bool)
                 c = np.where(known, t.counts[at_], 0) if len(t.keys) else np.zeros(len(distinct), np.int64)

@@ -504,6 +504,36 @@ def test_lm_score_by_a_plain_forward_pass(spark):
     assert checked > 80
 
 
+def test_lm_ids_of_many_texts_at_once_are_those_of_the_library():
+    """Merges made side by side, with what an earlier batch left, against the library and the encoder; few calls for many words."""
+    import pyarrow as pa
+
+    from lexloom.llm import bpe
+
+    lib, enc, merges = library(), tokens.Encoder(TOKENIZER), bpe.merges(TOKENIZER)
+    assert merges.sound
+    rng = np.random.default_rng(5)
+    letters = "abcdefghijklmnopqrstuvwxyzABCXYZ\u00e9\u00c9\u00fc\u00df\u00d8\u00ff0123456789.,&#|<>-_'\u00d7\u00f7\u0301\u4e2d\u00a0\u2003"
+    odd = [None, "", " ", "\n\t", "aaaa aaaaa aaaaaa a", "<|endoftext|> A<|startoftext|>b <|ENDOFTEXT|>", "it's DON'T we'll 'S", "\u00c9COLE \u00d7 \u00f7 e\u0301", "x" * 3000, "a|b <| c", "\x85\u0130\u212a", "0" * 70, "ab" * 50_000]
+    texts = odd + ["".join(rng.choice(list(letters + " " * 8), rng.integers(0, 400))) for _ in range(150)] + [r[1] for r in data.rows()]
+    merges.forget()
+    for batch in (texts, texts[::-1], texts[:1], []):
+        found, words = bpe.encode(pa.array(batch, pa.string()), enc, merges)
+        assert [x.tolist() for x in found] == [lib.encode(t or "", add_special_tokens=False).ids for t in batch]
+        assert [len(x) for x in words] == [len(WORD.findall(t or "")) for t in batch]
+    kept, bpe.KEPT = bpe.KEPT, 3
+    again, _ = bpe.encode(pa.array(texts, pa.string()), enc, merges)
+    bpe.KEPT = kept
+    assert [x.tolist() for x in again] == [x.tolist() for x in bpe.encode(pa.array(texts, pa.string()), enc, merges)[0]]
+    many = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 200_000)) + " "
+    many = " ".join(many[i : i + 8] for i in range(0, 200_000, 8))
+    merges.forget()
+    library_words = []
+    enc.encode = lambda chunk, plain=enc.encode: library_words.append(chunk) or plain(chunk)
+    assert bpe.encode(pa.array([many]), enc, merges)[0][0].tolist() == lib.encode(many, add_special_tokens=False).ids
+    assert not library_words  # no call a word
+
+
 def test_lm_learns_from_every_window_once():
     from lexloom.llm import attention as at
     from lexloom.llm import lm
