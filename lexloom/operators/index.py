@@ -39,12 +39,6 @@ def _shards(chunks: DataFrame, shards: int) -> DataFrame:
     return placed.select("shard", "pos", *DOC, T.syllables(F.col("text")).alias("w"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table of fewer files than cores, which is small, dealt to all cores; a larger one as it is read."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def _tables(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs and posting lists of placed rows, both without another shuffle."""
     docs = placed.select("shard", "pos", *DOC, F.size("w").cast("long").alias("dl"))

@@ -115,7 +115,7 @@ def verbatim_grep(chunks: DataFrame, pattern: str, is_regex: bool = False, limit
 
 def grep_each(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """As `verbatim_grep` for every query(qid, pattern, query_vector), by substring: a stated set, sent in blocks to all chunks once each."""
-    texts = keyword.spread(chunks.select(*_MATCH, "text", "embedding")).select(*_MATCH, F.lower("text").alias("lowered"), "embedding")
+    texts = session.spread(chunks.select(*_MATCH, "text", "embedding")).select(*_MATCH, F.lower("text").alias("lowered"), "embedding")
     found = None
     for part in keyword.blocks(queries):
         asked = part.filter("pattern <> ''").select("qid", F.lower("pattern").alias("sought"), "query_vector")
