@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexloom.operators import citations as C
+from lexloom.operators import windows
 from lexloom.sources import structure
 from tests.core.test_citations import CHANGE, TEXT
 
@@ -51,3 +52,11 @@ def test_lines_that_open_nothing_are_found_early():
     patterns = [structure._APPENDIX, structure._DIVISION, structure._ARTICLE, structure._FORM, structure._DECIMAL, structure._OUTLINE, structure._CLAUSE, structure._POINT]
     for line in starts + ["".join(rng.choice("aĐđA1.) |“") for _ in range(6)) for _ in range(3000)]:
         assert structure._OPENS.match(line) or not any(p.fullmatch(line) for p in patterns), line
+
+
+def test_windows_fill_their_budget_to_the_last_character():
+    """The elision marker has 39 characters; 39 + 2 of them are set aside, with 5 for the line all windows share."""
+    first, second, third = ("head\n" + c * (n - 1) for c, n in (("a", 700), ("b", 754), ("c", 100)))
+    assert len(windows.ELISION) == 39
+    assert windows.merged([first, second, third], 1500, 0) == "\n".join(["head", "a" * 699, "b" * 753, windows.ELISION])
+    assert windows.merged([first, second + "b", third], 1500, 0) == "\n".join(["head", "a" * 699, windows.ELISION])
