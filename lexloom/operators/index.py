@@ -1,56 +1,181 @@
 """A keyword index that is written once for a version of the chunks and read by every search.
 
-Documents are dealt to shards by a hash of their id. A shard numbers its documents in path order; a posting list is one row
-(shard, term, pos[], tf[]). Building shuffles the syllables once, by shard; counting, numbering and collecting stay inside it. Lists are
-written in folders by a hash of the term, so that a question reads the folders of its own terms only, and in term order inside.
-
-A search sends each shard its posting lists of the asked terms, scores there and returns the shard's best rows, so no (query, document)
-pair is shuffled but those. Statistics (n, avgdl, df) are of the whole corpus, filtered or not.
+Documents are dealt to shards by a hash of their id; shards are bounded in rows and in bytes, and number their documents in path order.
+Building shuffles the texts once, one shard to a task: its syllables become numbers, one sort of (term, document) counts them, and the
+lists leave packed, a block for each bucket of terms, so that nothing is exploded, aggregated or spilled by row. A block is one row
+(shard, part, sub, terms, posts): its terms with their counts, and their postings one after the other, as Arrow data. Blocks are written
+in folders by a hash of the term, so that a question reads the folders of its own terms only; the folder of part -1 holds the documents
+as the shards number them.
+
+A search takes the postings of the asked terms out of the blocks, sends each shard its own, scores there and returns the shard's best
+rows, so no (query, document) pair is shuffled but those. Statistics (n, avgdl, df) are of the whole corpus, filtered or not.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, DataType, IntegerType, LongType, StructField, StructType
 
 from lexloom.functions import text as T
 from lexloom.sources import store
 
 K1, B = 1.2, 0.75
-SHARD_ROWS, PARTS = 16_384, 16
+SHARD_ROWS, SHARD_BYTES, PARTS = 16_384, 16_000_000, 16
+#: Bytes of packed lists that a task gives at once, and buckets of a part at most: a bucket's terms, of all shards, meet in one task.
+PACKED, SUBS = 4_000_000, 64
 QUERY_BLOCK = 2_000  # queries that one job holds
 #: Columns of a chunk that filters and answers need.
 DOC = ("id", "path", "doc_code", "effective", "expiration", "start_line")
 
 
 def part_of(term) -> "F.Column":
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
-
-
-def _shards(chunks: DataFrame, shards: int) -> DataFrame:
-    """Chunks with their shard, place in it (path order) and syllables. The one shuffle of a build carries the texts as they are."""
-    dealt = chunks.select(*DOC, "text", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).repartition(shards, "shard")
-    placed = dealt.withColumn("pos", F.row_number().over(Window.partitionBy("shard").orderBy("path", "id")) - 1)
-    return placed.select("shard", "pos", *DOC, T.syllables(F.col("text")).alias("w"))
-
-
-def _tables(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs and posting lists of placed rows, both without another shuffle."""
-    docs = placed.select("shard", "pos", *DOC, F.size("w").cast("long").alias("dl"))
-    each = placed.select("shard", "pos", F.explode(T.terms(F.col("w"))).alias("term")).groupBy("shard", "term", "pos").agg(F.count("*").cast("int").alias("tf"))
-    lists = each.groupBy("shard", "term").agg(F.sort_array(F.collect_list(F.struct("pos", "tf"))).alias("x"))
-    lists = lists.select("shard", "term", F.col("x.pos").alias("pos"), F.col("x.tf").alias("tf"), part_of("term").alias("part"))
-    return docs, lists.sortWithinPartitions("part", "term", "shard")
+    """Folder of a term, from the CRCs of its one or two syllables."""
+    crc = lambda k: F.coalesce(F.crc32(F.get(F.split(term, "_"), F.lit(k)).cast("binary")), F.lit(0))
+    return F.pmod(crc(0) * 31 + crc(1), F.lit(PARTS)).cast("int")
+
+
+def _posted(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """term * size + pos of each occurrence -> terms in order, where each one's postings start (and the end), their pos and tf."""
+    keys.sort()
+    at = np.flatnonzero(np.diff(keys, prepend=-1))
+    tf = np.diff(at, append=len(keys)).astype(np.int32)
+    term, pos = np.divmod(keys[at], size)
+    starts = np.flatnonzero(np.diff(term, prepend=-1))
+    return term[starts], np.append(starts, len(term)), pos.astype(np.int32), tf
+
+
+def _packed(**columns) -> bytes:
+    batch = pa.RecordBatch.from_pydict(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(block: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(block.as_buffer()).read_all()
+
+
+def _blocks(bucket: np.ndarray, term: pa.Array, starts: np.ndarray, pos: np.ndarray, tf: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """(bucket, terms, posts) of each bucket that has a term."""
+    order = np.argsort(bucket, kind="stable")
+    df, cf = np.diff(starts)[order], np.add.reduceat(tf, starts[:-1], dtype=np.int64)[order]
+    ends = np.cumsum(df)
+    at = np.repeat(starts[:-1][order] - (ends - df), df) + np.arange(len(pos))
+    bucket, term, pos, tf = bucket[order], term.take(pa.array(order)), pos[at], tf[at]
+    cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(order))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        part = slice(ends[a] - df[a], ends[b - 1])
+        yield int(bucket[a]), _packed(term=term.slice(a, b - a), df=pa.array(df[a:b]), cf=pa.array(cf[a:b])), _packed(pos=pa.array(pos[part]), tf=pa.array(tf[part]))
+
+
+def _lists_of(table: pa.Table, subs: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One shard's rows (shard, DOC, w) -> its documents (part -1), its blocks of syllables and of adjacent pairs."""
+    size, shard = table.num_rows, table.column("shard")[0].as_py()
+    order = pc.sort_indices(table.select(["path", "id"]), sort_keys=[("path", "ascending"), ("id", "ascending")], null_placement="at_start").to_numpy()
+    place = np.empty(size, np.int64)
+    place[order] = np.arange(size)
+    dl = pc.list_value_length(table.column("w")).to_numpy().astype(np.int64)
+    kept = table.select(DOC).take(pa.array(order))
+    doc = schema.field("doc").type
+    columns = {"pos": pa.array(np.arange(size)), **{c: kept.column(c).combine_chunks() for c in DOC}, "dl": pa.array(dl[order])}
+    fixed = lambda n, part, sub: [pa.array(np.full(n, shard)), pa.array(part), pa.array(sub), pa.array(np.full(n, subs))]
+    made = lambda *x: pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(x, schema)], schema=schema)
+    yield made(*fixed(size, np.full(size, -1), np.zeros(size, int)), pa.nulls(size), pa.nulls(size), pa.StructArray.from_arrays([columns[f.name].cast(f.type) for f in doc], fields=list(doc)))
+    words = pc.list_flatten(table.column("w")).combine_chunks().dictionary_encode()
+    if not len(words):
+        return
+    known, code = words.dictionary, words.indices.to_numpy().astype(np.int64)
+    crc = np.fromiter((zlib.crc32(x.encode()) for x in known.to_pylist()), np.int64, len(known))
+    pos = np.repeat(place, dl)
+    term, starts, at, tf = _posted(code * size + pos, size)
+    found = [(crc[term] * 31, known.take(pa.array(term)), starts, at, tf)]
+    inner = np.ones(len(code), bool)
+    inner[np.cumsum(dl[dl > 0]) - 1] = False  # the last word of a document opens no pair
+    first = np.flatnonzero(inner)
+    pair = code[first] * len(known) + code[first + 1]
+    del table, words
+    if len(pair):
+        few = len(known) ** 2 * size < 2**63
+        distinct, pair = (None, pair) if few else np.unique(pair, return_inverse=True)
+        term, starts, at, tf = _posted(pair * size + pos[first], size)
+        a, b = np.divmod(term if few else distinct[term], len(known))
+        found.append((crc[a] * 31 + crc[b], pc.binary_join_element_wise(known.take(pa.array(a)), known.take(pa.array(b)), "_"), starts, at, tf))
+    held: list[tuple[int, bytes, bytes]] = []
+
+    def flushed() -> pa.RecordBatch:
+        bucket = np.array([x[0] for x in held])
+        return made(*fixed(len(held), bucket // subs, bucket % subs), pa.array([x[1] for x in held]), pa.array([x[2] for x in held]), pa.nulls(len(held)))
+
+    for mark, *rest in found:
+        for block in _blocks(mark % PARTS * subs + mark // PARTS % subs, *rest):
+            held.append(block)
+            if sum(len(x[1]) + len(x[2]) for x in held) >= PACKED:
+                yield flushed()
+                held.clear()
+    if held:
+        yield flushed()
+
+
+def _lists(chunks: DataFrame, shards: int, subs: int) -> DataFrame:
+    """Blocks and documents of chunks; the one shuffle carries the texts as they are, one shard to a task."""
+    dealt = chunks.select(*DOC, "text", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")).repartitionById(shards, "shard")
+    rows = dealt.select("shard", *DOC, T.syllables(F.col("text")).alias("w"))
+    doc = StructType([StructField("pos", IntegerType()), *(rows.schema[c] for c in DOC), StructField("dl", LongType())])
+    whole = StructType([*(StructField(c, IntegerType()) for c in ("shard", "part", "sub", "subs")), StructField("terms", BinaryType()), StructField("posts", BinaryType()), StructField("doc", doc)])
+    arrow = to_arrow_schema(whole)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            yield from _lists_of(pa.Table.from_batches(held), subs, arrow)
+
+    return rows.mapInArrow(each, whole)
+
+
+def _docs(lists: DataFrame) -> DataFrame:
+    return lists.filter("part = -1").select("shard", "doc.pos", *(f"doc.{c}" for c in DOC), "doc.dl")
+
+
+def _merged(key: tuple, blocks: pa.Table) -> pa.Table:
+    """One bucket's blocks of all shards -> its terms."""
+    each = pa.concat_tables([_unpacked(x) for x in blocks.column("terms")]).group_by("term", use_threads=False).aggregate([("df", "sum"), ("cf", "sum")])
+    return pa.table({"part": pa.array(np.full(each.num_rows, key[0].as_py(), np.int32)), "term": each.column("term"), "df": each.column("df_sum"), "tf": each.column("cf_sum")})
 
 
 def _terms(lists: DataFrame) -> DataFrame:
-    by = lists.groupBy("term", "part").agg(F.sum(F.size("pos")).alias("df"), F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x)).alias("tf"))
-    return by.sortWithinPartitions("part", "term")
+    by = lists.filter("part >= 0").select("part", "sub", "terms").groupBy("part", "sub").applyInArrow(_merged, "part int, term string, df long, tf long")
+    return by.select("term", "df", "tf", "part").sortWithinPartitions("part", "term")
+
+
+def _taken(wanted: dict[int, list[str]]):
+    """Blocks -> (shard, term, pos, tf) of the wanted terms of each part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = {part: pa.array(terms) for part, terms in wanted.items()}
+        for batch in batches:
+            for shard, part, terms, posts in zip(*(batch.column(c) for c in ("shard", "part", "terms", "posts"))):
+                block = _unpacked(terms)
+                at = np.flatnonzero(pc.is_in(block.column("term"), value_set=sets[part.as_py()]).to_numpy())
+                if not len(at):
+                    continue
+                df = block.column("df").to_numpy()
+                n, held = df[at], _unpacked(posts)
+                rows = pa.array(np.repeat(np.cumsum(df)[at] - np.cumsum(n), n) + np.arange(n.sum()))
+                ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+                pos, tf = (pa.ListArray.from_arrays(ends, held.column(c).combine_chunks().take(rows)) for c in ("pos", "tf"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), shard.as_py(), np.int32)), block.column("term").combine_chunks().take(pa.array(at)), pos, tf], names=["shard", "term", "pos", "tf"])
+
+    return run
 
 
 @dataclass
@@ -67,7 +192,7 @@ class Index:
 
     @property
     def lists(self) -> DataFrame:
-        return self.table("lists")
+        return self.table("lists").filter("part >= 0")
 
     @property
     def terms(self) -> DataFrame:
@@ -79,20 +204,18 @@ class Index:
         return self.docs.agg(F.count("*").alias("n"), F.greatest(F.avg("dl"), F.lit(1.0)).alias("avgdl"))
 
 
-def _commit(spark: SparkSession, root: str, docs: DataFrame, lists: DataFrame) -> Index:
-    store.commit(spark, root, {"docs": docs, "lists": lists, "terms": lambda at: _terms(spark.read.parquet(f"{at}/lists"))}, {"lists": "part", "terms": "part"})
+def _commit(spark: SparkSession, root: str, lists: DataFrame) -> Index:
+    written = lambda at: spark.read.parquet(f"{at}/lists")
+    store.commit(spark, root, {"lists": lists, "docs": lambda at: _docs(written(at)), "terms": lambda at: _terms(written(at))}, {"lists": "part", "terms": "part"})
     return Index(spark, root)
 
 
 def build(chunks: DataFrame, root: str, shard_rows: int = SHARD_ROWS) -> Index:
     """The index of chunks, as the current version of the store at `root`."""
     spark = chunks.sparkSession
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() // shard_rows))
-    placed = _shards(chunks, shards).persist()
-    try:
-        return _commit(spark, root, *_tables(placed))
-    finally:
-        placed.unpersist()
+    n, size = chunks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // shard_rows), -(-size // SHARD_BYTES))
+    return _commit(spark, root, _lists(chunks, shards, min(SUBS, -(-shards // PARTS))))
 
 
 def refresh(index: Index, chunks: DataFrame, changed: DataFrame) -> Index:
@@ -101,14 +224,13 @@ def refresh(index: Index, chunks: DataFrame, changed: DataFrame) -> Index:
     chunks: the new state of all; changed(id). The number of shards stays; a table that has grown many times over is built anew.
     """
     spark = index.spark
-    old, lists = index.docs, index.lists
-    shards = (old.agg(F.max("shard")).first()[0] or 0) + 1
+    lists = index.table("lists")
+    last, subs = lists.agg(F.max("shard"), F.max("subs")).first()
+    shards = (last or 0) + 1
     of = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
     touched = [r[0] for r in changed.select(of.alias("s")).distinct().collect()]  # shard numbers
-    docs, fresh = _tables(_shards(chunks.filter(of.isin(touched)), shards))
-    kept = ~F.col("shard").isin(touched)
-    columns = [c for c in lists.columns if c != "part"] + ["part"]
-    return _commit(spark, index.root, old.filter(kept).unionByName(docs), lists.filter(kept).select(*columns).unionByName(fresh.select(*columns)))
+    fresh = _lists(chunks.filter(of.isin(touched)), shards, subs or 1)
+    return _commit(spark, index.root, lists.filter(~F.col("shard").isin(touched)).select(fresh.columns).unionByName(fresh))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -121,7 +243,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def term_idf(index: Index, wanted: DataFrame) -> DataFrame:
     """term, df, idf of the wanted terms, over the whole index."""
     n = index.docs.count()
-    asked = wanted.select("term").distinct().withColumn("part", part_of("term"))
+    asked = wanted.select("term").distinct().withColumn("part", part_of(F.col("term")))
     return index.terms.join(asked, ["part", "term"], "left_semi").select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
@@ -194,7 +316,7 @@ def bm25(index: Index, queries: DataFrame, limit: int, open_: DataFrame | None =
     found = []
     for part in blocks(queries):
         wanted = query_terms(part)
-        asked = wanted.withColumn("part", part_of("term"))
+        asked = wanted.withColumn("part", part_of(F.col("term")))
         have = index.terms.select("part", "term", "df")
         rows = have.join(F.broadcast(asked), ["part", "term"]).toArrow()  # at most the terms of QUERY_BLOCK queries
         qids = sorted(set(rows.column("qid").to_pylist()))
@@ -204,9 +326,10 @@ def bm25(index: Index, queries: DataFrame, limit: int, open_: DataFrame | None =
         for term, df, q, pair in zip(*(rows.column(c).to_pylist() for c in ("term", "df", "qid", "wants_pair"))):
             plan.setdefault(term, (float(np.log(1 + (stats.n - df + 0.5) / (df + 0.5))), []))[1].append(number[q])
             wants[number[q]] = pair
-        terms = index.spark.createDataFrame([(t,) for t in plan], "term string").withColumn("part", part_of("term"))
-        parts = sorted(set(rows.column("part").to_pylist()))
-        lists = index.lists.filter(F.col("part").isin(parts)).join(F.broadcast(terms), ["part", "term"], "left_semi").select("shard", "term", "pos", "tf")
+        of_part: dict[int, list[str]] = {}
+        for term, k in set(zip(rows.column("term").to_pylist(), rows.column("part").to_pylist())):
+            of_part.setdefault(k, []).append(term)
+        lists = index.lists.filter(F.col("part").isin(sorted(of_part))).mapInArrow(_taken(of_part), "shard int, term string, pos array<int>, tf array<int>")
         found.append(lists.groupBy("shard").cogroup(docs.groupBy("shard")).applyInArrow(_scorer(plan, qids, wants, stats.avgdl, limit), _FOUND))
     both = found[0]
     for more in found[1:]:

@@ -47,7 +47,7 @@ def commit(spark: SparkSession, root: str, tables: dict, partitions: dict[str, s
     fs.delete(folder, True)  # what a writer that failed left there
     kept = [] if before is None else [s.getPath().getName() for s in fs.listStatus(_fs(spark, before)[1])]
     for name, df in {**{k: spark.read.parquet(f"{before}/{k}") for k in kept if k not in tables}, **tables}.items():
-        writer = (df(at) if callable(df) else df).write.mode("errorifexists")
+        writer = (df(at) if callable(df) else df).write.mode("errorifexists").option("compression", "zstd")
         if partitions and name in partitions:
             writer = writer.partitionBy(partitions[name])
         writer.parquet(f"{at}/{name}")

@@ -1,12 +1,14 @@
 """Work that must spread over tasks or stay bounded in one: plans and partitions, besides equal results."""
 
+import datetime
 import random
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexloom.operators import citations as C
-from lexloom.operators import windows
+from lexloom.operators import index, windows
 from lexloom.sources import structure
 from tests.core.test_citations import CHANGE, TEXT
 
@@ -60,3 +62,26 @@ def test_windows_fill_their_budget_to_the_last_character():
     assert len(windows.ELISION) == 39
     assert windows.merged([first, second, third], 1500, 0) == "\n".join(["head", "a" * 699, "b" * 753, windows.ELISION])
     assert windows.merged([first, second + "b", third], 1500, 0) == "\n".join(["head", "a" * 699, windows.ELISION])
+
+
+def test_index_counts_in_bounded_shards(spark, tmp_path, monkeypatch):
+    """Long texts make more shards, not larger ones; blocks of few bytes, rows equal in path and id, empty and null texts lose no count."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"]) for _ in range(rng.choice([0, 1, 2, 400]))) for _ in range(60)] + [None]
+    day = datetime.date(2020, 1, 1)
+    rows = [(k // 2, f"p{k // 2}", "x", t, day, None, k) for k, t in enumerate(texts)]
+    c = spark.createDataFrame(rows, "id long, path string, doc_code string, text string, effective date, expiration date, start_line long")
+    monkeypatch.setattr(index, "SHARD_BYTES", 1_000)
+    monkeypatch.setattr(index, "PACKED", 100)
+    built = index.build(c, str(tmp_path / "index"))
+    docs = built.docs.select("shard", "pos", "id", "dl").collect()
+    assert len({r.shard for r in docs}) > 10 and len({(r.shard, r.pos) for r in docs}) == len(docs) == 61
+    assert sorted((r.id, r.dl) for r in docs) == sorted((k // 2, len((t or "").split())) for k, t in enumerate(texts))
+    tf, df = Counter(), Counter()
+    for t in texts:
+        w = (t or "").split()
+        own = Counter(w) + Counter(f"{a}_{b}" for a, b in zip(w, w[1:]))
+        tf.update(own)
+        df.update(dict.fromkeys(own, 1))
+    assert {r.term: (r.tf, r.df) for r in built.terms.collect()} == {t: (n, df[t]) for t, n in tf.items()}
+    assert built.lists.groupBy("shard", "part", "sub").count().count() > 16 and built.terms.filter(F.col("part") != index.part_of(F.col("term"))).count() == 0
