@@ -65,16 +65,17 @@ def embedded(rows: DataFrame, embedder: Embedder, text: str = "text", name: str
 def embed_pending(chunks: DataFrame, cache: DataFrame, embedder: Embedder, model: str) -> tuple[DataFrame, DataFrame]:
     """(chunks with every vector, new cache rows): each distinct text without a vector is looked up by hash, the rest embedded once.
 
-    cache: model, dim, text_sha256, embedding. Chunks that have a vector keep it; a blank text gets none. Both results are lazy: they
+    cache: model, dim, text_sha256, embedding. chunks may bring their text_sha256, so that a join before it need not carry texts. Chunks that have a vector keep it; a blank text gets none. Both results are lazy: they
     share the embedding only if the second is written first and given as `cache` again.
     """
-    key = cache.filter((F.col("model") == model) & (F.col("dim") == embedder.dim)).select("text_sha256", F.col("embedding").alias("_known"))
-    missing = chunks.filter("embedding is null and text is not null").select("text").distinct().withColumn("text_sha256", T.sha256(F.col("text")))
-    looked = missing.join(key, "text_sha256", "left")
-    new = embedded(looked.filter("_known is null").select("text", "text_sha256"), embedder)
+    key = cache.filter((F.col("model") == model) & (F.col("dim") == embedder.dim) & F.col("embedding").isNotNull()).select("text_sha256", F.col("embedding").alias("_new"))
+    hashed = chunks if "text_sha256" in chunks.columns else chunks.withColumn("text_sha256", T.sha256(F.col("text")))
+    # Texts are dealt by their hash once, where equal ones meet and the cache is asked; all else goes by hash.
+    missing = hashed.filter("embedding is null and text is not null").select("text", "text_sha256").repartition("text_sha256").distinct()
+    new = embedded(missing.join(key, "text_sha256", "left_anti").select("text", "text_sha256"), embedder)
     fresh = new.filter("embedding is not null").select(F.lit(model).alias("model"), F.lit(embedder.dim).alias("dim"), "text_sha256", "embedding")
-    vectors = looked.filter("_known is not null").select("text_sha256", F.col("_known").alias("_new")).unionByName(fresh.select("text_sha256", F.col("embedding").alias("_new")))
-    filled = chunks.withColumn("text_sha256", T.sha256(F.col("text"))).join(vectors, "text_sha256", "left")
+    vectors = key.unionByName(fresh.select("text_sha256", F.col("embedding").alias("_new")))
+    filled = hashed.join(vectors, "text_sha256", "left")
     return filled.withColumn("embedding", F.coalesce("embedding", "_new")).select(chunks.columns), fresh
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexloom.operators import citations as C
-from lexloom.operators import index, windows
+from lexloom.operators import index, models, windows
 from lexloom.sources import structure
 from tests.core.test_citations import CHANGE, TEXT
 
@@ -85,3 +85,17 @@ def test_index_counts_in_bounded_shards(spark, tmp_path, monkeypatch):
         df.update(dict.fromkeys(own, 1))
     assert {r.term: (r.tf, r.df) for r in built.terms.collect()} == {t: (n, df[t]) for t, n in tf.items()}
     assert built.lists.groupBy("shard", "part", "sub").count().count() > 16 and built.terms.filter(F.col("part") != index.part_of(F.col("term"))).count() == 0
+
+
+def test_texts_travel_once_to_be_embedded(spark):
+    """A cache row without a vector hides a text from the embedder as little as it fills it; texts are dealt once, and not to be filled."""
+    rows = [(k, f"text {k % 5}", [1.0, 1.0] if k == 3 else None) for k in range(20)] + [(20, None, None), (21, " ", None)]
+    c = spark.createDataFrame(rows, "id long, text string, embedding array<float>").withColumn("text_sha256", F.sha2("text", 256))
+    cache = c.filter("text = 'text 1'").select(F.lit("m").alias("model"), F.lit(2).alias("dim"), "text_sha256", F.array(F.lit(7.0), F.lit(7.0)).cast("array<float>").alias("embedding")).limit(1)
+    cache = cache.unionByName(c.filter("id = 2").select(F.lit("m").alias("model"), F.lit(2).alias("dim"), "text_sha256", F.lit(None).cast("array<float>").alias("embedding")))
+    filled, fresh = models.embed_pending(c, cache, models.SyllableEmbedder(2), "m")
+    got = {r.id: r.embedding for r in filled.collect()}
+    assert len(got) == 22 and got[3] == [1.0, 1.0] and got[1] == got[16] == [7.0, 7.0] and got[20] is None and got[21] is None and got[2] is not None and got[8] == got[13] is not None
+    assert fresh.count() == 4
+    plan = filled.select("id", "embedding")._jdf.queryExecution().executedPlan().toString()
+    assert sum("hashpartitioning(text#" in line for line in plan.splitlines()) == 0  # texts meet by their hash
