@@ -24,6 +24,8 @@ RRF_K, MISSING_RANK = 20, 999
 LOW_SIMILARITY, LOW_RERANK = 0.63, -1.0
 #: Bounds of the search tool's arguments.
 SEARCH_LIMIT = 50
+#: Rows of ids that are broadcast at most, after a count.
+SENT_IDS = 500_000
 
 
 def candidate_limit(limit: int) -> int:
@@ -133,6 +135,11 @@ def cosine(a, b):
     return _dot(a, b) / (F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b)))
 
 
+def chunks_of(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """Chunks of the ids(id) of short lists, read once where they lie: ids are counted and sent to all, too many are joined by a shuffle."""
+    return chunks.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "id", "left_semi")
+
+
 def paths_matching(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """(qid, id) of wanted(qid, id, pattern) whose chunk's text holds the pattern, by substring."""
     return wanted.join(chunks.select("id", "text"), "id").filter(F.contains(F.lower("text"), F.lower("pattern"))).select("qid", "id")
@@ -160,13 +167,14 @@ def search(chunks: DataFrame, index: Index, queries: DataFrame, docs: DataFrame
     if not 1 <= limit <= SEARCH_LIMIT:
         raise ValueError(f"limit is 1 to {SEARCH_LIMIT}")
     queries = without_weak_vectors(queries)
-    # Both lists are short (`limit` rows a query) and read several times below: each is computed once.
+    # Both lists are short (`limit` rows a query) and read several times below: each is computed once, and so are their chunks.
     hybrid = session.cut(hybrid_search(chunks, index, queries, limit, **filters))
     grep = session.cut(grep_each(allowed(chunks, filters.get("on"), filters.get("doc_codes"), filters.get("prefix")), queries, limit))
-    has = paths_matching(chunks, hybrid.select("qid", "id").join(queries.filter("pattern <> ''").select("qid", "pattern"), "qid"))
+    shown = session.cut(chunks_of(chunks.select("id", "path", "doc_code", "start_line", "effective", "expiration", "text"), hybrid.select("id").union(grep.select("id")).distinct()))
+    has = paths_matching(shown, hybrid.select("qid", "id").join(queries.filter("pattern <> ''").select("qid", "pattern"), "qid"))
     out = tagged(hybrid, grep, has).join(hybrid.drop("path", "rank"), ["qid", "id"], "left")
     out = out.join(grep.groupBy("qid").agg(F.max("full_count").alias("verbatim_total")), "qid", "left").withColumn("verbatim_total", F.coalesce("verbatim_total", F.lit(0)))
-    out = out.join(chunks.select("id", "path", "doc_code", "start_line", "effective", "expiration", "text"), "id")
+    out = out.join(shown, "id")
     out = out.join(docs.select("doc_code", F.col("title").alias("doc_title")), "doc_code", "left") if docs is not None else out.withColumn("doc_title", F.lit(None).cast("string"))
     filled = {"dense_rank": MISSING_RANK, "sparse_rank": MISSING_RANK, "similarity": 0.0, "phrase_matched": False, "rrf_score": 0.0}
     return out.fillna(filled).withColumn("truncated", F.col("verbatim_total") > limit)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexloom.operators import citations as C
-from lexloom.operators import index, models, windows
+from lexloom.operators import index, models, retrieve, windows
 from lexloom.sources import structure
 from tests.core.test_citations import CHANGE, TEXT
 
@@ -99,3 +99,14 @@ def test_texts_travel_once_to_be_embedded(spark):
     assert fresh.count() == 4
     plan = filled.select("id", "embedding")._jdf.queryExecution().executedPlan().toString()
     assert sum("hashpartitioning(text#" in line for line in plan.splitlines()) == 0  # texts meet by their hash
+
+
+def test_shown_chunks_are_read_without_a_shuffle(spark, tmp_path):
+    spark.range(1000).select("id", F.concat(F.lit("t"), F.col("id").cast("string")).alias("text")).write.parquet(str(tmp_path / "c"))
+    c = spark.read.parquet(str(tmp_path / "c"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = retrieve.chunks_of(c, spark.range(5))
+        assert few.count() == 5 and "Exchange hashpartitioning" not in few._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
